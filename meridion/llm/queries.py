@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import ann, licenses, packing, pieces, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
+        "op3_license_scan": licenses.op3_license_scan,
+        "op6_exact_top_k": topk.op6_exact_top_k,
         "op7_packing": packing.op7_packing,
         "op8_sharding": sharding.op8_sharding,
+        "op9_sentencepiece": pieces.op9_sentencepiece,
+        "op10_ann": ann.op10_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_license_scan": licenses.OP3_SQL, "op6_exact_top_k": topk.OP6_SQL}
