@@ -25,7 +25,7 @@ from .common import crc, docs_of
 WINDOW, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict = {}
-CACHE_WORDS = 1_500_000
+CACHE_WORDS, ATOMS = 1_300_000, 300_000
 
 
 def default_tokenizer() -> str:
@@ -67,6 +67,8 @@ class WordCache:
         return [b"".join(map(known.__getitem__, words)) for words in cut]
 
     def _learn(self, words: set[str]) -> None:
+        if len(self.atoms) > ATOMS:
+            self.atoms.clear()
         parts = {w: self._parts(w[1:] if w[:1] == "\0" else " " + w) for w in words}
         new = list({a for p in parts.values() for a in p if a not in self.atoms})
         for i in range(0, len(new), 20_000):

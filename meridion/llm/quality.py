@@ -1,13 +1,13 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote bad (1), good (0) or abstain (-1) on two
-tasks: junk and toxic. The votes of all documents are counted by pattern, and
-expectation-maximisation (the naive Bayes model of labeller accuracies)
-estimates each labeller's accuracy and the share of bad documents from these
-counts. The posterior labels of a bounded sample (SAMPLE documents, those with
-the smallest hash of doc_id) train a hashed linear scorer for each task, which
-scores every whole document. A document is kept if it scores under 0.5 on both
-tasks.
+Overlapping heuristic labellers vote bad (1), good (0) or abstain (-1) on five
+defects: symbols, pipes, shouting, repetition and toxic language. The votes of
+all documents are counted by pattern, and expectation-maximisation (the naive
+Bayes model of labeller accuracies) estimates each labeller's accuracy and each
+defect's share of the documents from these counts. The posterior labels of a bounded sample (SAMPLE documents, those with
+the smallest hash of doc_id) train two hashed linear scorers, of junk (any of the
+first four) and of toxic language, which score every whole document. A document
+is kept if it scores under 0.5 on both.
 
 Cases: null or empty text counts as empty, on which labellers abstain, and is
 kept; null doc_id is scored as any other; repeated rows and ties score alike;
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -38,30 +39,40 @@ ABUSE = (
 ).split(" ")
 INSULTS = set("stupid moron idiot loser scum clown imbecile".split(" "))
 TOXIC = re.compile(r"(?<!\w)(?:" + "|".join(ABUSE) + r")(?!\w)")
+RUN = re.compile(r"([#$%&*^~=_<>-])\1{2}")
+# The latent classes, each with the labellers that overlap on it.
 TASKS = {
-    "junk": ("symbols", "pipes", "shouting", "repetition", "prose", "loose_symbols", "few_words"),
-    "toxic": ("abuse", "abuse_again", "insult", "civil"),
+    "symbols": ("odd_characters", "runs_of_marks", "unlettered"),
+    "pipes": ("pipes", "lone_pipes", "loose_pipes"),
+    "shouting": ("capital_words", "bangs", "capital_letters"),
+    "repetition": ("top_word", "few_words", "same_again"),
+    "toxic": ("abuse", "abuse_again", "insult"),
 }
+SCORERS = {"junk": ("symbols", "pipes", "shouting", "repetition"), "toxic": ("toxic",)}
 
 
 def measures(text: str) -> tuple[dict[str, float], str, Counter]:
     """(measures, lower-case text, counts of the white-space tokens)"""
-    n = len(text)
+    n = max(1, len(text))
     tokens = text.split()
     k = max(1, len(tokens))
     counts = Counter(tokens)
-    upper = sum(t.isupper() and len(t) > 1 for t in counts)
-    odd = sum(map(text.count, "#$%&*^~<>{}[]\\"))
     lower = text.lower()
     hits = TOXIC.findall(lower)
+    letters = sum(map(len, tokens))
     return {
         "tokens": len(tokens),
-        "odd": odd / max(1, n),
+        "odd": sum(map(text.count, "#$%&*^~<>{}[]\\")) / n,
+        "runs": len(RUN.findall(text)) / k,
+        "unlettered": sum(map(text.count, "#$%&*^~<>{}[]\\|!;:/=+@_")) / max(1, letters),
         "pipes": text.count("|") / k,
-        "upper": upper / max(1, len(counts)),
+        "lone": counts["|"] / k,
+        "upper": sum(v for t, v in counts.items() if len(t) > 1 and t.isupper()) / k,
         "bang": text.count("!") / k,
+        "capital": sum(a != b for a, b in zip(text, lower)) / max(1, letters) if len(text) == len(lower) else 0.0,
         "distinct": len(counts) / k,
         "top": max(counts.values(), default=0) / k,
+        "same": sum(map(eq, tokens, tokens[1:])) / k,
         "hits": len(hits),
         "kinds": len(set(hits)),
         "insult": sum(h in INSULTS for h in hits),
@@ -70,29 +81,28 @@ def measures(text: str) -> tuple[dict[str, float], str, Counter]:
 
 def votes(m: dict[str, float]) -> tuple[int, ...]:
     """A vote of each labeller, in the order of TASKS."""
+    if not m["tokens"]:
+        return (-1,) * sum(map(len, TASKS.values()))
     big = m["tokens"] >= 8
-    plain = m["odd"] < 0.004 and m["pipes"] < 0.02 and m["upper"] < 0.2 and m["bang"] < 0.05
+
+    def by(k: str, bad: float, good: float, known: bool = True) -> int:
+        return -1 if not known else 1 if m[k] > bad else 0 if m[k] < good else -1
+
     return (
-        1 if m["odd"] > 0.03 else 0 if m["odd"] < 0.004 and m["tokens"] else -1,
-        1 if m["pipes"] > 0.3 else 0 if m["pipes"] < 0.02 and m["tokens"] else -1,
-        1 if big and (m["upper"] > 0.6 or m["bang"] > 0.4) else 0 if m["tokens"] and m["upper"] < 0.2 and m["bang"] < 0.05 else -1,
-        1 if big and m["top"] > 0.3 else 0 if m["tokens"] and m["top"] < 0.2 else -1,
-        0 if plain and big and m["top"] < 0.2 else -1,
-        1 if m["odd"] > 0.015 or (big and m["bang"] > 0.25) or m["pipes"] > 0.2 else 0 if plain and big else -1,
-        1 if m["tokens"] >= 40 and m["distinct"] < 0.1 and m["top"] > 0.15 else -1 if not big else 0 if m["top"] < 0.2 else -1,
-        1 if m["kinds"] >= 1 else 0 if m["tokens"] else -1,
-        1 if m["hits"] >= 2 else 0 if m["tokens"] and not m["hits"] else -1,
-        1 if m["insult"] else -1,
-        0 if m["tokens"] and not m["hits"] else -1,
-    )
+        by("odd", 0.02, 0.008), by("runs", 0.15, 0.03), by("unlettered", 0.06, 0.02),
+        by("pipes", 0.15, 0.03), by("lone", 0.12, 0.03), by("pipes", 0.08, 0.02),
+        by("upper", 0.3, 0.1, big), by("bang", 0.25, 0.05, big), by("capital", 0.35, 0.15, big),
+        by("top", 0.25, 0.18, big), 1 if m["tokens"] > 30 and m["distinct"] < 0.12 and m["top"] > 0.1 else 0 if m["distinct"] > 0.25 else -1, by("same", 0.15, 0.05, big),
+        by("kinds", 0, 1), 1 if m["hits"] > 1 else 0 if not m["hits"] else -1, by("insult", 0, 1) if m["hits"] != 1 else -1,
+    )
 
 
 def buckets(m: dict[str, float]) -> list[str]:
     """Measures as features, in steps."""
     step = lambda k, *edges: f"\0{k}{sum(m[k] > e for e in edges)}"
     return [
-        step("odd", 0.004, 0.01, 0.015, 0.03, 0.06), step("pipes", 0.02, 0.1, 0.2, 0.3, 0.6), step("upper", 0.1, 0.2, 0.4, 0.6), step("bang", 0.05, 0.15, 0.25, 0.4),
-        step("top", 0.1, 0.15, 0.2, 0.3, 0.5), step("tokens", 7, 40, 200), step("hits", 0, 1, 3),
+        step("odd", 0.008, 0.02, 0.05), step("pipes", 0.03, 0.08, 0.15), step("upper", 0.1, 0.3, 0.6), step("bang", 0.05, 0.25, 0.6), step("runs", 0.03, 0.15),
+        step("capital", 0.15, 0.35), step("top", 0.18, 0.25, 0.4), step("same", 0.05, 0.15), step("tokens", 7), step("hits", 0, 1),
     ]
 
 
@@ -132,13 +142,20 @@ def posterior(v: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, l1: float = 2e-4, least: int = 8) -> tuple[np.ndarray, float]:
-    """Logistic regression by AdaGrad with truncation, on features that `least` rows have; classes weigh alike."""
+def train(rows: list[np.ndarray], target: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, l1: float = 1e-4, least: int = 5, significant: float = 6.0) -> tuple[np.ndarray, float]:
+    """Logistic regression by AdaGrad with truncation, on features that `least` rows have and whose z-score is `significant`; classes weigh alike."""
     w, b = np.zeros(1 << bits), 0.0
     if not rows or target.min() > 0.5 or target.max() < 0.5:
         return w, -3.0 if not rows or target.max() < 0.5 else 3.0
-    seen = np.bincount(np.concatenate(rows), minlength=1 << bits)
-    rows = [r[seen[r] >= least] for r in rows]
+    # Only features whose share differs between the classes beyond chance.
+    bad = target > 0.5
+    n1, n0 = bad.sum(), (~bad).sum()
+    c1 = np.bincount(np.concatenate([r for r, x in zip(rows, bad, strict=True) if x]), minlength=1 << bits)
+    c0 = np.bincount(np.concatenate([r for r, x in zip(rows, bad, strict=True) if not x]), minlength=1 << bits)
+    p = (c1 + c0) / len(rows)
+    z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+    used = (c1 + c0 >= least) & (np.abs(z) > significant)
+    rows = [r[used[r]] for r in rows]
     weight = np.where(target > 0.5, 0.5 / target.mean(), 0.5 / (1 - target.mean()))
     grad, grad_b = np.full(1 << bits, 1e-3), 1e-3
     order = np.random.default_rng(7)
@@ -182,17 +199,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> dict:
     rows = docs.select(h.alias("h"), "text").filter(F.col("h") <= F.lit(top)).mapInArrow(collect, "h long, votes array<int>, features array<int>").orderBy("h").limit(sample).collect() if top is not None else []
     v = np.array([r["votes"] for r in rows]).reshape(len(rows), len(names))
     f = [np.array(r["features"], np.int32) for r in rows]
-    out, at = {}, 0
-    for task, labellers in TASKS.items():
-        own = Counter()
+    posts, labellers, at = {}, {}, 0
+    for task, names in TASKS.items():
+        own: Counter = Counter()
         for p, n in patterns:
-            own[p[at : at + len(labellers)]] += n
+            own[p[at : at + len(names)]] += n
         share, table = estimate(sorted(own.items()))
-        post = posterior(v[:, at : at + len(labellers)], share, table) if len(rows) else np.zeros(0)
-        w, b = train(f, post, bits)
+        posts[task] = posterior(v[:, at : at + len(names)], share, table) if len(rows) else np.zeros(0)
+        labellers[task] = {"share": share, "accuracy": dict(zip(names, table.tolist(), strict=False))}
+        at += len(names)
+    out = {}
+    for scorer, tasks in SCORERS.items():
+        w, b = train(f, 1 - np.prod([1 - posts[t] for t in tasks], axis=0), bits)
         used = np.flatnonzero(w)
-        out[task] = {"share": share, "accuracy": dict(zip(labellers, table.tolist(), strict=False)), "at": used.astype(np.int32), "weight": w[used], "bias": b}
-        at += len(labellers)
+        out[scorer] = {"at": used.astype(np.int32), "weight": w[used], "bias": b, "labellers": {t: labellers[t] for t in tasks}}
     return out
 
 
