@@ -1,7 +1,9 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote bad (1), good (0) or abstain (-1) on five
-defects: symbols, pipes, shouting, repetition and toxic language. The votes of
+Overlapping heuristic labellers vote bad (1), good (0) or abstain (-1) on six
+defects: symbols, pipes, shouting, repetition, and toxic language by a word list
+and by word stems that a bounded sample of labelled documents (LABELLED rows)
+shows to be toxic. The votes of
 all documents are counted by pattern, and expectation-maximisation (the naive
 Bayes model of labeller accuracies) estimates each labeller's accuracy and each
 defect's share of the documents from these counts. The posterior labels of a bounded sample (SAMPLE documents, those with
@@ -17,9 +19,10 @@ extra columns stay; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
+from math import exp
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +33,17 @@ from pyspark.sql import types as T
 from .common import docs_of
 
 SAMPLE, BITS, ROUNDS = 6000, 18, 12
+LABELLED, PRECISION = 4000, 0.75
 
 # Words of abuse.
-ABUSE = (
+ABUSE = frozenset(
     "idiot idiots moron morons stupid imbecile cretin dumbass retard loser losers scum trash worthless pathetic "
     "disgusting clown vermin filth filthy bastard bastards bitch whore slut asshole motherfucker fuck fucking fucker "
-    "bullshit degenerate parasite parasites subhuman scumbag dimwit dipshit jackass douchebag nitwit"
-).split(" ")
+    "bullshit degenerate parasite parasites subhuman scumbag dimwit dipshit jackass douchebag nitwit".split(" ")
+)
 INSULTS = set("stupid moron idiot loser scum clown imbecile".split(" "))
-TOXIC = re.compile(r"(?<!\w)(?:" + "|".join(ABUSE) + r")(?!\w)")
+AROUND = ".,;:!?#$%&*|\"'()"
+STEMS = (6, 8, 9)
 RUN = re.compile(r"([#$%&*^~=_<>-])\1{2}")
 # The latent classes, each with the labellers that overlap on it.
 TASKS = {
@@ -47,36 +52,41 @@ TASKS = {
     "shouting": ("capital_words", "bangs", "capital_letters"),
     "repetition": ("top_word", "few_words", "same_again"),
     "toxic": ("abuse", "abuse_again", "insult"),
+    "toxic_stems": ("mined", "mined_again"),
 }
-SCORERS = {"junk": ("symbols", "pipes", "shouting", "repetition"), "toxic": ("toxic",)}
+SCORERS = {"junk": ("symbols", "pipes", "shouting", "repetition"), "toxic": ("toxic", "toxic_stems")}
 
 
-def measures(text: str) -> tuple[dict[str, float], str, Counter]:
-    """(measures, lower-case text, counts of the white-space tokens)"""
+def measures(text: str, mined: frozenset = frozenset()) -> tuple[dict[str, float], set[str]]:
+    """(measures, the distinct words in lower case without marks around them)"""
     n = max(1, len(text))
     tokens = text.split()
     k = max(1, len(tokens))
     counts = Counter(tokens)
-    lower = text.lower()
-    hits = TOXIC.findall(lower)
-    letters = sum(map(len, tokens))
+    words = {t.strip(AROUND) for t in {t.lower() for t in counts}}
+    kinds = words & ABUSE
+    found = sum(w[:c] in mined for w in words for c in STEMS if len(w) >= c) if mined else 0
+    letters = max(1, sum(map(len, tokens)))
+    odd = sum(map(text.count, "#$%&*^~<>{}[]\\"))
+    other = {c: text.count(c) for c in "|!"}
+    shouted = [t for t in counts if t.isupper() and len(t) > 1]
     return {
         "tokens": len(tokens),
-        "odd": sum(map(text.count, "#$%&*^~<>{}[]\\")) / n,
+        "odd": odd / n,
         "runs": len(RUN.findall(text)) / k,
-        "unlettered": sum(map(text.count, "#$%&*^~<>{}[]\\|!;:/=+@_")) / max(1, letters),
-        "pipes": text.count("|") / k,
+        "unlettered": (odd + sum(other.values()) + sum(map(text.count, ";:/=+@_"))) / letters,
+        "pipes": other["|"] / k,
         "lone": counts["|"] / k,
-        "upper": sum(v for t, v in counts.items() if len(t) > 1 and t.isupper()) / k,
-        "bang": text.count("!") / k,
-        "capital": sum(a != b for a, b in zip(text, lower)) / max(1, letters) if len(text) == len(lower) else 0.0,
+        "upper": sum(map(counts.__getitem__, shouted)) / k,
+        "bang": other["!"] / k,
+        "capital": len(shouted) / max(1, len(counts)),
         "distinct": len(counts) / k,
         "top": max(counts.values(), default=0) / k,
         "same": sum(map(eq, tokens, tokens[1:])) / k,
-        "hits": len(hits),
-        "kinds": len(set(hits)),
-        "insult": sum(h in INSULTS for h in hits),
-    }, lower, counts
+        "hits": len(kinds),
+        "insult": len(kinds & INSULTS),
+        "mined": found,
+    }, words
 
 
 def votes(m: dict[str, float]) -> tuple[int, ...]:
@@ -93,7 +103,8 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
         by("pipes", 0.15, 0.03), by("lone", 0.12, 0.03), by("pipes", 0.08, 0.02),
         by("upper", 0.3, 0.1, big), by("bang", 0.25, 0.05, big), by("capital", 0.35, 0.15, big),
         by("top", 0.25, 0.18, big), 1 if m["tokens"] > 30 and m["distinct"] < 0.12 and m["top"] > 0.1 else 0 if m["distinct"] > 0.25 else -1, by("same", 0.15, 0.05, big),
-        by("kinds", 0, 1), 1 if m["hits"] > 1 else 0 if not m["hits"] else -1, by("insult", 0, 1) if m["hits"] != 1 else -1,
+        by("hits", 0, 1), 1 if m["hits"] > 1 else 0 if not m["hits"] else -1, by("insult", 0, 1) if m["hits"] != 1 else -1,
+        by("mined", 0, 1), 1 if m["mined"] > 1 else 0 if not m["mined"] else -1,
     )
 
 
@@ -102,16 +113,31 @@ def buckets(m: dict[str, float]) -> list[str]:
     step = lambda k, *edges: f"\0{k}{sum(m[k] > e for e in edges)}"
     return [
         step("odd", 0.008, 0.02, 0.05), step("pipes", 0.03, 0.08, 0.15), step("upper", 0.1, 0.3, 0.6), step("bang", 0.05, 0.25, 0.6), step("runs", 0.03, 0.15),
-        step("capital", 0.15, 0.35), step("top", 0.18, 0.25, 0.4), step("same", 0.05, 0.15), step("tokens", 7), step("hits", 0, 1),
+        step("capital", 0.15, 0.35), step("top", 0.18, 0.25, 0.4), step("same", 0.05, 0.15), step("tokens", 7), step("hits", 0, 1), step("mined", 0, 1),
     ]
 
 
-def features(text: str, bits: int = BITS) -> tuple[tuple[int, ...], np.ndarray]:
+def features(text: str, bits: int = BITS, mined: frozenset = frozenset()) -> tuple[tuple[int, ...], np.ndarray]:
     """(votes, the distinct hashed features) of a whole text."""
-    m, lower, counts = measures(text)
-    words = {w.lower().strip(".,;:!?#$%&*|") for w in counts}
+    m, words = measures(text, mined)
+    words.update(buckets(m))
     mask = (1 << bits) - 1
-    return votes(m), np.array(sorted({zlib.crc32(w.encode()) & mask for w in words if w} | {zlib.crc32(w.encode()) & mask for w in buckets(m)}), np.int32)
+    return votes(m), np.unique(np.array([crc32(w.encode()) & mask for w in words], np.int32))
+
+
+def mine(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> frozenset:
+    """Word stems that mark toxic documents among `sample` labelled ones (those with the smallest hash of doc_id)."""
+    some = labels.filter("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample)
+
+    def stems(batches):
+        for b in batches:
+            got = [sorted({w[:c] for w in measures(t or "")[1] for c in STEMS if len(w) >= c}) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.string()))], ["toxic", "stems"])
+
+    # `sample` rows at most are broadcast.
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("toxic").cast("int"), "text").mapInArrow(stems, "toxic int, stems array<string>")
+    stem = rows.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    return frozenset(r["stem"] for r in stem.filter((F.col("bad") >= 4) & (F.col("bad") >= PRECISION * F.col("n"))).orderBy(F.desc("bad"), "stem").limit(5000).collect())
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, np.ndarray]:
@@ -143,7 +169,7 @@ def posterior(v: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[np.ndarray], target: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, l1: float = 1e-4, least: int = 5, significant: float = 6.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by AdaGrad with truncation, on features that `least` rows have and whose z-score is `significant`; classes weigh alike."""
+    """Logistic regression by AdaGrad with truncation, on features that `least` rows have and whose z-score is `significant`."""
     w, b = np.zeros(1 << bits), 0.0
     if not rows or target.min() > 0.5 or target.max() < 0.5:
         return w, -3.0 if not rows or target.max() < 0.5 else 3.0
@@ -156,31 +182,31 @@ def train(rows: list[np.ndarray], target: np.ndarray, bits: int = BITS, rounds:
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     used = (c1 + c0 >= least) & (np.abs(z) > significant)
     rows = [r[used[r]] for r in rows]
-    weight = np.where(target > 0.5, 0.5 / target.mean(), 0.5 / (1 - target.mean()))
-    grad, grad_b = np.full(1 << bits, 1e-3), 1e-3
+    share = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    b = float(np.log(share / (1 - share)))  # stays, so that a text without evidence scores as the share does
+    grad = np.full(1 << bits, 1e-3)
     order = np.random.default_rng(7)
     for _ in range(rounds):
         for i in order.permutation(len(rows)):
             r = rows[i]
-            g = weight[i] * (1 / (1 + np.exp(-np.clip(w[r].sum() + b, -30, 30))) - target[i])
+            g = (1 / (1 + np.exp(-np.clip(w[r].sum() + b, -30, 30))) - target[i])
             grad[r] += g * g
-            grad_b += g * g
             rate = 0.3 / np.sqrt(grad[r])
             x = w[r] - rate * g
             w[r] = np.sign(x) * np.maximum(0, np.abs(x) - rate * l1 * 10)
-            b -= 0.3 / np.sqrt(grad_b) * g
     return w, b
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, bits: int = BITS) -> dict:
     """The models of both tasks: EM on the votes of all documents, scorers on the sample."""
+    mined = mine(docs, labels) if labels is not None else frozenset()
     names = [n for t in TASKS.values() for n in t]
 
     def count(batches):
         seen: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                seen[votes(measures(t or "")[0])] += 1
+                seen[votes(measures(t or "", mined)[0])] += 1
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in seen]), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
 
@@ -193,7 +219,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> dict:
 
     def collect(batches):
         for b in batches:
-            got = [features(t or "", bits) for t in b.column(1).to_pylist()]
+            got = [features(t or "", bits, mined) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(v) for v, _ in got], pa.list_(pa.int32())), pa.array([f for _, f in got], pa.list_(pa.int32()))], ["h", "votes", "features"])
 
     rows = docs.select(h.alias("h"), "text").filter(F.col("h") <= F.lit(top)).mapInArrow(collect, "h long, votes array<int>, features array<int>").orderBy("h").limit(sample).collect() if top is not None else []
@@ -208,7 +234,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, bits: int = BITS) -> dict:
         posts[task] = posterior(v[:, at : at + len(names)], share, table) if len(rows) else np.zeros(0)
         labellers[task] = {"share": share, "accuracy": dict(zip(names, table.tolist(), strict=False))}
         at += len(names)
-    out = {}
+    out: dict = {"mined": mined}
     for scorer, tasks in SCORERS.items():
         w, b = train(f, 1 - np.prod([1 - posts[t] for t in tasks], axis=0), bits)
         used = np.flatnonzero(w)
@@ -220,33 +246,34 @@ def score(docs: DataFrame, model: dict, bits: int = BITS, threshold: float = 0.5
     """docs with junk_score, toxic_score (double) and keep (boolean); columns of these names are overwritten."""
     new = ["junk_score", "toxic_score", "keep"]
     docs = docs.drop(*new)
-    small = {t: (m["at"], m["weight"], m["bias"]) for t, m in model.items()}
+    mined = model["mined"]
+    small = {t: (model[t]["at"], model[t]["weight"], model[t]["bias"]) for t in SCORERS}
     at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.DoubleType()), T.StructField(new[2], T.BooleanType())])
 
     def run(batches):
-        dense = {}
-        for t, (where, weight, bias) in small.items():
-            w = np.zeros(1 << bits)
-            w[where] = weight
-            dense[t] = (w, bias)
+        mask = (1 << bits) - 1
+        weights = {t: dict(zip(where.tolist(), weight.tolist(), strict=True)) for t, (where, weight, _) in small.items()}
         for b in batches:
-            scores = {t: np.zeros(b.num_rows) for t in dense}
+            scores = {t: np.zeros(b.num_rows) for t in small}
             for i, text in enumerate(b.column(at).to_pylist()):
                 if not text:
                     continue
-                f = features(text, bits)[1]
-                for t, (w, bias) in dense.items():
-                    scores[t][i] = 1 / (1 + np.exp(-np.clip(w[f].sum() + bias, -30, 30)))
+                m, words = measures(text, mined)
+                words.update(buckets(m))
+                hashed = {crc32(w.encode()) & mask for w in words}
+                for t, w in weights.items():
+                    total = sum(map(w.__getitem__, hashed & w.keys())) + small[t][2]
+                    scores[t][i] = 1 / (1 + exp(-max(-30.0, min(30.0, total))))
             keep = (scores["junk"] < threshold) & (scores["toxic"] < threshold)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores["junk"]), pa.array(scores["toxic"]), pa.array(keep)], [*b.schema.names, *new])
 
     return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    return score(docs, fit(docs, sample))
+def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
+    return score(docs, fit(docs, labels, sample))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(docs_of(spark, sf_dir).select("doc_id", "text")).select("doc_id", "junk_score", "toxic_score", "keep")
+    return classify(docs_of(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("doc_id", "junk_score", "toxic_score", "keep")

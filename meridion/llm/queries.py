@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, packing, pieces, quality, sharding, topk
+from . import ann, licenses, near, packing, pieces, pii, quality, sharding, topk
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_personal_data": pii.op2_personal_data,
         "op3_license_scan": licenses.op3_license_scan,
+        "op5_ngram_jaccard": near.op5_ngram_jaccard,
         "op6_exact_top_k": topk.op6_exact_top_k,
         "op7_packing": packing.op7_packing,
         "op8_sharding": sharding.op8_sharding,
