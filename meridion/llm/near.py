@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     group = components(found.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
     out = members.join(links, "cid", "left").join(group.withColumnsRenamed({"node": "cid", "root": "group_id"}), "cid", "left")
     out = out.select("doc_id", F.col("cid").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "cid").alias("group_id"))
-    alone = docs.filter("doc_id is not null").filter(F.coalesce(F.regexp_replace("text", r"[\s\u001c-\u001f\u0085   -     　]+", ""), F.lit("")) == "").select(F.col("doc_id").cast("long").alias("doc_id"))
+    alone = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(members.select("doc_id"), "doc_id", "left_anti")
     return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id")))
 
 
