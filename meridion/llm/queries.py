@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, licenses, near, packing, pieces, pii, quality, sharding, topk
+from . import ann, licenses, lines, near, packing, pieces, pii, quality, sharding, topk
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op2_personal_data": pii.op2_personal_data,
         "op3_license_scan": licenses.op3_license_scan,
+        "op4_line_dedup": lines.op4_line_dedup,
         "op5_ngram_jaccard": near.op5_ngram_jaccard,
         "op6_exact_top_k": topk.op6_exact_top_k,
         "op7_packing": packing.op7_packing,
