@@ -1,4 +1,8 @@
 """Every registered query with its SQL: name -> query, name -> DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from .plans import demand
+
+QUERIES: dict = {**demand.Q}
+ORACLES: dict[str, str] = {**demand.O}
