@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import demand
+from .plans import demand, network, streams
 
-QUERIES: dict = {**demand.Q}
-ORACLES: dict[str, str] = {**demand.O}
+QUERIES: dict = {**demand.Q, **network.Q, **streams.Q}
+ORACLES: dict[str, str] = {**demand.O, **network.O, **streams.O}
