@@ -46,9 +46,9 @@ def _(spark, d):
     return got.select("user_id", "event_id", "t", F.col("arrive").cast("long").alias("arrive"))
 
 
-@query("pareto_front", "SELECT origin, destination, route_type, round(price, 1) AS price, round(time, 4) AS time FROM {los} l WHERE NOT EXISTS (SELECT 1 FROM {los} m WHERE m.origin = l.origin AND m.destination = l.destination AND m.price <= l.price AND m.time <= l.time AND (m.price < l.price OR m.time < l.time OR m.route_type < l.route_type))")
+@query("pareto_front", "SELECT origin, destination, route_type, n, round(time, 4) AS time FROM {los} l WHERE NOT EXISTS (SELECT 1 FROM {los} m WHERE m.origin = l.origin AND m.destination = l.destination AND m.price <= l.price AND m.time <= l.time AND (m.price < l.price OR m.time < l.time OR m.route_type < l.route_type))")
 def _(spark, d):
-    return J.pareto(table(spark, d, "los"), ["origin", "destination"], "price", "time", ["route_type"]).select("origin", "destination", "route_type", r4("price", 1), r4("time"))
+    return J.pareto(table(spark, d, "los"), ["origin", "destination"], "price", "time", ["route_type"]).select("origin", "destination", "route_type", "n", r4("time"))
 
 
 POINTS = "pts AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 101 AS DOUBLE) AS x, CAST(c_custkey * 53 % 103 AS DOUBLE) AS y FROM {customer}), tgt AS (SELECT s_suppkey AS target, CAST(s_suppkey * 41 % 101 AS DOUBLE) AS tx, CAST(s_suppkey * 59 % 103 AS DOUBLE) AS ty FROM {supplier}), nn AS (SELECT id, target, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS distance FROM pts JOIN tgt ON abs(x - tx) <= 20 AND abs(y - ty) <= 20)"
