@@ -84,6 +84,9 @@ def equilibrium(links: DataFrame, volumes: DataFrame, method: str = "bfw", round
             m = sum((last[e] - x[e]) * slope[e] * (y[e] - last[e]) for e in edge)
             mix = min(0.99, max(0.0, n / m)) if m else 0.0
             target = {e: mix * last[e] + (1 - mix) * y[e] for e in edge}
+            # A direction that hardly falls beside the plain one is given up.
+            if sum((target[e] - x[e]) * t[e] for e in edge) > 0.2 * sum((y[e] - x[e]) * t[e] for e in edge):
+                target = y
         d = {e: target[e] - x[e] for e in edge}
         step = 1 / (k + 1) if method == "msa" else search(x, d)
         x, last = {e: x[e] + step * d[e] for e in edge}, target
