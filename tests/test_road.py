@@ -4,7 +4,7 @@ import pytest
 
 from meridion.operators import graph, road
 
-LINKS = [("p", "a", 10.0, 0.0), ("b", "q", 10.0, 0.0), ("a", "m1", 10.0, 200.0), ("m1", "b", 10.0, 200.0), ("a", "m2", 20.0, 400.0), ("m2", "b", 10.0, 400.0), ("a", "m3", 25.0, 300.0), ("m3", "b", 10.0, 300.0)]
+LINKS = [("p", "a", 10.0, 0.0), ("b", "q", 10.0, 0.0), ("a", "m1", 10.0, 200.0), ("m1", "b", 10.0, 0.0), ("a", "m2", 20.0, 400.0), ("m2", "b", 10.0, 0.0), ("a", "m3", 25.0, 300.0), ("m3", "b", 10.0, 0.0)]
 
 
 @pytest.fixture
