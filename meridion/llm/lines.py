@@ -35,33 +35,46 @@ FILTER_WORDS = 1 << 20
 
 
 class Tokens:
-    """Distinct 48-bit token hashes of a line."""
+    """Distinct 48-bit token hashes of lines, flat: all lines of a batch in one array."""
 
     def __init__(self):
         import xxhash
 
         self.hash, self.known = xxhash.xxh64_intdigest, {}
 
-    def lines(self, text: str) -> list[np.ndarray]:
+    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, line, size, tokens) of the lines that have tokens; a line's tokens follow those of the line before."""
         known = self.known
         if len(known) > 1_000_000:
             known.clear()
-        lower = text.lower()
-        cut = [line.split() for line in lower.split("\n")]
-        for words in cut:
-            for w in words:
-                if w not in known:
-                    known[w] = self.hash(w) & 0xFFFFFFFFFFFF
-        out = []
-        for words in cut:
-            words = set(words)
-            out.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-        return out
-
-
-def set_key(tokens: np.ndarray) -> int:
+        rows, numbers, sizes, out = [], [], [], []
+        get, add = known.get, out.append
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            for k, line in enumerate(text.lower().split("\n")):
+                words = set(line.split())
+                if words:
+                    for w in words:
+                        h = get(w)
+                        if h is None:
+                            h = known[w] = self.hash(w) & 0xFFFFFFFFFFFF
+                        add(h)
+                    rows.append(i)
+                    numbers.append(k)
+                    sizes.append(len(words))
+        return np.array(rows, np.int64), np.array(numbers, np.int32), np.array(sizes, np.int64), np.array(out, np.uint64)
+
+
+def set_keys(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each set, whatever its order."""
     with np.errstate(over="ignore"):
-        return int((mix64(tokens).sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.bitwise_xor.reduce(mix64(tokens + np.uint64(1 << 50)))).view(np.int64))
+        total = np.add.reduceat(mix64(tokens), starts) * np.uint64(0x9E3779B97F4A7C15)
+        return (total ^ np.bitwise_xor.reduceat(mix64(tokens + np.uint64(1 << 50)), starts)).view(np.int64)
+
+
+def starts_of(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
 
 
 def pack48(tokens: np.ndarray) -> bytes:
@@ -75,9 +88,9 @@ def unpack48(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def least_overlap(threshold: float, n: int) -> int:
+def least_overlap(threshold: float, n):
     """The smallest whole number that is at least threshold * n."""
-    return int(np.ceil(threshold * n - 1e-9))
+    return np.ceil(threshold * np.asarray(n) - 1e-9).astype(np.int64)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
@@ -86,9 +99,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches):
         tokens, n = Tokens(), np.zeros(CELLS, np.int64)
         for b in batches:
-            found = [x for t in b.column(0).to_pylist() for x in tokens.lines(t or "")]
-            if found:
-                n += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            found = tokens.flat(b.column(0).to_pylist())[3]
+            n += np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
 
@@ -100,33 +112,29 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, line, set, n, prefix): each line with tokens; prefix holds its first tokens by rarity, packed; empty where a set can match itself only."""
+    """(doc_id, line, set, n, prefix): each line with tokens; prefix holds its first tokens by rarity; empty where a set can match itself only."""
     table = pickle.dumps(order)
 
     def run(batches):
         counts, tokens = pickle.loads(table), Tokens()
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, x in enumerate(tokens.lines(t or "")):
-                    n = len(x)
-                    if n:
-                        # No other size has an overlap that is high enough.
-                        alone = n - least_overlap(threshold, n) < 1 and least_overlap(threshold, n + 1) > n
-                        p = 0 if alone else n - least_overlap(threshold, n) + 1
-                        first = x[np.lexsort((x, counts[(x % np.uint64(CELLS)).astype(np.int64)]))[:p]] if p else x[:0]
-                        rows.append((i, k, set_key(x), n, pack48(first)))
-                if len(rows) > 20_000:
-                    yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
-
-    def batch(rows):
-        i, k, s, n, p = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int32()), pa.array(p, pa.binary())], ["doc_id", "line", "set", "n", "prefix"])
-
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, prefix binary")
+            row, line, n, flat = tokens.flat(b.column(1).to_pylist())
+            if not len(n):
+                continue
+            starts = starts_of(n)
+            keys = set_keys(flat, starts)
+            # No other size has an overlap that is high enough.
+            alone = (n - least_overlap(threshold, n) < 1) & (least_overlap(threshold, n + 1) > n)
+            p = np.where(alone, 0, n - least_overlap(threshold, n) + 1)
+            rare = np.minimum(counts[(flat % np.uint64(CELLS)).astype(np.int64)], 0xFFFF).astype(np.uint64) << np.uint64(48) | flat
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((rare, owner))
+            first = np.arange(len(flat)) - np.repeat(starts, n) < np.repeat(p, n)
+            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(flat[order][first].view(np.int64)))
+            ids = b.column(0).to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(line), pa.array(keys), pa.array(n.astype(np.int32)), prefix], ["doc_id", "line", "set", "n", "prefix"])
+
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, prefix array<long>")
 
 
 def wanted(ids: DataFrame) -> np.ndarray:
@@ -152,16 +160,16 @@ def matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     def run(batches):
         tokens, words = Tokens(), pickle.loads(packed)
         for b in batches:
-            rows: dict = {}
-            for t in b.column(0).to_pylist():
-                for x in tokens.lines(t or ""):
-                    if len(x):
-                        k = set_key(x)
-                        at = k % (FILTER_WORDS * 64)
-                        if (int(words[at // 64]) >> (at % 64)) & 1:
-                            rows[k] = x
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([pack48(np.sort(x)) for x in rows.values()], pa.binary())], ["set", "tokens"])
+            _, _, n, flat = tokens.flat(b.column(0).to_pylist())
+            if not len(n):
+                continue
+            starts = starts_of(n)
+            keys, one = np.unique(set_keys(flat, starts), return_index=True)
+            spot = keys % (FILTER_WORDS * 64)
+            hit = (words[spot // 64] >> (spot % 64)) & 1 == 1
+            if hit.any():
+                held = [pack48(np.sort(flat[starts[k] : starts[k] + n[k]])) for k in one[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(held, pa.binary())], ["set", "tokens"])
 
     every = docs.filter("doc_id is not null").select("text").mapInArrow(run, "set long, tokens binary")
     found = every.groupBy("set").agg(F.first("tokens").alias("tokens"))
@@ -185,10 +193,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = stored(line_sets(docs, rarity(docs), threshold), "lines")
     place = F.struct("doc_id", "line")
     sets = stored(lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-sets")
-    at = F.col("i") * 12 + 1
-    hexed = F.hex("prefix")
-    tokens = sets.filter(F.octet_length("prefix") > 0).select("set", "first", "f", "n", F.explode(F.sequence(F.lit(0), (F.octet_length("prefix") / 6 - 1).cast("int"))).alias("i"), hexed.alias("h"))
-    postings = tokens.select(F.conv(F.substr("h", at, F.lit(12)), 16, 10).cast("long").alias("token"), "set", "first", "f", "n", "i")
+    postings = sets.select("set", "first", "f", "n", F.posexplode("prefix").alias("i", "token"))
     t = F.lit(threshold)
     # Two sets of n and m tokens need an overlap of t / (1 + t) * (n + m).
     need = lambda n, m: F.ceil(t / (1 + t) * (n + m) - 1e-9)
