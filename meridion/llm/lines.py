@@ -32,6 +32,7 @@ from .common import docs_of, mix64, stored
 
 THRESHOLD, CELLS, LOW = 0.8, 1 << 18, np.uint64((1 << 48) - 1)
 FILTER_WORDS = 1 << 20
+BITS = FILTER_WORDS * 64
 
 
 class Tokens:
@@ -137,22 +138,49 @@ def line_sets(docs: DataFrame, order: np.ndarray, threshold: float) -> DataFrame
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, prefix array<long>")
 
 
-def wanted(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of one hash over `set`, of fixed size."""
-    bit = F.pmod("set", F.lit(FILTER_WORDS * 64))  # a set's key is a hash already
-    rows = ids.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+def cells(rows: DataFrame) -> np.ndarray:
+    """A table of BITS bits, of fixed size, with those of rows' column `bit` set."""
+    words = rows.select(F.floor(F.col("bit") / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")).alias("x")).groupBy("word").agg(F.bit_or("x").alias("bits"))
     out = np.zeros(FILTER_WORDS, np.int64)
-    for r in rows.toArrow().to_batches():
+    for r in words.toArrow().to_batches():
         out[r.column(0).to_numpy()] = r.column(1).to_numpy()
     return out
 
 
+def is_set(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % BITS
+    return (words[at // 64] >> (at % 64)) & 1 == 1
+
+
+def shared_postings(sets: DataFrame) -> DataFrame:
+    """(token, set, doc, line, f, n, i) of the prefix tokens, without those that one set alone has.
+
+    Tokens are counted by cell; a cell with one posting holds a token that joins nothing."""
+    spots = sets.select(F.explode("prefix").alias("t")).select(F.pmod("t", F.lit(BITS)).alias("bit")).groupBy("bit").agg(F.count("*").alias("k")).filter("k > 1")
+    packed = pickle.dumps(cells(spots))
+
+    def run(batches):
+        words = pickle.loads(packed)
+        for b in batches:
+            prefix = b.column("prefix")
+            token = prefix.flatten().to_numpy()
+            size = np.diff(prefix.offsets.to_numpy())
+            owner = np.repeat(np.arange(b.num_rows), size)
+            i = (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            hit = is_set(words, token)
+            rest = b.drop_columns(["prefix"]).take(pa.array(owner[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), *rest.columns, pa.array(i[hit])], ["token", *rest.schema.names, "i"])
+
+    flat = sets.select("set", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"), "f", "n", "prefix").filter(F.size("prefix") > 0)
+    return flat.mapInArrow(run, "token long, set long, doc long, line int, f long, n int, i int")
+
+
 def matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """Of pairs (a, b) of sets, the b of those that are similar."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
 
-    bits = wanted(ids)
+    bits = cells(ids.select(F.pmod("set", F.lit(BITS)).alias("bit")))  # a set's key is a hash already
     if not bits.any():
         return pairs.select(F.col("b").alias("set")).limit(0)
     packed = pickle.dumps(bits)
@@ -165,8 +193,7 @@ def matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 continue
             starts = starts_of(n)
             keys, one = np.unique(set_keys(flat, starts), return_index=True)
-            spot = keys % (FILTER_WORDS * 64)
-            hit = (words[spot // 64] >> (spot % 64)) & 1 == 1
+            hit = is_set(words, keys)
             if hit.any():
                 held = [pack48(np.sort(flat[starts[k] : starts[k] + n[k]])) for k in one[hit]]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(held, pa.binary())], ["set", "tokens"])
@@ -193,7 +220,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = stored(line_sets(docs, rarity(docs), threshold), "lines")
     place = F.struct("doc_id", "line")
     sets = stored(lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-sets")
-    postings = sets.select("set", "first", "f", "n", F.posexplode("prefix").alias("i", "token"))
+    postings = stored(shared_postings(sets), "postings").withColumn("first", F.struct(F.col("doc").alias("doc_id"), "line")).drop("doc", "line")
     t = F.lit(threshold)
     # Two sets of n and m tokens need an overlap of t / (1 + t) * (n + m).
     need = lambda n, m: F.ceil(t / (1 + t) * (n + m) - 1e-9)
