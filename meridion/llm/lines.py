@@ -2,16 +2,22 @@
 
 A line is the set of its tokens (lower case, cut at white space). Lines of
 equal sets are one set, whose place is its first line by doc_id and number.
-Tokens are ordered by rarity, counted over all lines in a fixed number of
+Tokens are ordered by rarity, counted over all texts in a fixed number of
 hashed cells, so any corpus gives a table of the same size. Sets are joined on
-the tokens of their prefixes; pairs pass the length and the positional filter;
-then the Jaccard similarity of the whole sets is verified. A line is removed if
-an earlier line has the same set or a similarity of `threshold` or more.
-
-A set needs one earlier match only, so it is held first against two sets of
-each of its prefix tokens, the earliest and the most frequent; only sets that
-this leaves open are joined with all others. Groups of near copies thus don't
-make all their pairs.
+the tokens of their prefixes; pairs pass the length and the positional filter
+and a filter on 128-bit parity maps of the sets (each token that one set alone
+has flips one bit, so sets that differ in more bits than similar sets can have
+tokens of their own are not similar); then the Jaccard similarity of the whole
+sets is verified. A line is removed if an earlier line has the same set or a
+similarity of `threshold` or more.
+
+A set needs one earlier match only. Tokens that the corpus holds often may have
+long lists of sets, so a set is held first against two sets of each of its
+frequent prefix tokens, the earliest and the most frequent. Sets that this
+leaves open are joined with all earlier ones; of the pairs, the closest of each
+set is verified first, and the others only where that fails. Groups of near
+copies thus don't make all their pairs. Tokens that the corpus holds once join
+nothing and are left out.
 
 Cases: lines without tokens (null or empty texts, blank lines) are never
 removed; rows with a null doc_id take no part and keep their text; of repeated
@@ -21,72 +27,58 @@ texts and lines of any length are read whole; an empty table gives no rows.
 
 from __future__ import annotations
 
-import pickle
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, mix64, stored
+from .common import docs_of, stored
 
-THRESHOLD, CELLS, LOW = 0.8, 1 << 18, np.uint64((1 << 48) - 1)
+THRESHOLD, CELLS = 0.8, 1 << 21
+#: Steps of an octave in ranks of rarity; the rank of a token that the corpus holds once; the one from which its list of sets may be long.
+STEPS = 6
+ONCE, FREQUENT = STEPS, STEPS * 7
 FILTER_WORDS = 1 << 20
 BITS = FILTER_WORDS * 64
+#: A token is known by its rank and 40 bits of its hash, 21 others give its cell, 7 its bit in the parity map.
+HASH_BITS, CELL_AT, MAP_AT = 40, 40, 57
+SLICE = 1 << 16
 
 
-class Tokens:
-    """Distinct 48-bit token hashes of lines, flat: all lines of a batch in one array."""
+class Words(dict):
+    """64-bit hashes of words."""
 
-    def __init__(self):
+    def __missing__(self, word: str) -> int:
         import xxhash
 
-        self.hash, self.known = xxhash.xxh64_intdigest, {}
-
-    def flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, line, size, tokens) of the lines that have tokens; a line's tokens follow those of the line before."""
-        known = self.known
-        if len(known) > 1_000_000:
-            known.clear()
-        rows, numbers, sizes, out = [], [], [], []
-        get, add = known.get, out.append
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            for k, line in enumerate(text.lower().split("\n")):
-                words = set(line.split())
-                if words:
-                    for w in words:
-                        h = get(w)
-                        if h is None:
-                            h = known[w] = self.hash(w) & 0xFFFFFFFFFFFF
-                        add(h)
-                    rows.append(i)
-                    numbers.append(k)
-                    sizes.append(len(words))
-        return np.array(rows, np.int64), np.array(numbers, np.int32), np.array(sizes, np.int64), np.array(out, np.uint64)
-
-
-def set_keys(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set, whatever its order."""
-    with np.errstate(over="ignore"):
-        total = np.add.reduceat(mix64(tokens), starts) * np.uint64(0x9E3779B97F4A7C15)
-        return (total ^ np.bitwise_xor.reduceat(mix64(tokens + np.uint64(1 << 50)), starts)).view(np.int64)
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
-def starts_of(sizes: np.ndarray) -> np.ndarray:
-    return np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+def flat_tokens(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line, size, hashes) of the lines that have tokens; a line's distinct hashes follow those of the line before."""
+    rows, numbers, sizes, out = array("q"), array("i"), array("q"), array("Q")
+    get = known.__getitem__
+    for i, text in enumerate(texts):
+        if not text:
+            continue
+        for k, line in enumerate(text.lower().split("\n")):
+            words = set(line.split())
+            if words:
+                out.extend(map(get, words))
+                rows.append(i)
+                numbers.append(k)
+                sizes.append(len(words))
+    return np.array(rows, np.int64), np.array(numbers, np.int32), np.array(sizes, np.int64), np.array(out, np.uint64)
 
 
-def pack48(tokens: np.ndarray) -> bytes:
-    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def unpack48(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
-    return out.reshape(-1).view("<u8")
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(CELL_AT) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def least_overlap(threshold: float, n):
@@ -95,47 +87,69 @@ def least_overlap(threshold: float, n):
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences, over all lines, of the tokens of each cell."""
+    """The rank of the tokens of each cell: STEPS times the binary logarithm of their occurrences in all texts plus one."""
 
-    def count(batches):
-        tokens, n = Tokens(), np.zeros(CELLS, np.int64)
-        for b in batches:
-            found = tokens.flat(b.column(0).to_pylist())[3]
-            n += np.bincount((found % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    def flush(seen: Counter):
+        cells = cell_of(np.fromiter(map(Words().__missing__, seen), np.uint64, len(seen)))
+        n = np.bincount(cells, np.fromiter(seen.values(), np.float64, len(seen)), CELLS).astype(np.int64)
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["cell", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
 
-    out = np.zeros(CELLS, np.int64)
-    # CELLS rows at most.
-    for r in docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_batches():
+    def count(batches):
+        seen = Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if text:
+                    seen.update(text.lower().split())
+                    if len(seen) > 1_000_000:
+                        yield flush(seen)
+                        seen.clear()
+        yield flush(seen)
+
+    ranks = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.least(F.lit(255), F.floor(F.log2(F.sum("n") + 1) * STEPS + 1e-6)).cast("short").alias("rank"))
+    out = np.zeros(CELLS, np.uint8)
+    for r in ranks.toArrow().to_batches():  # CELLS rows at most
         out[r.column(0).to_numpy()] = r.column(1).to_numpy()
     return out
 
 
-def line_sets(docs: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, line, set, n, prefix): each line with tokens; prefix holds its first tokens by rarity; empty where a set can match itself only."""
-    table = pickle.dumps(order)
+def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
+    """(doc_id, line, set, n, skip, p0, p1, prefix): each line with tokens.
+
+    prefix holds its first tokens by rarity, without `skip` that the corpus holds once; it is empty where a set can match
+    itself only. p0 and p1 are the parity map."""
+
+    def parity(bits, word, starts):
+        return np.bitwise_xor.reduceat(np.where(bits >> 6 == word, np.uint64(1) << (bits & 63).astype(np.uint64), np.uint64(0)), starts).view(np.int64)
+
+    def of_slice(ids, line, n, flat):
+        starts = np.cumsum(n) - n
+        # No other size has an overlap that is high enough.
+        alone = (n - least_overlap(threshold, n) < 1) & (least_overlap(threshold, n + 1) > n)
+        p = np.where(alone, 0, n - least_overlap(threshold, n) + 1)
+        rank = ranks[cell_of(flat)].astype(np.uint64)
+        # Tokens of one rank and hash are one element, held more than once; the filters hold for such sets too.
+        token = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(48), n) | rank << np.uint64(HASH_BITS) | flat & np.uint64((1 << HASH_BITS) - 1)
+        token.sort()
+        token &= np.uint64((1 << 48) - 1)
+        first = np.arange(len(flat)) - np.repeat(starts, n) < np.repeat(p, n)
+        keep = first & (token >> np.uint64(HASH_BITS) > ONCE)
+        held = np.add.reduceat(keep.astype(np.int64), starts)
+        prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(token[keep].view(np.int64)))
+        bits = (flat >> np.uint64(MAP_AT)).astype(np.int64)
+        key = np.add.reduceat(flat, starts).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(line), pa.array(key), pa.array(n.astype(np.int32)), pa.array((p - held).astype(np.int32)), pa.array(parity(bits, 0, starts)), pa.array(parity(bits, 1, starts)), prefix], ["doc_id", "line", "set", "n", "skip", "p0", "p1", "prefix"])
 
     def run(batches):
-        counts, tokens = pickle.loads(table), Tokens()
+        known = Words()
         for b in batches:
-            row, line, n, flat = tokens.flat(b.column(1).to_pylist())
-            if not len(n):
-                continue
-            starts = starts_of(n)
-            keys = set_keys(flat, starts)
-            # No other size has an overlap that is high enough.
-            alone = (n - least_overlap(threshold, n) < 1) & (least_overlap(threshold, n + 1) > n)
-            p = np.where(alone, 0, n - least_overlap(threshold, n) + 1)
-            rare = np.minimum(counts[(flat % np.uint64(CELLS)).astype(np.int64)], 0xFFFF).astype(np.uint64) << np.uint64(48) | flat
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((rare, owner))
-            first = np.arange(len(flat)) - np.repeat(starts, n) < np.repeat(p, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)), pa.array(flat[order][first].view(np.int64)))
-            ids = b.column(0).to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(line), pa.array(keys), pa.array(n.astype(np.int32)), prefix], ["doc_id", "line", "set", "n", "prefix"])
-
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, prefix array<long>")
+            row, line, n, flat = flat_tokens(b.column(1).to_pylist(), known)
+            ids, ends = b.column(0).to_numpy()[row], np.cumsum(n)
+            for at in range(0, len(n), SLICE):
+                to = min(at + SLICE, len(n))
+                yield of_slice(ids[at:to], line[at:to], n[at:to], flat[ends[at] - n[at] : ends[to - 1]])
+
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, skip int, p0 long, p1 long, prefix array<long>")
 
 
 def cells(rows: DataFrame) -> np.ndarray:
@@ -147,105 +161,106 @@ def cells(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def is_set(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys % BITS
+def is_set(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (words[at // 64] >> (at % 64)) & 1 == 1
 
 
-def shared_postings(sets: DataFrame) -> DataFrame:
-    """(token, set, doc, line, f, n, i) of the prefix tokens, without those that one set alone has.
-
-    Tokens are counted by cell; a cell with one posting holds a token that joins nothing."""
-    spots = sets.select(F.explode("prefix").alias("t")).select(F.pmod("t", F.lit(BITS)).alias("bit")).groupBy("bit").agg(F.count("*").alias("k")).filter("k > 1")
-    packed = pickle.dumps(cells(spots))
+def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (b, a) of sets, the b (as `set`) of those that are similar.
 
-    def run(batches):
-        words = pickle.loads(packed)
-        for b in batches:
-            prefix = b.column("prefix")
-            token = prefix.flatten().to_numpy()
-            size = np.diff(prefix.offsets.to_numpy())
-            owner = np.repeat(np.arange(b.num_rows), size)
-            i = (np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-            hit = is_set(words, token)
-            rest = b.drop_columns(["prefix"]).take(pa.array(owner[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), *rest.columns, pa.array(i[hit])], ["token", *rest.schema.names, "i"])
-
-    flat = sets.select("set", F.col("first.doc_id").alias("doc"), F.col("first.line").alias("line"), "f", "n", "prefix").filter(F.size("prefix") > 0)
-    return flat.mapInArrow(run, "token long, set long, doc long, line int, f long, n int, i int")
-
-
-def matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of sets, the b of those that are similar."""
+    Lines are taken from the texts by their places; a table of bits of fixed size leaves out most others."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-
-    bits = cells(ids.select(F.pmod("set", F.lit(BITS)).alias("bit")))  # a set's key is a hash already
-    if not bits.any():
+    places = sets.select("set", "first").join(ids, "set", "left_semi")
+    words = cells(places.select(F.pmod(F.col("first.doc_id").bitwiseXOR(F.shiftleft(F.col("first.line").cast("long"), 17)), F.lit(BITS)).alias("bit")))
+    if not words.any():
         return pairs.select(F.col("b").alias("set")).limit(0)
-    packed = pickle.dumps(bits)
 
     def run(batches):
-        tokens, words = Tokens(), pickle.loads(packed)
+        known = Words()
         for b in batches:
-            _, _, n, flat = tokens.flat(b.column(0).to_pylist())
-            if not len(n):
+            rows, numbers, lines = array("q"), array("q"), []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                if text:
+                    cut = text.lower().split("\n")
+                    rows.extend([i] * len(cut))
+                    numbers.extend(range(len(cut)))
+                    lines += cut
+            if not lines:
                 continue
-            starts = starts_of(n)
-            keys, one = np.unique(set_keys(flat, starts), return_index=True)
-            hit = is_set(words, keys)
-            if hit.any():
-                held = [pack48(np.sort(flat[starts[k] : starts[k] + n[k]])) for k in one[hit]]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[hit]), pa.array(held, pa.binary())], ["set", "tokens"])
-
-    every = docs.filter("doc_id is not null").select("text").mapInArrow(run, "set long, tokens binary")
-    found = every.groupBy("set").agg(F.first("tokens").alias("tokens"))
-    found = stored(found.join(ids, "set", "left_semi"), "tokens")
-    both = pairs.join(found.withColumnsRenamed({"set": "a", "tokens": "ta"}), "a").join(found.withColumnsRenamed({"set": "b", "tokens": "tb"}), "b").select("b", "ta", "tb")
+            at = (b.column(0).to_numpy()[np.array(rows)] ^ np.array(numbers, np.int64) << 17) % BITS
+            keys, held = array("Q"), []
+            for k in np.flatnonzero(is_set(words, at)):
+                w = set(lines[k].split())
+                if w:
+                    keys.append(sum(map(known.__getitem__, w)) & 0xFFFFFFFFFFFFFFFF)
+                    held.append(" ".join(w))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(held, pa.string())], ["set", "words"])
+
+    every = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "set long, words string")
+    found = stored(every.join(ids, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words")), "words")
+    both = pairs.join(found.withColumnsRenamed({"set": "a", "words": "wa"}), "a").join(found.withColumnsRenamed({"set": "b", "words": "wb"}), "b").select("b", "wa", "wb")
 
     def verify(batches):
         for b in batches:
             hit = []
             for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x, y = unpack48(x), unpack48(y)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+                x, y = set(x.split()), set(y.split())
+                both = len(x & y)
                 hit.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], ["set"])
 
-    return both.mapInArrow(verify, "set long").distinct()
+    return stored(both.mapInArrow(verify, "set long").distinct(), "matched")
+
+
+def differing(x, y) -> Column:
+    """Bits in which the parity maps of x and y differ."""
+    return F.bit_count(x["p0"].bitwiseXOR(y["p0"])) + F.bit_count(x["p1"].bitwiseXOR(y["p1"]))
+
+
+def may_match(x, y, threshold: float) -> Column:
+    """The length, positional and parity filters, for sets that share the token at place i of each."""
+    n, m, t = x["n"], y["n"], F.lit(threshold)
+    # Two sets of n and m tokens need an overlap of t / (1 + t) * (n + m).
+    need = F.ceil(t / (1 + t) * (n + m) - 1e-9)
+    return (m >= t * n - 1e-9) & (n >= t * m - 1e-9) & (F.least(n - x["i"], m - y["i"]) >= need) & (differing(x, y) <= n + m - 2 * need)
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line) of the lines to remove, numbered from 0."""
     lines = stored(line_sets(docs, rarity(docs), threshold), "lines")
-    place = F.struct("doc_id", "line")
-    sets = stored(lines.groupBy("set").agg(F.min(place).alias("first"), F.count("*").alias("f"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-sets")
-    postings = stored(shared_postings(sets), "postings").withColumn("first", F.struct(F.col("doc").alias("doc_id"), "line")).drop("doc", "line")
-    t = F.lit(threshold)
-    # Two sets of n and m tokens need an overlap of t / (1 + t) * (n + m).
-    need = lambda n, m: F.ceil(t / (1 + t) * (n + m) - 1e-9)
-    reach = lambda n, m, i, j: 1 + F.least(n - i, m - j) - 1
-    me = F.struct("first", "set", "n", "i")
-    tops = postings.groupBy("token").agg(F.min(me).alias("early"), F.max(F.struct(F.col("f"), F.col("first"), F.col("set"), F.col("n"), F.col("i"))).alias("often"), F.count("*").alias("many")).filter("many > 1")
-
-    def can(x: str):
-        o = F.col(x)
-        fits = (o["first"] < F.col("first")) & (o["n"] >= t * F.col("n") - 1e-9) & (F.col("n") >= t * o["n"] - 1e-9)
-        return F.when(fits & (reach(F.col("n"), o["n"], F.col("i"), o["i"]) >= need(F.col("n"), o["n"])), o["set"])
-
-    first = postings.join(tops, "token").select(F.col("set").alias("b"), F.explode(F.array_compact(F.array_distinct(F.array(can("early"), can("often"))))).alias("a")).distinct()
-    done = stored(matched(docs, first, threshold), "matched")
-    many = tops.select("token", F.col("early.set").alias("s1"), F.col("often.set").alias("s2"), "many").filter("many > 2")
-    open_sets = postings.join(done, "set", "left_anti").join(many, "token")
-    x, y = open_sets.alias("x"), postings.select("token", "set", "first", "n", "i").alias("y")
-    cond = (F.col("x.token") == F.col("y.token")) & (F.col("y.first") < F.col("x.first")) & (F.col("y.n") >= t * F.col("x.n") - 1e-9) & (F.col("x.n") >= t * F.col("y.n") - 1e-9)
-    cond &= (reach(F.col("x.n"), F.col("y.n"), F.col("x.i"), F.col("y.i")) >= need(F.col("x.n"), F.col("y.n"))) & (F.col("y.set") != F.col("x.s1")) & (F.col("y.set") != F.col("x.s2"))
-    rest = x.join(y, cond).select(F.col("x.set").alias("b"), F.col("y.set").alias("a")).distinct()
-    done = done.unionByName(stored(matched(docs, rest, threshold), "matched"))
-    gone = lines.select("doc_id", "line", "set").join(sets.select("set", "first"), "set")
-    late = gone.filter(F.struct("doc_id", "line") > F.col("first")).select("doc_id", "line")
-    similar = lines.select("doc_id", "line", "set").join(done, "set", "left_semi").select("doc_id", "line")
-    return late.unionByName(similar).distinct()
+    sets = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("f"), *(F.first(c).alias(c) for c in ("n", "skip", "p0", "p1", "prefix")))
+    sets = stored(sets, "line-sets")
+
+    def postings(df: DataFrame, *more: str) -> DataFrame:
+        flat = df.select("set", "first", *more, "n", "skip", "p0", "p1", F.posexplode("prefix").alias("i", "token"))
+        return flat.withColumn("i", F.col("i") + F.col("skip")).drop("skip")
+
+    often = postings(sets, "f").filter(F.col("token") >= FREQUENT << HASH_BITS)
+    me = [F.col(c) for c in ("first", "set", "n", "i", "p0", "p1")]
+    tops = often.groupBy("token").agg(F.min(F.struct(*me)).alias("early"), F.max(F.struct("f", *me)).alias("common"), F.count("*").alias("many")).filter("many > 1")
+    x = {c: F.col(c) for c in ("n", "i", "p0", "p1")}
+    options = [F.when((F.col(o)["first"] < F.col("first")) & may_match(x, F.col(o), threshold), F.struct(differing(x, F.col(o)).alias("d"), F.col(o)["set"].alias("a"))) for o in ("early", "common")]
+    near = often.join(tops, "token").select(F.col("set").alias("b"), F.explode(F.array_compact(F.array(*options))).alias("o")).groupBy("b").agg(F.min("o").alias("o"))
+    done = matched(docs, sets, near.select("b", "o.a"), threshold)
+
+    state = sets.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("open", F.col("done").isNull()).select("*", F.col("first.doc_id").alias("doc"))
+    every = postings(state, "open", "doc").drop("first")
+    x, y = every.alias("x"), every.alias("y")
+    fields = ("set", "open", "doc", "n", "i", "p0", "p1")
+    c, d = ({k: F.col(f"{s}.{k}") for k in fields} for s in "xy")
+    # One condition over both sides: their exchanges are the same, so one is made and read twice.
+    fits = F.when(c["open"] & (d["open"].isNotNull()), (d["doc"] <= c["doc"]) & (d["set"] != c["set"]) & may_match(c, d, threshold)).otherwise(False)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(c["set"].alias("b"), d["set"].alias("a"), differing(c, d).alias("d")).groupBy("b", "a").agg(F.first("d").alias("d"))
+    first = sets.select("set", "first")
+    pairs = pairs.join(first.withColumnsRenamed({"set": "a", "first": "fa"}), "a").join(first.withColumnsRenamed({"set": "b", "first": "fb"}), "b").filter("fa < fb")
+    pairs = stored(pairs.select("b", "a", "d"), "candidates")
+    best = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("o")).select("b", F.col("o.a").alias("a"))
+    done = done.unionByName(matched(docs, sets, best, threshold))
+    rest = pairs.join(best.withColumnRenamed("a", "tried"), "b").filter("a <> tried").join(done.withColumnRenamed("set", "b"), "b", "left_anti").select("b", "a")
+    done = done.unionByName(matched(docs, sets, rest, threshold)).withColumn("done", F.lit(True))
+    known = sets.select("set", "first", "f").join(done, "set", "left").filter("f > 1 or done").drop("f")
+    return lines.select("doc_id", "line", "set").join(known, "set").filter(F.col("done") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line").distinct()
 
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
