@@ -14,10 +14,9 @@ similarity of `threshold` or more.
 A set needs one earlier match only. Tokens that the corpus holds often may have
 long lists of sets, so a set is held first against two sets of each of its
 frequent prefix tokens, the earliest and the most frequent. Sets that this
-leaves open are joined with all earlier ones; of the pairs, the closest of each
-set is verified first, and the others only where that fails. Groups of near
-copies thus don't make all their pairs. Tokens that the corpus holds once join
-nothing and are left out.
+leaves open are joined with all earlier ones. Groups of near copies thus don't
+make all their pairs. Tokens that the corpus holds once join nothing and are
+left out.
 
 Cases: lines without tokens (null or empty texts, blank lines) are never
 removed; rows with a null doc_id take no part and keep their text; of repeated
@@ -27,11 +26,12 @@ texts and lines of any length are read whole; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from array import array
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +43,10 @@ STEPS = 6
 ONCE, FREQUENT = STEPS, STEPS * 7
 FILTER_WORDS = 1 << 20
 BITS = FILTER_WORDS * 64
+#: Sets of at most so many tokens hold their parity map folded to 64 bits.
+SHORT = 96
+#: Cells of a block of counts.
+BLOCK = CELLS // 256
 #: A token is known by its rank and 40 bits of its hash, 21 others give its cell, 7 its bit in the parity map.
 HASH_BITS, CELL_AT, MAP_AT = 40, 40, 57
 SLICE = 1 << 16
@@ -52,8 +56,6 @@ class Words(dict):
     """64-bit hashes of words."""
 
     def __missing__(self, word: str) -> int:
-        import xxhash
-
         if len(self) > 1_000_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
@@ -89,27 +91,31 @@ def least_overlap(threshold: float, n):
 def rarity(docs: DataFrame) -> np.ndarray:
     """The rank of the tokens of each cell: STEPS times the binary logarithm of their occurrences in all texts plus one."""
 
-    def flush(seen: Counter):
-        cells = cell_of(np.fromiter(map(Words().__missing__, seen), np.uint64, len(seen)))
-        n = np.bincount(cells, np.fromiter(seen.values(), np.float64, len(seen)), CELLS).astype(np.int64)
-        at = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["cell", "n"])
-
     def count(batches):
-        seen = Counter()
+        known, n = Words(), np.zeros(CELLS, np.int64)
+        get = known.__getitem__
         for b in batches:
+            seen = array("Q")
             for text in b.column(0).to_pylist():
                 if text:
-                    seen.update(text.lower().split())
-                    if len(seen) > 1_000_000:
-                        yield flush(seen)
-                        seen.clear()
-        yield flush(seen)
+                    seen.extend(map(get, text.lower().split()))
+            if seen:
+                n += np.bincount(cell_of(np.frombuffer(seen, np.uint64)), minlength=CELLS)
+        blocks = [k for k in range(CELLS // BLOCK) if n[k * BLOCK : (k + 1) * BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([zlib.compress(n[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in blocks], pa.binary())], ["block", "counts"])
+
+    def add(batches):
+        total = {}  # CELLS counts at most
+        for b in batches:
+            for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(c), np.int64)
+        ranks = [np.minimum(np.floor(np.log2(n + 1) * STEPS + 1e-6), 255).astype(np.uint8).tobytes() for n in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], ["block", "ranks"])
 
-    ranks = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.least(F.lit(255), F.floor(F.log2(F.sum("n") + 1) * STEPS + 1e-6)).cast("short").alias("rank"))
     out = np.zeros(CELLS, np.uint8)
-    for r in ranks.toArrow().to_batches():  # CELLS rows at most
-        out[r.column(0).to_numpy()] = r.column(1).to_numpy()
+    for r in docs.select("text").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, ranks binary").toArrow().to_batches():
+        for k, x in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), strict=True):  # CELLS bytes at most
+            out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(x, np.uint8)
     return out
 
 
@@ -117,7 +123,7 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
     """(doc_id, line, set, n, skip, p0, p1, prefix): each line with tokens.
 
     prefix holds its first tokens by rarity, without `skip` that the corpus holds once; it is empty where a set can match
-    itself only. p0 and p1 are the parity map."""
+    itself only. p0 and p1 are the parity map; of a short set p0 is the exclusive or of both and p1 is 0."""
 
     def parity(bits, word, starts):
         return np.bitwise_xor.reduceat(np.where(bits >> 6 == word, np.uint64(1) << (bits & 63).astype(np.uint64), np.uint64(0)), starts).view(np.int64)
@@ -138,7 +144,9 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
         prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(token[keep].view(np.int64)))
         bits = (flat >> np.uint64(MAP_AT)).astype(np.int64)
         key = np.add.reduceat(flat, starts).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(line), pa.array(key), pa.array(n.astype(np.int32)), pa.array((p - held).astype(np.int32)), pa.array(parity(bits, 0, starts)), pa.array(parity(bits, 1, starts)), prefix], ["doc_id", "line", "set", "n", "skip", "p0", "p1", "prefix"])
+        p0, p1 = parity(bits, 0, starts), parity(bits, 1, starts)
+        p0, p1 = np.where(n <= SHORT, p0 ^ p1, p0), np.where(n <= SHORT, 0, p1)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(line), pa.array(key), pa.array(n.astype(np.int32)), pa.array((p - held).astype(np.int32)), pa.array(p0), pa.array(p1), prefix], ["doc_id", "line", "set", "n", "skip", "p0", "p1", "prefix"])
 
     def run(batches):
         known = Words()
@@ -214,12 +222,13 @@ def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float
 
 
 def differing(x, y) -> Column:
-    """Bits in which the parity maps of x and y differ."""
-    return F.bit_count(x["p0"].bitwiseXOR(y["p0"])) + F.bit_count(x["p1"].bitwiseXOR(y["p1"]))
+    """Bits in which the parity maps of x and y differ; folded, if one of them is."""
+    p0, p1 = x["p0"].bitwiseXOR(y["p0"]), x["p1"].bitwiseXOR(y["p1"])
+    return F.when((x["n"] <= SHORT) | (y["n"] <= SHORT), F.bit_count(p0.bitwiseXOR(p1))).otherwise(F.bit_count(p0) + F.bit_count(p1))
 
 
 def may_match(x, y, threshold: float) -> Column:
-    """The length, positional and parity filters, for sets that share the token at place i of each."""
+    """The length, positional and parity filters, for sets that share the token at place i of each. False where x has a negative n."""
     n, m, t = x["n"], y["n"], F.lit(threshold)
     # Two sets of n and m tokens need an overlap of t / (1 + t) * (n + m).
     need = F.ceil(t / (1 + t) * (n + m) - 1e-9)
@@ -244,21 +253,17 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = often.join(tops, "token").select(F.col("set").alias("b"), F.explode(F.array_compact(F.array(*options))).alias("o")).groupBy("b").agg(F.min("o").alias("o"))
     done = matched(docs, sets, near.select("b", "o.a"), threshold)
 
-    state = sets.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("open", F.col("done").isNull()).select("*", F.col("first.doc_id").alias("doc"))
-    every = postings(state, "open", "doc").drop("first")
+    # Done sets have a negative n. Both sides of the join read the same columns, so their exchange is made once.
+    state = sets.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")))
+    every = postings(state).withColumn("doc", F.col("first.doc_id")).drop("first")
     x, y = every.alias("x"), every.alias("y")
-    fields = ("set", "open", "doc", "n", "i", "p0", "p1")
-    c, d = ({k: F.col(f"{s}.{k}") for k in fields} for s in "xy")
-    # One condition over both sides: their exchanges are the same, so one is made and read twice.
-    fits = F.when(c["open"] & (d["open"].isNotNull()), (d["doc"] <= c["doc"]) & (d["set"] != c["set"]) & may_match(c, d, threshold)).otherwise(False)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & fits).select(c["set"].alias("b"), d["set"].alias("a"), differing(c, d).alias("d")).groupBy("b", "a").agg(F.first("d").alias("d"))
+    c, d = ({k: F.col(f"{s}.{k}") for k in ("set", "doc", "n", "i", "p0", "p1")} for s in "xy")
+    d["n"] = F.abs(d["n"])
+    fits = (F.col("x.token") == F.col("y.token")) & (d["doc"] <= c["doc"]) & (d["set"] != c["set"]) & may_match(c, d, threshold)
+    pairs = x.join(y, fits).select(c["set"].alias("b"), d["set"].alias("a")).distinct()
     first = sets.select("set", "first")
     pairs = pairs.join(first.withColumnsRenamed({"set": "a", "first": "fa"}), "a").join(first.withColumnsRenamed({"set": "b", "first": "fb"}), "b").filter("fa < fb")
-    pairs = stored(pairs.select("b", "a", "d"), "candidates")
-    best = pairs.groupBy("b").agg(F.min(F.struct("d", "a")).alias("o")).select("b", F.col("o.a").alias("a"))
-    done = done.unionByName(matched(docs, sets, best, threshold))
-    rest = pairs.join(best.withColumnRenamed("a", "tried"), "b").filter("a <> tried").join(done.withColumnRenamed("set", "b"), "b", "left_anti").select("b", "a")
-    done = done.unionByName(matched(docs, sets, rest, threshold)).withColumn("done", F.lit(True))
+    done = done.unionByName(matched(docs, sets, pairs.select("b", "a"), threshold)).withColumn("done", F.lit(True))
     known = sets.select("set", "first", "f").join(done, "set", "left").filter("f > 1 or done").drop("f")
     return lines.select("doc_id", "line", "set").join(known, "set").filter(F.col("done") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line").distinct()
 
