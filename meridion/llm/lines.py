@@ -3,7 +3,8 @@
 A line is the set of its tokens (lower case, cut at white space). Lines of
 equal sets are one set, whose place is its first line by doc_id and number.
 Tokens are ordered by rarity, counted over all texts in a fixed number of
-hashed cells, so any corpus gives a table of the same size. Sets are joined on
+hashed cells, so any corpus gives a table of the same size; words of one 40-bit
+hash and rank are one token. Sets are joined on
 the tokens of their prefixes; pairs pass the length and the positional filter
 and a filter on 128-bit parity maps of the sets (each token that one set alone
 has flips one bit, so sets that differ in more bits than similar sets can have
@@ -27,15 +28,13 @@ texts and lines of any length are read whole; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, stored
+from .common import docs_of, mix64, stored
 
 THRESHOLD, CELLS = 0.8, 1 << 21
 #: Steps of an octave in ranks of rarity; the rank of a token that the corpus holds once; the one from which its list of sets may be long.
@@ -47,40 +46,76 @@ BITS = FILTER_WORDS * 64
 SHORT = 96
 #: Cells of a block of counts.
 BLOCK = CELLS // 256
-#: A token is known by its rank and 40 bits of its hash, 21 others give its cell, 7 its bit in the parity map.
-HASH_BITS, CELL_AT, MAP_AT = 40, 40, 57
+#: A token is known by its rank and 40 bits of its hash; 21 others give its cell.
+HASH_BITS = 40
+HASH = np.uint64((1 << HASH_BITS) - 1)
 SLICE = 1 << 16
+#: Characters that are handled together, a text at least.
+AT_ONCE = 1 << 21
+#: White space beyond ASCII.
+WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+#: Hashes of words are polynomials in BASE, modulo 2 ** 64, of a number for each byte.
+BASE = 0x9E3779B97F4A7C15
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+
+
+class Powers:
+    """Powers of BASE and of its inverse, as many as asked for so far."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            with np.errstate(over="ignore"):
+                self.up, self.down = (np.cumprod(np.full(n, x, np.uint64)) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
+
+def word_hashes(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of all words of texts in lower case; lines are numbered on from text to text."""
+    raw = "\n".join(texts)
+    if not raw.isascii():
+        for c in WIDE:
+            if c in raw:
+                raw = raw.replace(c, " ")
+    data = np.frombuffer(f"{raw}\n".encode(), np.uint8)
+    word = np.zeros(len(data) + 1, np.int8)
+    word[1:] = ~SPACE[data]
+    edges = np.diff(word)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    up, down = powers.of(len(data))
+    sums = BYTES[data]
+    with np.errstate(over="ignore"):
+        sums *= up
+        np.cumsum(sums, out=sums)
+        hashes = mix64((sums[ends - 1] - sums[starts] + BYTES[data[starts]] * up[starts]) * down[starts])
+    return np.searchsorted(np.flatnonzero(data == 10), starts), hashes
+
+
+def together(texts: list[str | None]):
+    """(places, texts in lower case) of texts that are not empty, some AT_ONCE characters at a time."""
+    at, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        if text:
+            at.append(i)
+            held.append(text.lower())
+            size += len(text)
+            if size >= AT_ONCE:
+                yield at, held
+                at, held, size = [], [], 0
+    if held:
+        yield at, held
 
 
-class Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def flat_tokens(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line, size, hashes) of the lines that have tokens; a line's distinct hashes follow those of the line before."""
-    rows, numbers, sizes, out = array("q"), array("i"), array("q"), array("Q")
-    get = known.__getitem__
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        for k, line in enumerate(text.lower().split("\n")):
-            words = set(line.split())
-            if words:
-                out.extend(map(get, words))
-                rows.append(i)
-                numbers.append(k)
-                sizes.append(len(words))
-    return np.array(rows, np.int64), np.array(numbers, np.int32), np.array(sizes, np.int64), np.array(out, np.uint64)
+def set_keys(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(mix64(tokens & HASH), starts).view(np.int64)
 
 
 def cell_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(CELL_AT) & np.uint64(CELLS - 1)).astype(np.int64)
+    return (hashes >> np.uint64(HASH_BITS) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
 def least_overlap(threshold: float, n):
@@ -92,15 +127,10 @@ def rarity(docs: DataFrame) -> np.ndarray:
     """The rank of the tokens of each cell: STEPS times the binary logarithm of their occurrences in all texts plus one."""
 
     def count(batches):
-        known, n = Words(), np.zeros(CELLS, np.int64)
-        get = known.__getitem__
+        powers, n = Powers(), np.zeros(CELLS, np.int64)
         for b in batches:
-            seen = array("Q")
-            for text in b.column(0).to_pylist():
-                if text:
-                    seen.extend(map(get, text.lower().split()))
-            if seen:
-                n += np.bincount(cell_of(np.frombuffer(seen, np.uint64)), minlength=CELLS)
+            for _, texts in together(b.column(0).to_pylist()):
+                n += np.bincount(cell_of(word_hashes(texts, powers)[1]), minlength=CELLS)
         blocks = [k for k in range(CELLS // BLOCK) if n[k * BLOCK : (k + 1) * BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([zlib.compress(n[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in blocks], pa.binary())], ["block", "counts"])
 
@@ -128,34 +158,40 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
     def parity(bits, word, starts):
         return np.bitwise_xor.reduceat(np.where(bits >> 6 == word, np.uint64(1) << (bits & 63).astype(np.uint64), np.uint64(0)), starts).view(np.int64)
 
-    def of_slice(ids, line, n, flat):
+    def of_slice(ids, line, owner, hashes):
+        rank = ranks[cell_of(hashes)].astype(np.uint64)
+        token = owner.astype(np.uint64) << np.uint64(48) | rank << np.uint64(HASH_BITS) | hashes & HASH
+        token.sort()
+        token = token[np.concatenate([[True], token[1:] != token[:-1]])]
+        n = np.bincount((token >> np.uint64(48)).astype(np.int64), minlength=len(ids))
+        token &= np.uint64((1 << 48) - 1)
         starts = np.cumsum(n) - n
         # No other size has an overlap that is high enough.
         alone = (n - least_overlap(threshold, n) < 1) & (least_overlap(threshold, n + 1) > n)
         p = np.where(alone, 0, n - least_overlap(threshold, n) + 1)
-        rank = ranks[cell_of(flat)].astype(np.uint64)
-        # Tokens of one rank and hash are one element, held more than once; the filters hold for such sets too.
-        token = np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(48), n) | rank << np.uint64(HASH_BITS) | flat & np.uint64((1 << HASH_BITS) - 1)
-        token.sort()
-        token &= np.uint64((1 << 48) - 1)
-        first = np.arange(len(flat)) - np.repeat(starts, n) < np.repeat(p, n)
+        first = np.arange(len(token)) - np.repeat(starts, n) < np.repeat(p, n)
         keep = first & (token >> np.uint64(HASH_BITS) > ONCE)
         held = np.add.reduceat(keep.astype(np.int64), starts)
         prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32)), pa.array(token[keep].view(np.int64)))
-        bits = (flat >> np.uint64(MAP_AT)).astype(np.int64)
-        key = np.add.reduceat(flat, starts).view(np.int64)
+        bits = (token & np.uint64(127)).astype(np.int64)
         p0, p1 = parity(bits, 0, starts), parity(bits, 1, starts)
         p0, p1 = np.where(n <= SHORT, p0 ^ p1, p0), np.where(n <= SHORT, 0, p1)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(line), pa.array(key), pa.array(n.astype(np.int32)), pa.array((p - held).astype(np.int32)), pa.array(p0), pa.array(p1), prefix], ["doc_id", "line", "set", "n", "skip", "p0", "p1", "prefix"])
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(line), pa.array(set_keys(token, starts)), pa.array(n.astype(np.int32)), pa.array((p - held).astype(np.int32)), pa.array(p0), pa.array(p1), prefix], ["doc_id", "line", "set", "n", "skip", "p0", "p1", "prefix"])
 
     def run(batches):
-        known = Words()
+        powers = Powers()
         for b in batches:
-            row, line, n, flat = flat_tokens(b.column(1).to_pylist(), known)
-            ids, ends = b.column(0).to_numpy()[row], np.cumsum(n)
-            for at in range(0, len(n), SLICE):
-                to = min(at + SLICE, len(n))
-                yield of_slice(ids[at:to], line[at:to], n[at:to], flat[ends[at] - n[at] : ends[to - 1]])
+            every = b.column(0).to_numpy()
+            for at, texts in together(b.column(1).to_pylist()):
+                count = np.array([t.count("\n") + 1 for t in texts])
+                ids = np.repeat(every[at], count)
+                line = (np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+                owner, hashes = word_hashes(texts, powers)
+                full, owner = np.unique(owner, return_inverse=True)
+                ids, line = ids[full], line[full]
+                for k in range(0, len(full), SLICE):
+                    lo, hi = np.searchsorted(owner, (k, k + SLICE))
+                    yield of_slice(ids[k : k + SLICE], line[k : k + SLICE], owner[lo:hi] - k, hashes[lo:hi])
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, skip int, p0 long, p1 long, prefix array<long>")
 
@@ -185,25 +221,21 @@ def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float
         return pairs.select(F.col("b").alias("set")).limit(0)
 
     def run(batches):
-        known = Words()
+        powers = Powers()
         for b in batches:
-            rows, numbers, lines = array("q"), array("q"), []
-            for i, text in enumerate(b.column(1).to_pylist()):
-                if text:
-                    cut = text.lower().split("\n")
-                    rows.extend([i] * len(cut))
-                    numbers.extend(range(len(cut)))
-                    lines += cut
-            if not lines:
-                continue
-            at = (b.column(0).to_numpy()[np.array(rows)] ^ np.array(numbers, np.int64) << 17) % BITS
-            keys, held = array("Q"), []
-            for k in np.flatnonzero(is_set(words, at)):
-                w = set(lines[k].split())
-                if w:
-                    keys.append(sum(map(known.__getitem__, w)) & 0xFFFFFFFFFFFFFFFF)
-                    held.append(" ".join(w))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(held, pa.string())], ["set", "words"])
+            every = b.column(0).to_numpy()
+            for place, texts in together(b.column(1).to_pylist()):
+                cut = [t.split("\n") for t in texts]
+                count = np.array([len(c) for c in cut])
+                flat = [line for c in cut for line in c]
+                number = np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)
+                at = (np.repeat(every[place], count) ^ number << 17) % BITS
+                held = [" ".join(w) for k in np.flatnonzero(is_set(words, at)) if (w := sorted(set(flat[k].split())))]
+                if held:
+                    owner, hashes = word_hashes(held, powers)
+                    token = np.unique(owner.astype(np.uint64) << np.uint64(HASH_BITS) | hashes & HASH)
+                    starts = np.flatnonzero(np.diff(token >> np.uint64(HASH_BITS), prepend=np.uint64(1 << 40)))
+                    yield pa.RecordBatch.from_arrays([pa.array(set_keys(token, starts)), pa.array(held, pa.string())], ["set", "words"])
 
     every = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "set long, words string")
     found = stored(every.join(ids, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words")), "words")
