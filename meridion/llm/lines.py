@@ -12,12 +12,11 @@ tokens of their own are not similar); then the Jaccard similarity of the whole
 sets is verified. A line is removed if an earlier line has the same set or a
 similarity of `threshold` or more.
 
-A set needs one earlier match only. Tokens that the corpus holds often may have
-long lists of sets, so a set is held first against two sets of each of its
-frequent prefix tokens, the earliest and the most frequent. Sets that this
-leaves open are joined with all earlier ones. Groups of near copies thus don't
-make all their pairs. Tokens that the corpus holds once join nothing and are
-left out.
+A set needs one earlier match only, so it is held first against two sets of
+each of three prefix tokens (the first, the middle and the last): the earliest
+and the most frequent. Sets that this leaves open are joined with all earlier
+ones on all prefix tokens. Groups of near copies thus don't make all their
+pairs. Tokens that the corpus holds once join nothing and are left out.
 
 Cases: lines without tokens (null or empty texts, blank lines) are never
 removed; rows with a null doc_id take no part and keep their text; of repeated
@@ -37,9 +36,8 @@ from pyspark.sql import functions as F
 from .common import docs_of, mix64, stored
 
 THRESHOLD, CELLS = 0.8, 1 << 21
-#: Steps of an octave in ranks of rarity; the rank of a token that the corpus holds once; the one from which its list of sets may be long.
-STEPS = 6
-ONCE, FREQUENT = STEPS, STEPS * 7
+#: Steps of an octave in ranks of rarity; the rank of a token that the corpus holds once.
+STEPS = ONCE = 6
 FILTER_WORDS = 1 << 20
 BITS = FILTER_WORDS * 64
 #: Sets of at most so many tokens hold their parity map folded to 64 bits.
@@ -75,7 +73,7 @@ class Powers:
 
 
 def word_hashes(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of all words of texts in lower case; lines are numbered on from text to text."""
+    """Counts of words of all lines of texts in lower case, and the hashes of the words."""
     raw = "\n".join(texts)
     if not raw.isascii():
         for c in WIDE:
@@ -92,7 +90,7 @@ def word_hashes(texts: list[str], powers: Powers) -> tuple[np.ndarray, np.ndarra
         sums *= up
         np.cumsum(sums, out=sums)
         hashes = mix64((sums[ends - 1] - sums[starts] + BYTES[data[starts]] * up[starts]) * down[starts])
-    return np.searchsorted(np.flatnonzero(data == 10), starts), hashes
+    return np.diff(np.searchsorted(starts, np.flatnonzero(data == 10)), prepend=0), hashes
 
 
 def together(texts: list[str | None]):
@@ -186,12 +184,13 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
                 count = np.array([t.count("\n") + 1 for t in texts])
                 ids = np.repeat(every[at], count)
                 line = (np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
-                owner, hashes = word_hashes(texts, powers)
-                full, owner = np.unique(owner, return_inverse=True)
-                ids, line = ids[full], line[full]
+                held, hashes = word_hashes(texts, powers)
+                full = np.flatnonzero(held)
+                ids, line, held = ids[full], line[full], held[full]
+                ends = np.cumsum(held)
                 for k in range(0, len(full), SLICE):
-                    lo, hi = np.searchsorted(owner, (k, k + SLICE))
-                    yield of_slice(ids[k : k + SLICE], line[k : k + SLICE], owner[lo:hi] - k, hashes[lo:hi])
+                    h = held[k : k + SLICE]
+                    yield of_slice(ids[k : k + SLICE], line[k : k + SLICE], np.repeat(np.arange(len(h)), h), hashes[ends[k] - h[0] : ends[k] - h[0] + h.sum()])
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, skip int, p0 long, p1 long, prefix array<long>")
 
@@ -232,8 +231,8 @@ def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float
                 at = (np.repeat(every[place], count) ^ number << 17) % BITS
                 held = [" ".join(w) for k in np.flatnonzero(is_set(words, at)) if (w := sorted(set(flat[k].split())))]
                 if held:
-                    owner, hashes = word_hashes(held, powers)
-                    token = np.unique(owner.astype(np.uint64) << np.uint64(HASH_BITS) | hashes & HASH)
+                    n, hashes = word_hashes(held, powers)
+                    token = np.unique(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(HASH_BITS) | hashes & HASH)
                     starts = np.flatnonzero(np.diff(token >> np.uint64(HASH_BITS), prepend=np.uint64(1 << 40)))
                     yield pa.RecordBatch.from_arrays([pa.array(set_keys(token, starts)), pa.array(held, pa.string())], ["set", "words"])
 
@@ -273,11 +272,9 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("f"), *(F.first(c).alias(c) for c in ("n", "skip", "p0", "p1", "prefix")))
     sets = stored(sets, "line-sets")
 
-    def postings(df: DataFrame, *more: str) -> DataFrame:
-        flat = df.select("set", "first", *more, "n", "skip", "p0", "p1", F.posexplode("prefix").alias("i", "token"))
-        return flat.withColumn("i", F.col("i") + F.col("skip")).drop("skip")
-
-    often = postings(sets, "f").filter(F.col("token") >= FREQUENT << HASH_BITS)
+    size = F.size("prefix")
+    some = F.array_distinct(F.array(F.lit(0), F.floor(size / 2).cast("int"), size - 1))
+    often = sets.filter(size > 0).select("*", F.explode(some).alias("k")).select("set", "first", "f", "n", "p0", "p1", (F.col("k") + F.col("skip")).alias("i"), F.get("prefix", F.col("k")).alias("token"))
     me = [F.col(c) for c in ("first", "set", "n", "i", "p0", "p1")]
     tops = often.groupBy("token").agg(F.min(F.struct(*me)).alias("early"), F.max(F.struct("f", *me)).alias("common"), F.count("*").alias("many")).filter("many > 1")
     x = {c: F.col(c) for c in ("n", "i", "p0", "p1")}
@@ -287,7 +284,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # Done sets have a negative n. Both sides of the join read the same columns, so their exchange is made once.
     state = sets.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")))
-    every = postings(state).withColumn("doc", F.col("first.doc_id")).drop("first")
+    every = state.select("set", F.col("first.doc_id").alias("doc"), "n", "skip", "p0", "p1", F.posexplode("prefix").alias("i", "token")).withColumn("i", F.col("i") + F.col("skip")).drop("skip")
     x, y = every.alias("x"), every.alias("y")
     c, d = ({k: F.col(f"{s}.{k}") for k in ("set", "doc", "n", "i", "p0", "p1")} for s in "xy")
     d["n"] = F.abs(d["n"])
