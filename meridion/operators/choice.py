@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import heapq
+import pickle
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,26 +65,55 @@ def strategies(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select(F.col(targets.columns[0]).cast("int").alias("d")).distinct().mapInArrow(run, "origin int, destination int, cost double")
 
 
-def earliest(connections: DataFrame, origins: DataFrame, start: float, transfer: float = 0.0) -> DataFrame:
-    """Connection scan over (trip, a, b, departure, arrival): (origin, node, arrival) from `start`, with a least time to change trips."""
-    rows = sorted(_small(connections, ["departure", "arrival", "trip", "a", "b"]))
-    spread = connections.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches):
-        scan = spread.value
-        first = bisect.bisect_left(scan, (start,))
-        for b in batches:
-            for o in b.column(0).to_pylist():
-                best, aboard = {o: start - transfer}, set()
-                for dep, arr, trip, i, j in scan[first:]:
-                    if trip in aboard or best.get(i, float("inf")) + transfer <= dep:
-                        aboard.add(trip)
-                        if arr < best.get(j, float("inf")):
-                            best[j] = arr
-                best[o] = start
-                yield pa.RecordBatch.from_arrays([pa.array([o] * len(best), pa.int32()), pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.float64())], ["origin", "node", "arrival"])
-
-    return origins.select(F.col(origins.columns[0]).cast("int").alias("o")).distinct().mapInArrow(run, "origin int, node int, arrival double")
+def _scan(table: pa.Table, best: dict, aboard: dict, transfer: float) -> None:
+    """Brings best (node: arrival) and aboard (trip: its last departure) up to date by connections in order."""
+    for dep, arr, trip, i, j, last in zip(*[c.to_pylist() for c in table.columns], strict=True):
+        if trip in aboard or best.get(i, float("inf")) + transfer <= dep:
+            aboard[trip] = last
+            if arr < best.get(j, float("inf")):
+                best[j] = arr
+
+
+def earliest(connections: DataFrame, origins: DataFrame, start: float, transfer: float = 0.0, most: int = 1_000_000) -> DataFrame:
+    """Connection scan over (trip, a, b, departure, arrival): (origin, node, arrival) from `start`, with a least time to change trips.
+
+    More than `most` connections are cut into windows of departures, which are broadcast one after another; arrivals and
+    the trips under way go from one window to the next. Connections of one departure stay in one window."""
+    sc = connections.sparkSession.sparkContext
+    key = ["departure", "arrival", "trip", "a", "b"]
+    last = F.max("departure").over(Window.partitionBy("trip")).alias("last")
+    c = connections.select(*key, last).filter(F.col("departure") >= start).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = max(1, -(-c.count() // most))
+    cuts = sorted(set(c.approxQuantile("departure", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    deal = origins.select(F.col(origins.columns[0]).cast("int").alias("o")).distinct().repartition(sc.defaultParallelism, "o")
+    state: dict = {}
+
+    def search(low: float, high: float, ends: bool) -> DataFrame:
+        window = c.filter((F.col("departure") >= low) & (F.col("departure") < high)).toArrow().sort_by([(k, "ascending") for k in key])
+        spread = sc.broadcast((window, state))
+
+        def run(batches):
+            table, before = spread.value
+            for b in batches:
+                for o in b.column(0).to_pylist():
+                    best, aboard = before.get(o) or ({o: start - transfer}, {})
+                    best, aboard = dict(best), dict(aboard)
+                    _scan(table, best, aboard, transfer)
+                    if ends:
+                        best[o] = start
+                        yield pa.RecordBatch.from_arrays([pa.array([o] * len(best), pa.int32()), pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.float64())], ["origin", "node", "arrival"])
+                    else:
+                        kept = pickle.dumps((best, {t: x for t, x in aboard.items() if x >= high}))
+                        yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([kept], pa.binary())], ["origin", "state"])
+
+        return deal.mapInArrow(run, "origin int, node int, arrival double" if ends else "origin int, state binary")
+
+    edges = [float("-inf"), *cuts, float("inf")]
+    for low, high in zip(edges[:-2], edges[1:-1], strict=True):
+        state = {r["origin"]: pickle.loads(r["state"]) for r in search(low, high, False).collect()}
+    out = search(edges[-2], edges[-1], True)
+    c.unpersist()
+    return out
 
 
 def park_and_ride(to_park: DataFrame, from_park: DataFrame, spread: float = 0.0) -> DataFrame:
