@@ -165,11 +165,20 @@ def two_way(links: DataFrame) -> DataFrame:
 
 
 def piecewise_headway(services: DataFrame) -> DataFrame:
-    """(line, low, high, headway): over each elementary interval of a line, one over the sum of the frequencies that run."""
-    ends = services.select("line", F.explode(F.array("low", "high")).alias("low")).distinct()
-    cut = ends.withColumn("high", F.lead("low").over(Window.partitionBy("line").orderBy("low"))).filter("high is not null")
-    s = services.select("line", F.col("low").alias("l"), F.col("high").alias("h"), "headway")
-    return cut.join(s, "line").filter("l <= low and h >= high").groupBy("line", "low", "high").agg((1 / F.sum(1 / F.col("headway"))).alias("headway"))
+    """(line, low, high, headway): over each elementary interval of a line, one over the sum of the frequencies that run.
+
+    A running sum of frequencies that start and end, in place of a join of intervals and services. Frequencies are
+    decimals, so that what ends takes off exactly what its start added."""
+    s = services.select("line", "low", "high", (1 / F.col("headway")).cast("decimal(28,18)").alias("f"))
+    runs = F.coalesce(F.col("low") < F.col("high"), F.lit(False)).cast("int")
+    end = lambda at, sign: F.struct(F.col(at).alias("p"), (runs * sign).alias("n"), (F.col("f").isNotNull().cast("int") * runs * sign).alias("m"), F.when(runs == 1, F.coalesce("f", F.lit(0).cast("decimal(28,18)")) * sign).alias("f"))
+    ends = s.select("line", F.explode(F.array(end("low", 1), end("high", -1))).alias("e")).select("line", "e.*").filter("p is not null")
+    # Few rows are left for the window: one for each point of a line.
+    at = ends.groupBy("line", "p").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("f").alias("f"))
+    w = Window.partitionBy("line").orderBy("p")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = at.select("line", F.col("p").alias("low"), F.lead("p").over(w).alias("high"), F.sum("n").over(so_far).alias("n"), F.sum("m").over(so_far).alias("m"), F.sum("f").over(so_far).cast("double").alias("f"))
+    return cut.filter("high is not null and n > 0 and line is not null").select("line", "low", "high", F.when(F.col("m") > 0, 1 / F.col("f")).alias("headway"))
 
 
 def redistribute(od: DataFrame, shares: DataFrame) -> DataFrame:

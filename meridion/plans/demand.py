@@ -188,7 +188,7 @@ def _(spark, d):
 @query("fratar", _balance("b0 AS (SELECT v.origin, v.destination, o.emission * 1.1 AS emission, t.attraction * 1.1 AS attraction, v.volume FROM {od_volumes} v JOIN {zones} o ON o.zone = v.origin JOIN {zones} t ON t.zone = v.destination WHERE (v.origin + v.destination) % 7 > 0)", 3))
 def _(spark, d):
     z = table(spark, d, "zones").select("zone", (F.col("emission") * 1.1).alias("emission"), (F.col("attraction") * 1.1).alias("attraction"))
-    return D.fratar(table(spark, d, "od_volumes").filter("(origin + destination) % 7 > 0"), z, 3).select(*OD, r4("volume", 3))
+    return D.fratar(table(spark, d, "od_volumes"), z, 3).select(*OD, r4("volume", 3))
 
 
 @query("skim_haversine", "SELECT origin, destination, round(2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(d.y - o.y) / 2), 2) + cos(radians(o.y)) * cos(radians(d.y)) * pow(sin(radians(d.x - o.x) / 2), 2)))), 3) AS distance FROM {skims} JOIN {zones} o ON origin = o.zone JOIN {zones} d ON destination = d.zone")

@@ -57,3 +57,42 @@ def test_connection_scan_reads_all_trips(spark):
     rows = [(r["trip"], r["a"], r["b"], float(r["trip"] % 3600 + r["link_sequence"] * 60), float(r["trip"] % 3600 + r["link_sequence"] * 60 + 50)) for r in links]
     zones = [r["zone"] for r in table(spark, FOLDER, "zones").collect()]
     assert arrivals(catalogue.QUERIES["connection_scan"](spark, FOLDER)) == brute_earliest(rows, zones, 0.0, 10.0)
+
+
+def brute_headway(rows):
+    """Each elementary interval of a line with all services that cover it."""
+    got = {}
+    for line in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == line]
+        points = sorted({p for r in own for p in r[1:3]})
+        for low, high in zip(points, points[1:]):
+            f = [1 / h for _, a, b, h in own if a <= low and b >= high]
+            if f:
+                got[line, low, high] = 1 / sum(f)
+    return got
+
+
+def headways(df):
+    return {(r["line"], r["low"], r["high"]): r["headway"] for r in df.collect()}
+
+
+def test_piecewise_headway_equals_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i % 3, low := rng.randrange(60), low + rng.randrange(-2, 15), float(rng.randrange(200, 900))) for i in range(60)] + [(7, 0, 5, 300.0), (7, 9, 12, 300.0)]
+    df = spark.createDataFrame(rows, "line int, low long, high long, headway double")
+    assert headways(choice.piecewise_headway(df)) == pytest.approx(brute_headway(rows), rel=1e-12)
+
+
+def test_headway_piecewise_reads_all_services(spark):
+    rows = [(r["l_suppkey"] % 20, low := r["l_linenumber"] * 600 + r["l_partkey"] % 5 * 60, low + 900, 300.0 + r["l_quantity"]) for r in table(spark, FOLDER, "lineitem").collect()]
+    assert headways(catalogue.QUERIES["headway_piecewise"](spark, FOLDER)) == pytest.approx(brute_headway(rows), abs=6e-5)
+
+
+def test_turn_penalty_cost_starts_from_all_links(spark):
+    starts = {r["a"] * 100 + r["b"] for r in table(spark, FOLDER, "road_links").collect()}
+    assert {r["origin"] for r in catalogue.QUERIES["turn_penalty_cost"](spark, FOLDER).collect()} == starts
+
+
+def test_fratar_keeps_all_pairs(spark):
+    pairs = {(r["origin"], r["destination"]) for r in table(spark, FOLDER, "od_volumes").collect()}
+    assert {(r["origin"], r["destination"]) for r in catalogue.QUERIES["fratar"](spark, FOLDER).collect()} == pairs
