@@ -1,10 +1,13 @@
 """Licence recognition by sentence rules, in DataFrame functions alone.
 
-A text is cut into sentences at line feeds and after `.`, `!` or `?` before
-white space. A sentence is normalised: runs of other characters than ASCII
-letters and digits become one space, letters become lower case. Normalised
-sentences are looked up in a fixed table of identifiers; the identifiers found,
-in order, form the text's sequence. Ordered rules then match contiguous parts
+A text is cut at lines without ASCII letters and digits and after `.`, `!` or
+`?` before white space; single line feeds are soft cuts. What lies between two
+cuts of either kind, over any number of soft ones, may be a sentence: so titles
+are found as lines and hard-wrapped notices as wholes. A sentence is normalised:
+runs of other characters than ASCII letters and digits (comment marks, too) and
+marks of list items become one space, letters become lower case. Normalised
+sentences are sought in a fixed table of identifiers, the longest first; the
+identifiers found, in order, form the text's sequence. Ordered rules then match contiguous parts
 of the sequence; what a rule has matched is taken out before the next rule.
 
 Cases: null or empty text has the empty sequence and no licence; repeated
@@ -112,12 +115,21 @@ CUT = r"\n+|[.!?]+[ \t\r\n]+"
 OTHER = "[^A-Za-z0-9]+"
 
 
+# The reading of wrapped texts: cuts become \x01, single line feeds \x02. CUT and OTHER are those of the SQL, line by line.
+HARD = r"(?<![.!?])[.!?]+[ \t\r\n]+|\n[^A-Za-z0-9]*\n"
+ITEM = r"(^|\n)[^A-Za-z0-9\n]*?\(?(?:[0-9]{1,2}|[a-z])\)[ \t]+"
+LINE = r"[\r\n]+"
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences, in order."""
     known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    normal = F.transform(F.split(F.coalesce(text, F.lit("")), CUT), lambda s: F.lower(F.trim(F.regexp_replace(s, OTHER, " "))))
-    found = F.filter(normal, lambda s: s.isin(list(SENTENCES.values())))
-    return F.transform(found, lambda s: F.element_at(known, s))
+    plain = F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  ")
+    cut = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, ITEM, "$1"), HARD, "\x01"), LINE, "\x02")
+    normal = F.concat(F.lit("\x01"), F.lower(F.regexp_replace(cut, "[^A-Za-z0-9\x01\x02]+", " ")), F.lit("\x01"))
+    any_of = "|".join(s.replace(" ", "(?: | ?\x02 ?)") for s in sorted(SENTENCES.values(), key=len, reverse=True))
+    found = F.regexp_extract_all(normal, F.lit(f"[\x01\x02] ?({any_of})(?= ?[\x01\x02])"), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(known, F.regexp_replace(s, "[ \x02]+", " ")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

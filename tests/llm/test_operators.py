@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -366,6 +367,37 @@ def test_licences(odd, empty):
     assert licenses.scan(odd).count() == len(ODD) and licenses.scan(empty).count() == 0
 
 
+def notice(ids, width, mark, gap):
+    """The sentences of a rule, wrapped at a width, with a comment or list mark on each line."""
+    paragraphs = [textwrap.wrap(licenses.SENTENCES[i].capitalize() + ("." if k % 2 else ":"), width) for k, i in enumerate(ids.split())]
+    return gap.join("\n".join(mark + line for line in p) for p in paragraphs)
+
+
+@pytest.mark.parametrize("width", [30, 72])
+def test_wrapped_notices(spark, width):
+    rows = [(f"{r}/{mark}/{gap!r}", f"A Title\n\n{notice(ids, width, mark, gap)}\n\nother words\n") for r, _, _, ids in licenses.RULES for mark in ("", " * ", "# ", "//  ") for gap in ("\n", "\n" + mark.rstrip() + "\n", "\r\n\r\n")]
+    got = {r["id"]: (list(r["rules"]), r["sentence_ids"]) for r in licenses.scan(spark.createDataFrame(rows, "id string, text string")).collect()}
+    want = {r: ids.split() for r, _, _, ids in licenses.RULES}
+    assert all(rules == [i.split("/")[0]] and ids == want[i.split("/")[0]] for i, (rules, ids) in got.items())
+
+
+def test_wrapped_bsd_notice(spark):
+    text = """/*
+ * Copyright (c) 2020, Some One
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright notice,
+ *    this list of conditions and the following disclaimer.
+ * (b) Redistributions in binary form must reproduce the above copyright
+ *    notice, this list of conditions and the following disclaimer in the
+ *    documentation and/or other materials provided with the distribution.
+ */"""
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["sentence_ids"] == ["all-rights", "bsd-grant", "bsd-source", "bsd-binary"] and "bsd2-text" in r["rules"]
+
+
 def test_pipeline(spark, odd, empty):
     for df in (odd, empty):
         n = df.count()
