@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +36,49 @@ def overlaps(start: Column, end: Column, low, high) -> Column:
     return (start < high) & (end > low)
 
 
-def nearest(points: DataFrame, targets: DataFrame, k: int, cell: float, reach: int = 1) -> DataFrame:
-    """points (id, x, y) with their k nearest targets (target, tx, ty) among cells at most `reach` away: rank, target, distance.
+def _distance() -> Column:
+    return F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
 
-    An equi-join on grid cells; distances up to reach * cell are exact."""
-    g = lambda c: F.floor(F.col(c) / cell)
+
+def _cells(x: str, y: str, cell: float, reach: int) -> Column:
+    """The grid cells of (x, y) and of its surroundings, as an array."""
     around = F.sequence(F.lit(-reach), F.lit(reach))
-    p = points.withColumn("cx", F.explode(F.transform(around, lambda i: g("x") + i))).withColumn("cy", F.explode(F.transform(around, lambda i: g("y") + i)))
-    j = p.join(targets.withColumns({"cx": g("tx"), "cy": g("ty")}), ["cx", "cy"])
-    d = F.sqrt((F.col("x") - F.col("tx")) * (F.col("x") - F.col("tx")) + (F.col("y") - F.col("ty")) * (F.col("y") - F.col("ty")))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "target"))
-    return j.withColumn("distance", d).filter(F.col("distance") <= reach * cell).withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "target", "distance")
+    g = lambda c: F.floor(F.col(c) / cell)
+    return F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.struct((g(x) + i).alias("cx"), (g(y) + j).alias("cy")))))
+
+
+def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
+    """points (id, x, y) with all targets (target, tx, ty) up to radius away: target, distance. An equi-join on grid cells."""
+    j = points.withColumn("__c", F.explode(_cells("x", "y", radius, 1))).join(targets.withColumn("__c", F.element_at(_cells("tx", "ty", radius, 0), 1)), "__c")
+    return j.withColumn("distance", _distance()).filter(F.col("distance") <= radius).select("id", "target", "distance")
+
+
+def _levels(points: DataFrame, targets: DataFrame, cell: float) -> int:
+    """How often a cell has to double to be as wide as all points and targets together."""
+    both = points.select("x", "y").union(targets.select("tx", "ty"))
+    wide = both.agg(*[(F.max(v) - F.min(v)).cast("double") for v in (F.when(~F.isnan(c), F.col(c)) for c in ("x", "y"))]).first()
+    widest = max((v for v in wide if v is not None), default=0.0)
+    return max(0, math.ceil(math.log2(widest * (1 + 1e-9) / cell))) if widest > 0 else 0
+
+
+def nearest(points: DataFrame, targets: DataFrame, k: int, cell: float) -> DataFrame:
+    """points (id, x, y; unique ids) with their k nearest targets (target, tx, ty), at any distance: rank, target, distance.
+
+    An equi-join on grid cells and the cells around. Points with fewer than k targets within a cell's width are joined
+    again on cells of twice the width, and so on until these span everything; `cell` bears on time, not on results."""
+    nothing = F.array().cast(f"array<struct<distance:double,target:{targets.schema['target'].dataType.simpleString()}>>")
+    state = points.select("id", "x", "y", nothing.alias("found"), F.lit(False).alias("settled"))
+    order = Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), "target")
+    for level in range(_levels(points, targets, cell) + 1):
+        wide = cell * 2**level
+        at = targets.select("target", "tx", "ty", F.element_at(_cells("tx", "ty", wide, 0), 1).alias("__c"))
+        # A settled point keeps one row without a cell, which meets no target.
+        rows = state.withColumn("__c", F.explode(F.when(F.col("settled"), F.array(F.lit(None).cast(at.schema["__c"].dataType))).otherwise(_cells("x", "y", wide, 1))))
+        near = rows.join(at, "__c", "left").withColumn("distance", _distance()).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        got = F.array_sort(F.collect_list(F.when(F.col("target").isNotNull() & F.col("distance").isNotNull(), F.struct("distance", "target"))))
+        state = near.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("settled").alias("was"), F.first("found").alias("had"), got.alias("got"))
+        state = state.select("id", "x", "y", F.when(F.col("was"), F.col("had")).otherwise(F.col("got")).alias("found"), (F.col("was") | F.coalesce(F.get("got", F.lit(k - 1))["distance"] < wide * (1 - 1e-9), F.lit(False))).alias("settled"))
+    return state.select("id", F.posexplode("found").alias("rank", "f")).select("id", (F.col("rank") + 1).alias("rank"), "f.target", "f.distance")
 
 
 def pareto(df: DataFrame, keys: list[str], first: str, second: str, tie: list[str]) -> DataFrame:

@@ -67,7 +67,7 @@ def _(spark, d):
 
 @query("connector_radius", f"WITH {POINTS} SELECT id, target, round(distance, 4) AS distance, round(distance / 4 * 3.6, 4) AS time FROM nn WHERE distance <= 10")
 def _(spark, d):
-    near = J.nearest(*points(spark, d), 1_000_000, 10.0)
+    near = J.within(*points(spark, d), 10.0)
     return near.select("id", "target", r4("distance"), F.round(F.col("distance") / 4 * 3.6, 4).alias("time"))
 
 

@@ -1,11 +1,12 @@
 """Searches and joins against brute force on small fixtures."""
 
+import math
 import random
 
 import pytest
 
 from meridion import catalogue
-from meridion.operators import choice
+from meridion.operators import choice, joins
 from meridion.plans.domain import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -96,3 +97,35 @@ def test_turn_penalty_cost_starts_from_all_links(spark):
 def test_fratar_keeps_all_pairs(spark):
     pairs = {(r["origin"], r["destination"]) for r in table(spark, FOLDER, "od_volumes").collect()}
     assert {(r["origin"], r["destination"]) for r in catalogue.QUERIES["fratar"](spark, FOLDER).collect()} == pairs
+
+
+def brute_nearest(points, targets, k):
+    got = {}
+    for i, x, y in points:
+        for r, (d, t) in enumerate(sorted((math.sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)), t) for t, tx, ty in targets)[:k]):
+            got[i, r + 1] = (t, round(d, 4))
+    return got
+
+
+@pytest.mark.parametrize("k,n", [(1, 30), (3, 30), (4, 2), (2, 0)])
+def test_nearest_has_no_radius(spark, k, n):
+    rng = random.Random(3)
+    points = [(i, rng.uniform(-500, 500), rng.uniform(-500, 500)) for i in range(40)] + [(99, 20.0, 20.0)]
+    targets = [(t, rng.gauss(0, 30), rng.gauss(0, 30)) for t in range(n)]
+    p, t = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(targets, "target long, tx double, ty double")
+    got = joins.nearest(p, t, k, 5.0).collect()
+    assert {(r["id"], r["rank"]): (r["target"], round(r["distance"], 4)) for r in got} == brute_nearest(points, targets, k) and len(got) == len(points) * min(k, n)
+
+
+def test_connector_knn_and_knn_regression_reach_all_points(spark):
+    points = [(i := r["c_custkey"], i * 37 % 101, i * 53 % 103) for r in table(spark, FOLDER, "customer").collect()]
+    suppliers = {r["s_suppkey"]: r["s_acctbal"] for r in table(spark, FOLDER, "supplier").collect()}
+    targets = [(i, i * 41 % 101, i * 59 % 103) for i in suppliers]
+    got = {(r["id"], r["rank"]): (r["target"], r["distance"]) for r in catalogue.QUERIES["connector_knn"](spark, FOLDER).collect()}
+    assert got == brute_nearest(points, targets, 2)
+    want = {}
+    for (i, _), (t, d) in brute_nearest(points, targets, 3).items():
+        a, b = want.get(i, (0.0, 0.0))
+        want[i] = (a + suppliers[t] / max(d, 1e-6), b + 1 / max(d, 1e-6))
+    got = {r["id"]: r["estimate"] for r in catalogue.QUERIES["knn_regression"](spark, FOLDER).collect()}
+    assert got == pytest.approx({i: a / b for i, (a, b) in want.items()}, abs=0.011)
