@@ -81,11 +81,26 @@ def reachable_pairs(links: DataFrame, origins: DataFrame, hops: int) -> DataFram
     return every.groupBy("origin", "node").agg(F.min("hops").alias("hops"))
 
 
-def labels(links: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, component) by least neighbour and pointer jumping, in a plan of a fixed number of rounds (2**rounds hops)."""
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once: in the checkpoint folder that all executors share, or by the executors where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def labels(links: DataFrame) -> DataFrame:
+    """(node, component) with the least node of each component, by hooking and pointer jumping until nothing changes.
+
+    A round gives each node, and the node that it points to, the least label of its neighbours; then each label
+    becomes the label of the node that it names."""
     e = links.select("a", "b").union(links.select("b", "a")).distinct()
+    e = _kept(e)
     now = e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
-        near = e.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        now = now.join(near, "node", "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
+    changed = True
+    while changed:
+        seen = e.join(now.select(F.col("node").alias("b"), F.col("component").alias("m")), "b").join(now.select(F.col("node").alias("a"), "component"), "a")
+        told = seen.select(F.explode(F.array("a", "component")).alias("node"), F.col("m").alias("component"), F.lit(None).cast(now.schema["component"].dataType).alias("old"))
+        least = now.withColumn("old", F.col("component")).unionByName(told).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
+        jump = least.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        got = _kept(least.join(jump, "component", "left").select("node", F.coalesce("to", "component").alias("component"), "old"))
+        changed = not got.filter("component < old").isEmpty()
+        now = got.select("node", "component")
     return now

@@ -227,7 +227,7 @@ def _(spark, d):
 
 @query("components_label", "WITH RECURSIVE e AS (SELECT a, b FROM {road_links} WHERE a // 5 = b // 5), r(node, other) AS (SELECT a, a FROM e UNION SELECT node, b FROM r JOIN e ON other = a) SELECT node, min(other) AS component FROM r GROUP BY node")
 def _(spark, d):
-    return G.labels(table(spark, d, "road_links").filter("floor(a / 5) = floor(b / 5)"), 5)
+    return G.labels(table(spark, d, "road_links").filter("floor(a / 5) = floor(b / 5)"))
 
 
 @query("road_equilibrium_bfw", None)

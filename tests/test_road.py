@@ -1,5 +1,7 @@
 """Equilibrium and searches on small networks with known results."""
 
+import random
+
 import pytest
 
 from meridion.operators import graph, road
@@ -33,3 +35,12 @@ def test_paths(spark):
     links = spark.createDataFrame([(0, 1, 100.0), (1, 2, 1.0), (2, 3, 2.0), (3, 4, 4.0), (2, 5, 5.0), (5, 4, 6.0), (4, 9, 100.0)], "a int, b int, time double")
     got = {r["destination"]: (r["cost"], list(r["path"])) for r in graph.shortest_paths(links, spark.createDataFrame([(0,)], "o int")).collect()}
     assert got[9] == (207.0, [0, 1, 2, 3, 4, 9])
+
+
+def test_components_of_long_chains(spark):
+    rng = random.Random(4)
+    ids = rng.sample(range(1000), 300)
+    chains = [list(range(2000, 2100)), [1001, *range(3000, 3060), 1002], ids[:200], ids[200:299], [ids[299]] * 2]
+    links = spark.createDataFrame([p for c in chains for p in zip(c, c[1:])], "a int, b int")
+    got = {r["node"]: r["component"] for r in graph.labels(links).collect()}
+    assert got == {n: min(c) for c in chains for n in c}
