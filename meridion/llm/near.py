@@ -1,11 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash banding.
 
 A text is the set of its five-word shingles (lower case, cut at white space; a
-shorter text is one shingle). Texts with equal sets form a class. The forest
-has TREES prefix tries of MinHash labels, each up to DEPTH labels deep. The
-matched prefix is shortened from the full depth until the chance that a pair
-at the threshold shares a prefix in some tree reaches the target recall.
-Classes that share a prefix are connected; each connected part is cut into
+shorter text is one shingle). Texts with equal sets form a class. There
+are TREES bands of MinHash labels. Their depth is one for all texts: the longest
+up to DEPTH with which the chance that a pair at the threshold shares a band
+reaches the target recall (6 at 0.8). It is no LSH forest: no signature is
+sorted, and no prefix is shortened for a text that finds no match.
+Classes that share a band are connected; each connected part is cut into
 blocks, and every pair of blocks is verified exactly in a task of its own, so
 that neither a group nor its pairs ever meet in one place. A task returns
 counts and a spanning forest of its links instead of the pairs.
