@@ -12,12 +12,14 @@ tokens of their own are not similar); then the Jaccard similarity of the whole
 sets is verified. A line is removed if an earlier line has the same set or a
 similarity of `threshold` or more.
 
-A set needs one earlier match only. Tokens that the corpus holds often may have
-long lists of sets, so a set is held first against two sets of each of its
-frequent prefix tokens, the earliest and the most frequent. Sets that this
-leaves open are joined with all earlier ones. Groups of near copies thus don't
-make all their pairs. Tokens that the corpus holds once join nothing and are
-left out.
+A set needs one earlier match only, so it is held first against some sets that
+share its least hash of a token, as most near copies do: the earliest, the most
+frequent and two others. Sets that this leaves open are joined with all earlier
+ones. Groups of near copies thus don't make all their pairs. A pair meets at a
+token only if the tokens before it in the two prefixes differ, so a run of
+shared tokens gives one meeting. Tokens that the corpus holds once join nothing
+and are left out. A set is known by a 64-bit sum of its tokens' hashes: sets of
+one sum count as equal without a look at their words.
 
 Cases: lines without tokens (null or empty texts, blank lines) are never
 removed; rows with a null doc_id take no part and keep their text; of repeated
@@ -34,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, mix64, stored
+from .common import docs_of, free, mix64, scratch, stored
 
 THRESHOLD, CELLS = 0.8, 1 << 21
-#: Steps of an octave in ranks of rarity; the rank of a token that the corpus holds once; the one from which its list of sets may be long.
-STEPS = 6
-ONCE, FREQUENT = STEPS, STEPS * 7
+#: Steps of an octave in ranks of rarity, which is also the rank of a token that the corpus holds once.
+STEPS = ONCE = 6
+#: Sets against which a set is held first, besides the earliest and the most frequent of its group.
+OTHERS = 2
+#: Removed sets up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
+BROADCAST = 2_000_000
 FILTER_WORDS = 1 << 20
 BITS = FILTER_WORDS * 64
 #: Sets of at most so many tokens hold their parity map folded to 64 bits.
@@ -51,7 +56,7 @@ HASH_BITS = 40
 HASH = np.uint64((1 << HASH_BITS) - 1)
 SLICE = 1 << 16
 #: Characters that are handled together, a text at least.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 #: White space beyond ASCII.
 WIDE = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = np.zeros(256, bool)
@@ -150,7 +155,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame:
-    """(doc_id, line, set, n, skip, p0, p1, prefix): each line with tokens.
+    """(doc_id, line, set, n, skip, least, p0, p1, prefix): each line with tokens; least is the least hash of a token.
 
     prefix holds its first tokens by rarity, without `skip` that the corpus holds once; it is empty where a set can match
     itself only. p0 and p1 are the parity map; of a short set p0 is the exclusive or of both and p1 is 0."""
@@ -176,7 +181,10 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
         bits = (token & np.uint64(127)).astype(np.int64)
         p0, p1 = parity(bits, 0, starts), parity(bits, 1, starts)
         p0, p1 = np.where(n <= SHORT, p0 ^ p1, p0), np.where(n <= SHORT, 0, p1)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(line), pa.array(set_keys(token, starts)), pa.array(n.astype(np.int32)), pa.array((p - held).astype(np.int32)), pa.array(p0), pa.array(p1), prefix], ["doc_id", "line", "set", "n", "skip", "p0", "p1", "prefix"])
+        with np.errstate(over="ignore"):
+            least = np.minimum.reduceat((token & HASH) * np.uint64(BASE), starts).view(np.int64)
+        columns = [ids, line, set_keys(token, starts), n.astype(np.int32), (p - held).astype(np.int32), least, p0, p1]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), prefix], ["doc_id", "line", "set", "n", "skip", "least", "p0", "p1", "prefix"])
 
     def run(batches):
         powers = Powers()
@@ -194,7 +202,7 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
                     h = held[k : k + SLICE]
                     yield of_slice(ids[k : k + SLICE], line[k : k + SLICE], np.repeat(np.arange(len(h)), h), hashes[ends[k] - h[0] : ends[k] - h[0] + h.sum()])
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, skip int, p0 long, p1 long, prefix array<long>")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, skip int, least long, p0 long, p1 long, prefix array<long>")
 
 
 def cells(rows: DataFrame) -> np.ndarray:
@@ -214,12 +222,16 @@ def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float
     """Of pairs (b, a) of sets, the b (as `set`) of those that are similar.
 
     Lines are taken from the texts by their places; a table of bits of fixed size leaves out most others."""
-    pairs = stored(pairs, "pairs")
+    with scratch(docs.sparkSession):
+        return _matched(docs, sets, stored(pairs, "pairs"), threshold)
+
+
+def _matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     ids = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     places = sets.select("set", "first").join(ids, "set", "left_semi")
     words = cells(places.select(F.pmod(F.col("first.doc_id").bitwiseXOR(F.shiftleft(F.col("first.line").cast("long"), 17)), F.lit(BITS)).alias("bit")))
     if not words.any():
-        return pairs.select(F.col("b").alias("set")).limit(0)
+        return docs.sparkSession.createDataFrame([], "set long")
 
     def run(batches):
         powers = Powers()
@@ -251,7 +263,7 @@ def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float
                 hit.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], ["set"])
 
-    return stored(both.mapInArrow(verify, "set long").distinct(), "matched")
+    return stored(both.mapInArrow(verify, "set long").distinct(), "matched", outer=True)
 
 
 def differing(x, y) -> Column:
@@ -261,38 +273,47 @@ def differing(x, y) -> Column:
 
 
 def may_match(x, y, threshold: float) -> Column:
-    """The length, positional and parity filters, for sets that share the token at place i of each. False where x has a negative n."""
+    """The length and the parity filter. False where x has a negative n."""
     n, m, t = x["n"], y["n"], F.lit(threshold)
-    # Two sets of n and m tokens need an overlap of t / (1 + t) * (n + m).
-    need = F.ceil(t / (1 + t) * (n + m) - 1e-9)
-    return (m >= t * n - 1e-9) & (n >= t * m - 1e-9) & (F.least(n - x["i"], m - y["i"]) >= need) & (differing(x, y) <= n + m - 2 * need)
+    return (m >= t * n - 1e-9) & (n >= t * m - 1e-9) & (differing(x, y) <= n + m - 2 * needed(n, m, threshold))
+
+
+def needed(n, m, threshold: float) -> Column:
+    """The overlap that similar sets of n and m tokens have at least: t / (1 + t) * (n + m)."""
+    return F.ceil(F.lit(threshold) / (1 + F.lit(threshold)) * (n + m) - 1e-9)
+
+
+def hub_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (b, a) of a set and the closest of the earlier ones that it is held against first."""
+    me = [F.col(c) for c in ("first", "set", "n", "p0", "p1")]
+    hubs = [F.min(F.struct(*me)).alias("h0"), F.max(F.struct("f", *me)).alias("h1")]
+    hubs += [F.min(F.struct(F.xxhash64(F.lit(k), "set"), *me)).alias(f"h{k + 2}") for k in range(OTHERS)]
+    rows = sets.filter(F.size("prefix") > 0).select("least", "f", *me)
+    groups = rows.groupBy("least").agg(*hubs, F.count("*").alias("many")).filter("many > 1").drop("many")
+    own = {c: F.col(c) for c in ("n", "p0", "p1")}
+    options = [F.when((F.col(h)["first"] < F.col("first")) & may_match(own, F.col(h), threshold), F.struct(differing(own, F.col(h)).alias("d"), F.col(h)["set"].alias("a"))) for h in (f"h{k}" for k in range(OTHERS + 2))]
+    return rows.join(groups, "least").select(F.col("set").alias("b"), F.array_min(F.array_compact(F.array(*options))).alias("o")).filter("o is not null").select("b", "o.a")
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, line) of the lines to remove, numbered from 0."""
     lines = stored(line_sets(docs, rarity(docs), threshold), "lines")
-    sets = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("f"), *(F.first(c).alias(c) for c in ("n", "skip", "p0", "p1", "prefix")))
+    sets = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("f"), *(F.first(c).alias(c) for c in ("n", "skip", "least", "p0", "p1", "prefix")))
     sets = stored(sets, "line-sets")
-
-    def postings(df: DataFrame, *more: str) -> DataFrame:
-        flat = df.select("set", "first", *more, "n", "skip", "p0", "p1", F.posexplode("prefix").alias("i", "token"))
-        return flat.withColumn("i", F.col("i") + F.col("skip")).drop("skip")
-
-    often = postings(sets, "f").filter(F.col("token") >= FREQUENT << HASH_BITS)
-    me = [F.col(c) for c in ("first", "set", "n", "i", "p0", "p1")]
-    tops = often.groupBy("token").agg(F.min(F.struct(*me)).alias("early"), F.max(F.struct("f", *me)).alias("common"), F.count("*").alias("many")).filter("many > 1")
-    x = {c: F.col(c) for c in ("n", "i", "p0", "p1")}
-    options = [F.when((F.col(o)["first"] < F.col("first")) & may_match(x, F.col(o), threshold), F.struct(differing(x, F.col(o)).alias("d"), F.col(o)["set"].alias("a"))) for o in ("early", "common")]
-    near = often.join(tops, "token").select(F.col("set").alias("b"), F.explode(F.array_compact(F.array(*options))).alias("o")).groupBy("b").agg(F.min("o").alias("o"))
-    done = matched(docs, sets, near.select("b", "o.a"), threshold)
+    done = matched(docs, sets, hub_pairs(sets, threshold), threshold)
+    marks = done.withColumn("done", F.lit(True))
+    if done.count() <= BROADCAST:
+        marks = F.broadcast(marks)
 
     # Done sets have a negative n. Both sides of the join read the same columns, so their exchange is made once.
-    state = sets.join(done.withColumn("done", F.lit(True)), "set", "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")))
-    every = postings(state).withColumn("doc", F.col("first.doc_id")).drop("first")
+    state = sets.join(marks, "set", "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")))
+    flat = state.select("set", F.col("first.doc_id").alias("doc"), "n", "skip", "p0", "p1", "prefix", F.posexplode("prefix").alias("i", "token"))
+    every = flat.select("token", F.when(F.col("i") > 0, F.get("prefix", F.col("i") - 1)).alias("before"), "set", "doc", "n", (F.col("i") + F.col("skip")).alias("i"), "p0", "p1")
     x, y = every.alias("x"), every.alias("y")
-    c, d = ({k: F.col(f"{s}.{k}") for k in ("set", "doc", "n", "i", "p0", "p1")} for s in "xy")
+    c, d = ({k: F.col(f"{s}.{k}") for k in ("set", "doc", "before", "n", "i", "p0", "p1")} for s in "xy")
     d["n"] = F.abs(d["n"])
-    fits = (F.col("x.token") == F.col("y.token")) & (d["doc"] <= c["doc"]) & (d["set"] != c["set"]) & may_match(c, d, threshold)
+    reach = F.least(c["n"] - c["i"], d["n"] - d["i"]) >= needed(c["n"], d["n"], threshold)
+    fits = (F.col("x.token") == F.col("y.token")) & (d["doc"] <= c["doc"]) & (d["set"] != c["set"]) & F.coalesce(c["before"] != d["before"], F.lit(True)) & reach & may_match(c, d, threshold)
     pairs = x.join(y, fits).select(c["set"].alias("b"), d["set"].alias("a")).distinct()
     first = sets.select("set", "first")
     pairs = pairs.join(first.withColumnsRenamed({"set": "a", "first": "fa"}), "a").join(first.withColumnsRenamed({"set": "b", "first": "fb"}), "b").filter("fa < fb")
@@ -303,12 +324,13 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the removed lines; n_chars, if there, counted anew."""
-    gone = removed_lines(docs, threshold).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__id"], "left").drop("__id")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    lost, key = free(docs, "gone", "of_id")
+    gone = removed_lines(docs, threshold).groupBy("doc_id").agg(F.collect_set("line").alias(lost)).withColumnRenamed("doc_id", key)
+    out = docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone[key], "left").drop(key)
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    out = out.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(lost).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
