@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridion.llm import lines, near, packing, pii, quality
-from meridion.llm.common import stored
+from meridion.llm.common import scratch, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch(spark):  # what a stage has stored on its way goes with its end
+            docs = stored(stage(spark, docs, sf_dir), name, outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)
