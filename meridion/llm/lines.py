@@ -42,7 +42,7 @@ THRESHOLD, CELLS = 0.8, 1 << 21
 #: Steps of an octave in ranks of rarity, which is also the rank of a token that the corpus holds once.
 STEPS = ONCE = 6
 #: Sets against which a set is held first, besides the earliest and the most frequent of its group.
-OTHERS = 2
+OTHERS = 6
 #: Removed sets up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST = 2_000_000
 FILTER_WORDS = 1 << 20

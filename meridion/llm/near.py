@@ -1,43 +1,65 @@
-"""N-gram Jaccard join by MinHash banding.
+"""N-gram Jaccard join by a MinHash LSH forest.
 
 A text is the set of its five-word shingles (lower case, cut at white space; a
-shorter text is one shingle). Texts with equal sets form a class. There
-are TREES bands of MinHash labels. Their depth is one for all texts: the longest
-up to DEPTH with which the chance that a pair at the threshold shares a band
-reaches the target recall (6 at 0.8). It is no LSH forest: no signature is
-sorted, and no prefix is shortened for a text that finds no match.
-Classes that share a band are connected; each connected part is cut into
-blocks, and every pair of blocks is verified exactly in a task of its own, so
-that neither a group nor its pairs ever meet in one place. A task returns
-counts and a spanning forest of its links instead of the pairs.
+shorter text is one shingle). Texts with equal sets form a class. Each of TREES
+trees holds a signature of every class: DEPTH MinHash values, a byte each, the
+first on top, so that sorted signatures are a prefix trie and the shared prefix
+of neighbours in the order is the depth at which their branches part. Matching
+begins at the full depth, and a class's prefix is shortened level by level
+while a link that the class may have would be found with less than the target
+chance. The levels it takes depend on the least similarity, from the threshold
+on, that its number of shingles allows; a class that can have no link enters no
+tree. At each level a class is tied to the nearest one before it in the order
+that is there at that level.
+
+Tied classes are a part; each part is cut into blocks, and every pair of blocks
+is verified exactly in a task of its own, so that neither a group nor its pairs
+ever meet in one place. A task returns counts and a spanning forest of its
+links instead of the pairs.
 
 Cases: texts without words (null, empty) link to nothing and are classes of
 their own; rows with a null doc_id take no part; repeated rows and copies are
-one class, whose id is its least doc_id; texts of any length are read whole;
-an empty table gives no rows.
+one class, whose id is its least doc_id; rows of one doc_id with different
+texts are in different classes; texts of any length are read whole; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import docs_of, mix64, stored
 from .components import components
 
 WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 8, 0.9999
+#: Sizes of sets from which the least similarity is taken to be the threshold.
+SIZES = 64
 BLOCK = 192
+#: Rows of pairs of blocks in a task.
+ROWS = 4 * BLOCK
 FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def depth_for(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, from `depth` down, with which a pair at the threshold is found with the target chance."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def least_similarity(n: int, threshold: float = THRESHOLD) -> float | None:
+    """The least similarity, from the threshold on, of a set of n shingles and a different one (None: there is no such)."""
+    sizes = range(math.ceil(threshold * n - 1e-9), math.floor(n / threshold + 1e-9) + 1)
+    every = (o / (n + m - o) for m in sizes for o in range(1, min(n, m) + 1) if o < max(n, m))
+    return min((x for x in every if x >= threshold - 1e-9), default=None)
+
+
+def levels(n: int, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int | None:
+    """The depth at which a class of n shingles stops shortening its prefixes: the deepest at which the target recall is reached."""
+    x = least_similarity(n, threshold) if n < SIZES else threshold
+    if x is None:
+        return None
+    while depth > 1 and 1 - (1 - x**depth) ** trees < recall:
         depth -= 1
     return depth
 
@@ -75,8 +97,8 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, n, np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, np.uint32)
 
 
-def prefixes(shingles: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """A 64-bit label for the prefix of `depth` MinHash values in each tree."""
+def signatures(shingles: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> np.ndarray:
+    """A long for each tree: the low bytes of its MinHash values, the first on top."""
     a, b = permutations(trees * depth)
     low = np.full(trees * depth, 2**32 - 1, np.uint32)
     h = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -84,36 +106,59 @@ def prefixes(shingles: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray
         x = np.multiply.outer(h[i : i + 256], a)
         x += b
         np.minimum(low, x.min(axis=0), out=low)
-    out = np.arange(trees, dtype=np.uint64)
-    for k in range(depth):
-        out = mix64(out * np.uint64(3) + low[k::depth])
-    return out.view(np.int64)
+    # The least of multiplicative hashes has its high bits near zero; mixed, its low byte is even.
+    part = mix64(low.astype(np.uint64)).astype(np.uint8).reshape(trees, depth)
+    return np.ascontiguousarray(np.pad(part, ((0, 0), (0, 8 - depth)))).view(">i8").ravel().astype(np.int64)
 
 
-def sketched(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, a 128-bit hash of the set (hi, lo), prefix labels and the set itself, for texts with words."""
+def sketched(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """doc_id, a 128-bit hash of the set (hi, lo; null without words), the depth to which its prefixes are shortened (null: it can have no link), signatures and the set itself."""
+    fields = "doc_id long, hi long, lo long, floor int, signatures array<long>, shingles binary"
 
     def run(batches):
-        shingle = Shingler()
+        shingle, floors = Shingler(), {}
         for b in batches:
             rows = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingle(t or "")
                 if len(s):
+                    n = min(len(s), SIZES)
+                    if n not in floors:
+                        floors[n] = levels(n, threshold, recall=recall)
                     with np.errstate(over="ignore"):
-                        rows.append((i, int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)), int(mix64(s * np.uint64(3) + np.uint64(len(s))).sum(dtype=np.uint64).view(np.int64)), prefixes(s, depth), s.tobytes()))
+                        rows.append((i, int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)), int(mix64(s * np.uint64(3) + np.uint64(len(s))).sum(dtype=np.uint64).view(np.int64)), floors[n], signatures(s) if floors[n] else None, s.tobytes()))
+                else:
+                    rows.append((i, None, None, None, None, b""))
                 if len(rows) >= 500:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
 
-    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, hi long, lo long, labels array<long>, shingles binary")
+    return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, fields)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    i, hi, lo, labels, s = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(labels, pa.list_(pa.int64())), pa.array(s, pa.binary())], ["doc_id", "hi", "lo", "labels", "shingles"])
+    names = ["doc_id", "hi", "lo", "floor", "signatures", "shingles"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def forest(classes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """classes (cid, floor, signatures) to ties (a, b, depth): a class and the nearest before it in a tree's order, at each level that both are at.
+
+    A tree's rows are dealt by the shortest prefix that any class may come to, under which all its matches lie."""
+    levels_ = classes.agg(F.min("floor")).first()[0]
+    lowest = levels_ if levels_ is not None else depth
+    rows = classes.select("cid", "floor", F.posexplode("signatures").alias("tree", "signature"))
+    cut = lambda c, k: F.shiftrightunsigned(c, 8 * (8 - k)) if k < 8 else c
+    order = Window.partitionBy("tree", cut(F.col("signature"), lowest)).orderBy("signature", "cid").rowsBetween(Window.unboundedPreceding, -1)
+    ties = []
+    for k in range(lowest, depth + 1):
+        last = F.last(F.when(F.col("floor") <= k, F.struct("cid", "signature")), ignorenulls=True).over(order)
+        meets = (F.col("floor") <= k) & (cut(last["signature"], k) == cut(F.col("signature"), k))
+        ties.append(F.when(meets, F.struct(F.col("cid").alias("a"), last["cid"].alias("b"), F.lit(k).alias("depth"))))
+    return rows.select(F.array_compact(F.array(*ties)).alias("ties")).select(F.explode("ties").alias("t")).select("t.*")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -192,30 +237,34 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, n_copies, n_links, group_id): n_copies is the class's rows, n_links its links to other classes, group_id the least doc_id of its linked classes."""
-    depth = depth_for(threshold, recall=recall)
-    sets = stored(sketched(docs, depth), "sets")
-    classes = sets.groupBy("hi", "lo").agg(F.min("doc_id").alias("cid"), F.count("*").alias("n_copies"))
-    members = stored(sets.select("doc_id", "hi", "lo").join(classes, ["hi", "lo"]).select("doc_id", "cid", "n_copies"), "members")
-    own = members.filter("doc_id = cid").select("cid").distinct()
-    labels = sets.select(F.col("doc_id").alias("cid"), "labels").join(own, "cid", "left_semi").select("cid", F.posexplode("labels").alias("tree", "label"))
-    tries = labels.groupBy("tree", "label").agg(F.min("cid").alias("rep"), F.max("cid").alias("most")).filter("rep < most").select("tree", "label", "rep")
-    candidates = labels.join(tries, ["tree", "label"]).filter("cid <> rep").select(F.col("cid").alias("a"), F.col("rep").alias("b"))
-    part = stored(components(candidates).select(F.col("node").alias("cid"), F.col("root").alias("part")), "parts")
+    """(doc_id, class_id, n_copies, n_links, group_id): n_copies is the class's rows, n_links its links to other classes, group_id the least doc_id of its linked classes.
+
+    Inside, a class is known by the upper half of its hash (cid)."""
+    sets = stored(sketched(docs, threshold, recall), "sets")
+    full = sets.filter("hi is not null")
+    members = stored(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.max("floor").alias("floor")), "classes")
+    # Copies have equal signatures, so any one of them stands for its class.
+    classes = full.filter("floor is not null").groupBy(F.col("hi").alias("cid")).agg(F.max("floor").alias("floor"), *(F.min_by(c, "doc_id").alias(c) for c in ("signatures",)))
+    part = stored(components(forest(classes).select("a", "b").distinct()).select(F.col("node").alias("cid"), F.col("root").alias("part")), "parts")
     size = part.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
     placed = part.join(size, "part").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("n_blocks")).cast("int"))
     # A row of the class for each pair of blocks that its own is in.
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("part", "block", "cid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    n = max(8, docs.sparkSession.sparkContext.defaultParallelism * 4)
-    texts = sets.withColumnRenamed("doc_id", "cid").select("cid", "shingles").join(part.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    texts = full.select(F.col("hi").alias("cid"), "shingles").join(part.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    # Every class meets each block of its part once, so the tasks grow with the rows that they take.
+    n = size.agg(F.coalesce(F.sum(F.col("n_blocks") * F.col("n_blocks") * BLOCK), F.lit(0))).first()[0]
+    n = int(max(8, docs.sparkSession.sparkContext.defaultParallelism * 2, min(100_000, n // ROWS)))
     rows = texts.join(pairs, "cid").repartition(n, "part", "i", "j").sortWithinPartitions("part", "i", "j")
     found = stored(verify(rows, threshold), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("n_links"))
-    group = components(found.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b")))
-    out = members.join(links, "cid", "left").join(group.withColumnsRenamed({"node": "cid", "root": "group_id"}), "cid", "left")
-    out = out.select("doc_id", F.col("cid").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group_id", "cid").alias("group_id"))
-    alone = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).join(members.select("doc_id"), "doc_id", "left_anti")
-    return out.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("group_id")))
+    group = components(found.filter("cid <> root").select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "cid", "root": "group"})
+    known = members.withColumn("cid", F.col("hi")).join(links, "cid", "left").join(group, "cid", "left")
+    known = stored(known.select("hi", "lo", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), "group"), "known")
+    named = known.filter("group is not null").groupBy("group").agg(F.min("class_id").alias("group_id"))
+    known = known.join(named, "group", "left").select("hi", "lo", "class_id", "n_copies", "n_links", F.coalesce("group_id", "class_id").alias("group_id"))
+    out = sets.select("doc_id", "hi", "lo").join(known, ["hi", "lo"], "left")
+    alone = lambda c, x: F.coalesce(c, F.lit(x).cast("long") if isinstance(x, int) else F.col(x)).alias(c)
+    return out.select("doc_id", alone("class_id", "doc_id"), alone("n_copies", 1), alone("n_links", 0), alone("group_id", "doc_id"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

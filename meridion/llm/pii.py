@@ -2,21 +2,24 @@
 
 The base patterns find emails, IP addresses, cards and phone numbers. The model
 reads every character of every text, in overlapping windows; each window is
-decoded by Viterbi over the tags none, email, ip, card and phone, and a
-character takes its tag from the window in which it lies furthest from the
-edge. Runs of one tag are the model's spans. They are kept if they have the
-shape of their kind (enough digits, or a name and a domain) and touch no base
-span; base spans always stay. The network is trained in numpy, by
-back-propagation through time and the CRF's likelihood, on generated texts with
-labelled spans; it depends on a seed alone and is trained once a process.
+decoded by Viterbi over the tags none, email, ip, card, phone and secret (keys
+and tokens, which have no base pattern). The overlap is longer than the spans
+that are looked for, so each lies whole in a window. The windows' spans are
+reconciled over the whole text: those furthest from the edges of their windows
+come first, and a span goes if it touches one that came before. What is left is
+kept if it holds what its kind needs (see holds()) and touches no base span;
+base spans always stay. The network is trained in numpy, by back-propagation
+through time and the CRF's likelihood, on generated texts with labelled spans;
+it depends on a seed alone and is trained once a process.
 
 Cases: null or empty text has no spans; texts of any length are read whole;
-repeated rows and ties give equal spans; extra columns stay; an empty table
-gives no rows.
+repeated rows and ties give equal spans; a model's span longer than the overlap
+may be cut; extra columns stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import pickle
@@ -30,9 +33,11 @@ from pyspark.sql import types as T
 
 from .common import docs_of
 
-KINDS = ("email", "ip", "card", "phone")
-HIDDEN, CLASSES, TAGS = 8, 40, 5
-WINDOW, OVERLAP, BATCH = 320, 32, 1024
+#: The first four have base patterns.
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE_KINDS = 4
+HIDDEN, CLASSES, TAGS = 10, 40, 6
+WINDOW, OVERLAP, BATCH = 640, 96, 512
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 # A failing start inside a run of digits fails everywhere in it, so these begin where a run begins.
@@ -201,12 +206,11 @@ class Reader:
         self.p, self.table = p, classes()
 
     def tag(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """Runs of a tag as (start, kind, end) for each text."""
-        step = WINDOW - OVERLAP
+        """The model's spans as (start, kind, end) for each text."""
         coded = [codes(t, self.table) for t in texts]
-        windows = [(i, s) for i, c in enumerate(coded) for s in range(0, max(1, len(c) - OVERLAP), step) if len(c)]
+        windows = [(i, s) for i, c in enumerate(coded) for s in range(0, max(1, len(c) - OVERLAP), WINDOW - OVERLAP) if len(c)]
         windows.sort(key=lambda w: -min(WINDOW, len(coded[w[0]]) - w[1]))  # lengths alike
-        tags = [np.zeros(len(c), np.int8) for c in coded]
+        held: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         for a in range(0, len(windows), BATCH):
             part = windows[a : a + BATCH]
             n = min(WINDOW, len(coded[part[0][0]]) - part[0][1])
@@ -218,39 +222,51 @@ class Reader:
             found = viterbi(emissions(x, self.p), self.p["trans"])
             for k in np.flatnonzero(found.any(axis=0)):
                 i, s = part[k]
-                # Half of an overlap belongs to each of its windows.
-                left = s + (OVERLAP // 2 if s else 0)
-                right = s + WINDOW - OVERLAP // 2 if s + WINDOW < len(coded[i]) else len(coded[i])
-                tags[i][left:right] = found[left - s : right - s, k]
-        out = []
-        for tag in tags:
-            spans = []
-            if tag.any():
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], tag, [0]])))
-                spans = [(int(s), int(tag[s]) - 1, int(e)) for s, e in zip(edge[:-1], edge[1:], strict=True) if tag[s]]
-            out.append(spans)
-        return out
-
-
-# How a written-out address marks its parts; shapes of the kinds.
-AT = ("(at)", "[at]", " (at) ", " [at] ")
-DOT = ("(dot)", "[dot]", " (dot) ", " [dot] ")
-SHAPES = {
-    0: re.compile(r"[\w.+-]+(?:\s?[(\[]at[)\]]\s?|@)[\w-]+(?:(?:\s?[(\[]dot[)\]]\s?|\.)[\w-]+)+"),
-    1: re.compile(r"[0-9]{1,3}(?:[ .\[\]]+[0-9]{1,3}){3}"),
-    2: re.compile(r"[0-9]{4}(?:[^0-9\n]{1,3}[0-9]{4}){2,3}(?:[^0-9\n]{1,3}[0-9]{1,3})?"),
-    3: re.compile(r"(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"),
-}
-
-
-def fits(text: str, kind: int) -> bool:
-    """Whether a model's span has the shape of its kind."""
-    if not SHAPES[kind].fullmatch(text):
-        return False
+                stop = min(n, len(coded[i]) - s)
+                tag = found[:stop, k]
+                edge = np.flatnonzero(np.diff(tag, prepend=0, append=0))
+                for at, end in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    if tag[at]:
+                        left = at if s else WINDOW
+                        right = stop - end if s + stop < len(coded[i]) else WINDOW
+                        held[i].append((-min(left, right), s + at, int(tag[at]) - 1, s + end))
+        return [reconciled(h) for h in held]
+
+
+def reconciled(held: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (minus the distance from the window's edges, start, kind, end), the spans that touch none of those that lie deeper in their windows."""
+    out: list[tuple[int, int, int]] = []
+    for _, s, k, e in sorted(held):
+        at = bisect.bisect_left(out, (s, -1, -1))
+        if not (at and out[at - 1][2] > s) and not (at < len(out) and out[at][0] < e):
+            out.insert(at, (s, k, e))
+    return out
+
+
+# How a written-out address marks its parts.
+AT = ("(at)", "[at]", " (at) ", " [at] ", "{at}")
+DOT = ("(dot)", "[dot]", " (dot) ", " [dot] ", "{dot}")
+MARKED = re.compile(r"@|\s?[(\[{]\s?at\s?[)\]}]\s?")
+DOTTED = re.compile(r"\.|\s?[(\[{]\s?dot\s?[)\]}]\s?")
+GAP = re.compile(r"\s")
+#: The fewest characters of a secret.
+SECRET = 16
+
+
+def holds(text: str, kind: int) -> bool:
+    """Whether a model's span has what its kind needs: marks of an address and gaps beside them alone, four numbers up to 255, digits in number (a card's pass Luhn), or letters and digits without a gap."""
     digits = [int(c) for c in text if c in "0123456789"]
+    if kind == 0:
+        mark = MARKED.search(text)
+        return bool(mark and mark.start() and DOTTED.search(text, mark.end()) and not GAP.search(DOTTED.sub("", MARKED.sub("", text))))
+    if kind == 1:
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(x) < 4 and int(x) < 256 for x in parts)
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)
-    return kind != 1 or all(int(x) < 256 for x in re.findall("[0-9]+", text))
+    if kind == 3:
+        return 9 <= len(digits) <= 15 and 2 * len(digits) > len(text)
+    return len(text) >= SECRET and not GAP.search(text) and 3 <= len(digits) < len(text) - 2
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -258,9 +274,11 @@ def all_spans(text: str, base: list[tuple[int, int, int]], found: list[tuple[int
     for s, k, e in found:
         while s < e and text[s].isspace():
             s += 1
-        while s < e and (text[e - 1].isspace() or text[e - 1] in ".,;:"):
+        while s < e and (text[e - 1].isspace() or text[e - 1] in ".,;:\"'"):
             e -= 1
-        if fits(text[s:e], k) and not any(a < e and s < b for a, _, b in base):
+        while k == 4 and s < e and text[s] in "\"'":
+            s += 1
+        if holds(text[s:e], k) and not any(a < e and s < b for a, _, b in base):
             out.append((s, k, e))
     return sorted(out)
 
@@ -297,8 +315,15 @@ def generate(rng: random.Random, length: int = 160) -> tuple[str, np.ndarray]:
             head = rng.choice((f"+{digits(1)} ", "", "", "001 "))
             a, b, c, s = digits(3), digits(3), digits(4), rng.choice("-. ")
             add(head + rng.choice((f"({a}) {b}-{c}", f"{a}{s}{b}{s}{c}")), 4)
+        elif what < 0.975:
+            name, put = rng.choice(("token", "key", "secret", "api_key", "password", word())), rng.choice((" = ", "=", ": ", ":", " "))
+            quote, size = rng.choice(('"', '"', "'", "")), rng.choice((20, 24, 32, 40, 40, 48, 64))
+            letters = rng.choice(("0123456789abcdef", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-"))
+            add(name + put + quote, 0)
+            add("".join(rng.choice(letters) for _ in range(size)), 5)
+            add(quote, 0)
         else:
-            add(rng.choice((f'token = "{rng.getrandbits(160):040x}"', digits(4), f"{digits(2)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"version {digits(1)}.{digits(1)}", digits(9), f"{digits(2)}:{digits(2)}", "@" + word())), 0)
+            add(rng.choice((f"{rng.getrandbits(32):08x}", f"{word()}{digits(2)}", f"{word()}-{word()}_{word()}", f"{word()}{word()}{word()}{word()}", f"{word()} at {word()}", f"{word()} dot {word()}", digits(4), f"{digits(2)}.{digits(2)}", f"{digits(4)}-{digits(2)}-{digits(2)}", f"version {digits(1)}.{digits(1)}", digits(9), f"{digits(2)}:{digits(2)}", "@" + word())), 0)
         add(rng.choice((" ", " ", " ", " ", "\n")), 0)
     return text[:length], np.array(tags[:length], np.int64)
 
@@ -337,13 +362,13 @@ def backward(x: np.ndarray, p: dict, side: str, kept: list, gh: np.ndarray, g: d
         dz[:, :HIDDEN], dz[:, HIDDEN : 2 * HIDDEN], dz[:, a:] = dc * before, dc * z[:, a:], dc * z[:, HIDDEN : 2 * HIDDEN]
         dz[:, :a] *= 0.25 * ((raw[:, :a] > -2) & (raw[:, :a] < 2)) + 0.005  # a little slope beyond the cuts
         dz[:, a:] *= (raw[:, a:] > -1) & (raw[:, a:] < 1)
-        np.add.at(g["in" + side], x[t], dz)
+        g["in" + side] += np.eye(CLASSES, dtype=np.float32)[x[t]].T @ dz
         g["u" + side] += h.T @ dz
         dh = dz @ p["u" + side].T
         dc = dc * z[:, :HIDDEN]
 
 
-def train(seed: int = 3, steps: int = 300, batch: int = 40, length: int = 120) -> dict:
+def train(seed: int = 3, steps: int = 400, batch: int = 40, length: int = 140) -> dict:
     rng, noise, table = random.Random(seed), np.random.default_rng(seed), classes()
     make = lambda *s: (noise.normal(size=s) * 0.3).astype(np.float32)
     p = {"inf": make(CLASSES, 4 * HIDDEN), "inb": make(CLASSES, 4 * HIDDEN), "uf": make(HIDDEN, 4 * HIDDEN), "ub": make(HIDDEN, 4 * HIDDEN), "of": make(HIDDEN, TAGS), "ob": make(HIDDEN, TAGS), "bias": make(TAGS) * 0, "trans": make(TAGS, TAGS) * 0}
@@ -439,12 +464,13 @@ def redact(docs: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, the base spans' checksum and all spans."""
-    fields = [T.StructField(f"n_{k}", T.LongType()) for k in KINDS] + [T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())]
+    """doc_id, counts of the base kinds, the base spans' checksum, all spans and their number."""
+    long = [*(f"n_{k}" for k in KINDS[:BASE_KINDS]), "n_spans"]
+    fields = [*(T.StructField(c, T.LongType()) for c in long[:-1]), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField(long[-1], T.LongType())]
 
     def row(_, base, spans):
-        n = [sum(k == i for _, k, _ in base) for i in range(len(KINDS))]
-        return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans))
+        n = [sum(k == i for _, k, _ in base) for i in range(BASE_KINDS)]
+        return (*n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans))
 
     return with_spans(docs.select("doc_id", "text"), fields, row, ["doc_id"])
 

@@ -232,7 +232,42 @@ def test_near(docs, odd, empty, spark):
         got = {(r["doc_id"], r["class_id"], r["n_links"], r["group_id"]) for r in near.near_duplicates(df).collect()}
         assert got == {(i, *v) for i, v in brute_near(rows).items()}
     assert near.near_duplicates(empty).count() == 0
-    assert near.depth_for(0.8, 32, 8, 0.9999) == 6
+    twice = spark.createDataFrame([(1, BASE), (1, BASE.replace("upsilon", "omega")), (2, BASE + " end"), (3, None), (3, "a b c")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in near.near_duplicates(twice).select("doc_id", "n_links", "group_id").collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3), (3, 0, 3)]
+
+
+def test_levels():
+    """The level of a size: deepest with which a pair as unlike as the size allows is found with the target chance."""
+    assert near.least_similarity(3) is None and near.least_similarity(4) == 4 / 5 and near.least_similarity(7) == 6 / 7
+    assert near.levels(3) is None and near.levels(7) == 8 and near.levels(6) == 7 and near.levels(500) == 6
+    for n in range(4, 80):
+        k = near.levels(n)
+        x = near.least_similarity(n) if n < near.SIZES else near.THRESHOLD
+        reached = lambda d: 1 - (1 - x**d) ** near.TREES >= near.RECALL  # noqa: E731, B023
+        assert reached(k) and (k == near.DEPTH or not reached(k + 1))
+
+
+def test_forest_shortens_prefixes(spark):
+    """Each class ties at its own levels: 1 and 2 share six bytes, 3 and 4 (which stop at 8) share seven, 5 and 6 all."""
+    sig = lambda *x: int.from_bytes(bytes(x), "big", signed=True)
+    head = (200, 1, 2, 3, 4, 5)
+    rows = [(1, 6, [sig(*head, 1, 1)]), (2, 6, [sig(*head, 9, 9)]), (3, 8, [sig(*head, 4, 1)]), (4, 8, [sig(*head, 4, 2)]), (5, 8, [sig(*head, 5, 5)]), (6, 8, [sig(*head, 5, 5)]), (7, 6, [sig(7, *head, 0)])]
+    got = {tuple(r) for r in near.forest(spark.createDataFrame(rows, "cid long, floor int, signatures array<long>")).collect()}
+    assert got == {(2, 1, 6), (6, 5, 8)}
+    brute = {(x[0], y[0], k) for x in rows for y in rows for k in range(6, 9) if x[0] != y[0] and max(x[1], y[1]) <= k and x[2][0] >> 8 * (8 - k) == y[2][0] >> 8 * (8 - k)}
+    assert {(min(a, b), max(a, b)) for a, b, _ in got} == {(min(a, b), max(a, b)) for a, b, _ in brute}
+
+
+def test_forest_recall(spark):
+    """Pairs just over the threshold: nearly all are linked."""
+    rng, rows = random.Random(12), []
+    for i in range(400):
+        words = [f"w{i}_{k}" for k in range(64)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-1] + [f"x{rng.random()}"]) if i % 2 else " ".join(words[6:]))]
+    want = brute_near(rows)
+    got = {r["doc_id"]: r["n_links"] for r in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(want[i][1] for i in got) > 700 and sum(got.values()) >= 0.995 * sum(want[i][1] for i in got)
 
 
 def test_components(spark):
@@ -293,8 +328,34 @@ def test_windows_agree_with_whole_texts():
     import pickle
 
     reader = pii.Reader(pickle.loads(pii.trained()))
-    text = "the of " * 45 + "write to jan (at) host (dot) com soon " + "the of " * 60
-    assert any(text[s:e].startswith("jan") for s, k, e in reader.tag([text])[0] if k == 0)
+    span = "jan.someone (at) mail-host (dot) example (dot) com"
+    for before in range(pii.WINDOW - pii.OVERLAP - 60, pii.WINDOW + 10, 7):  # the span lies at every place of a cut
+        head = ("the of " * 200)[:before]
+        text = f"{head} {span} " + "the of " * 60
+        assert (before + 1, 0, before + 1 + len(span)) in pii.all_spans(text, [], reader.tag([text])[0]), before
+
+
+def test_reconciled():
+    assert pii.reconciled([(-5, 10, 0, 30), (-2, 10, 0, 18), (-1, 20, 0, 30), (-1, 30, 1, 40)]) == [(10, 0, 30), (30, 1, 40)]
+
+
+def test_personal_data_digest(docs, odd):
+    """Counts and checksums by the naive patterns; base spans stay, and the model finds the secrets that no pattern states."""
+    import hashlib
+
+    for df in (docs, odd):
+        texts = {(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()}
+        got = pii.find(df).collect()
+        assert len(got) == df.count()
+        by = {r["doc_id"]: r for r in got}
+        for i, text in texts:
+            base, r = naive(text or ""), by[i]
+            assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == j for _, k, _ in base) for j in range(4)]
+            assert r["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest()
+            spans = r["spans"].split(",") if r["spans"] else []
+            assert set(filter(None, pii.joined(base).split(","))) <= set(spans) and len(spans) == r["n_spans"]
+            for m in re.finditer(r"[0-9a-f]{40}", text or ""):
+                assert f"secret:{m.start()}:{m.end()}" in spans
 
 
 def test_redaction(odd, empty):
