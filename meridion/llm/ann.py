@@ -5,10 +5,11 @@ The codebooks are fitted on a bounded sample (SAMPLE rows, those with the
 smallest hash of id): k-means on residuals gives the start, then rounds of
 beam-search encoding and least squares over all codebooks. Every row is coded
 by beam search and stored as codes, the norm of its reconstruction and its own
-norm. A query sums, over lookup tables of query times codeword, the score of
-every row, corrected by the stored norms; the RERANK best of each block are
-scored exactly on the original vectors. Rows of equal vectors share a code and
-are looked up once.
+norm. Rows of equal vectors share a code; the first k + 1 of them, by id, stand
+for all, since no query returns more. Codes and norms alone are dealt out. A
+query sums, over lookup tables of query times codeword, the score of every
+code, corrected by the stored norms. The SHORT best codes of a query, over all
+groups, are then joined to their original vectors and scored exactly.
 
 Cases: as for the exact search; zero vectors take no part either; a sample
 smaller than a codebook gives smaller codebooks; an empty table gives no rows.
@@ -21,12 +22,13 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .topk import best, blocks, search_blocks, unpack, valid
+from .common import scratch, stored
+from .topk import QUERY_BLOCK, blocks, gathered, groups_of, meet, ranked, unpack, valid
 
-SAMPLE, BOOKS, WORDS, BEAM, ROUNDS, RERANK, BLOCK = 6000, 8, 256, 6, 3, 640, 16_384
+SAMPLE, BOOKS, WORDS, BEAM, ROUNDS, SHORT, BLOCK = 6000, 16, 256, 6, 3, 400, 16_384
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -96,37 +98,96 @@ def _fit_once(sample: bytes, width: int) -> np.ndarray:
     return fit(np.frombuffer(sample, np.float64).reshape(-1, width))
 
 
-def index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """Blocks of rows with codes and norms besides ids and vectors."""
+def coded(rows: DataFrame, books: np.ndarray) -> DataFrame:
+    """(id, same, code, scale) of rows (id, v): same is a hash of the vector, scale its norm over the norm of its reconstruction."""
     packed = pickle.dumps(books)
 
     def run(batches):
         cb = pickle.loads(packed)
         for b in batches:
-            for r in b.to_pylist():
-                _, m = unpack(r["ids"], r["m"], r["width"])
-                codes, other = encode_block(m, cb)
-                yield pa.RecordBatch.from_arrays([pa.array([r["cblock"]], pa.int64()), pa.array([r["ids"]], pa.binary()), pa.array([r["m"]], pa.binary()), pa.array([r["width"]], pa.int64()), pa.array([codes.astype(np.uint16).tobytes()], pa.binary()), pa.array([other.tobytes()], pa.binary())], ["cblock", "ids", "m", "width", "codes", "norms"])
+            vs = b.column(2).to_numpy(zero_copy_only=False)
+            wide = np.zeros((len(vs), cb.shape[2]))
+            for r, v in zip(wide, vs, strict=True):
+                r[: len(v)] = v[: len(r)]
+            codes = encode(wide, cb)
+            norm = np.linalg.norm(decode(codes, cb), axis=1)
+            own = np.array([np.linalg.norm(v) for v in vs])
+            scale = np.where(norm > 0, own / np.maximum(norm, 1e-30), 1.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary()), pa.array(scale)], ["id", "same", "code", "scale"])
 
-    return blocks(rows, BLOCK, "cblock").mapInArrow(run, "cblock long, ids binary, m binary, width long, codes binary, norms binary")
+    return rows.select("id", F.xxhash64("v").alias("same"), "v").mapInArrow(run, "id long, same long, code binary, scale double")
 
 
-def encode_block(m: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes, and own norm over the reconstruction's norm; components beyond the codebooks' width aren't coded."""
-    wide = np.zeros((len(m), books.shape[2]))
-    w = min(m.shape[1], books.shape[2])
-    wide[:, :w] = m[:, :w]
-    codes = encode(wide, books)
-    norm = np.linalg.norm(decode(codes, books), axis=1)
-    return codes, np.where(norm > 0, np.linalg.norm(m, axis=1) / np.maximum(norm, 1e-30), 1.0)
+def code_blocks(classes: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Classes (id, code, scale) in blocks of ids, codes and scales as binary."""
 
+    def run(batches):
+        for b in batches:
+            for a in range(0, b.num_rows, size):
+                part = b.slice(a, size)
+                ids = part.column(0).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([b"".join(part.column(1).to_pylist())]), pa.array([part.column(2).to_numpy().astype(np.float32).tobytes()])], ["ids", "codes", "scales"])
+
+    return classes.select("id", "code", "scale").mapInArrow(run, "ids binary, codes binary, scales binary")
+
+
+def short_lists(queries: DataFrame, classes: DataFrame, books: np.ndarray, short: int) -> DataFrame:
+    """(query_id, vec_id, score, rank): the `short` best classes of each query by the lookup tables."""
+    packed = pickle.dumps(books)
+    kept: dict = {}
+
+    def prepare(row):
+        cb = kept.setdefault("books", pickle.loads(packed))
+        ids = np.frombuffer(row["ids"], np.int64)
+        codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), cb.shape[0])
+        return ids, (codes.astype(np.int64) + np.arange(cb.shape[0]) * cb.shape[1]).T.copy(), np.frombuffer(row["scales"], np.float32)
+
+    def score(row, held):
+        cb = kept["books"]
+        qids, qm = unpack(row)
+        q = np.zeros((len(qids), cb.shape[2]))
+        w = min(qm.shape[1], cb.shape[2])
+        q[:, :w] = qm[:, :w]
+        tables = np.einsum("qd,mkd->qmk", q, cb, optimize=True).reshape(len(q), -1).astype(np.float32)
+        out = []
+        for query, table in zip(qids, tables, strict=True):
+            ids, got = [], []
+            for block, flat, scale in held:
+                found = table[flat[0]]
+                for part in flat[1:]:
+                    found += table[part]
+                found *= scale
+                at = np.argpartition(found, len(found) - short)[-short:] if len(found) > short else np.arange(len(found))
+                ids.append(block[at])
+                got.append(found[at])
+            ids, got = np.concatenate(ids), np.concatenate(got)
+            at = np.argpartition(got, len(got) - short)[-short:] if len(got) > short else np.arange(len(got))
+            out.append((int(query), ids[at], got[at]))
+        ids = gathered(out)
+        return [*ids[:2], ids[2].astype(np.float64)]
+
+    found = meet(blocks(queries, QUERY_BLOCK), code_blocks(classes), groups_of(classes), prepare, score, "query_id long, vec_id long, score double", ["query_id", "vec_id", "score"])
+    return ranked(found, short)
+
+
+def inner(pairs: DataFrame) -> DataFrame:
+    """pairs (query_id, ids, q, v) to (query_id, vec_id, score), for each of ids but the query's own."""
+
+    def run(batches):
+        for b in batches:
+            qid, ids = b.column(0).to_pylist(), b.column(1).to_pylist()
+            out = []
+            for i, those, q, v in zip(qid, ids, b.column(2).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False), strict=True):
+                w = min(len(q), len(v))
+                x = float(np.dot(q[:w], v[:w]))
+                out += [(i, j, x) for j in those if j != i]
+            columns = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
 
-def inner(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    w = min(len(q), m.shape[1])
-    return np.einsum("ij,j->i", m[:, :w], q[:w])
+    return pairs.select("query_id", "ids", "q", "v").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
-def ann_search(queries: DataFrame, candidates: DataFrame, k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def ann_search(queries: DataFrame, candidates: DataFrame, k: int = 20, short: int = SHORT, sample: int = SAMPLE) -> DataFrame:
     """Both (id, v); the k nearest found by inner product."""
     got = candidates.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(sample).collect()
     width = max((len(r["v"]) for r in got), default=1)
@@ -134,39 +195,18 @@ def ann_search(queries: DataFrame, candidates: DataFrame, k: int = 20, rerank: i
     for row, r in zip(x, got, strict=True):
         row[: len(r["v"])] = r["v"]
     books = _fit_once(x.tobytes(), width) if got else np.zeros((1, 1, 1))
-    packed = pickle.dumps(books)
-
-    def kernel(state, qids, qm, row):
-        cb = pickle.loads(packed)
-        ids, m = unpack(row["ids"], row["m"], row["width"])
-        norms = np.frombuffer(row["norms"])
-        codes = np.frombuffer(row["codes"], np.uint16).reshape(len(ids), cb.shape[0])
-        _, one, inverse = np.unique(np.ascontiguousarray(m).view(f"V{8 * m.shape[1]}").ravel(), return_index=True, return_inverse=True)
-        members = np.argsort(inverse, kind="stable")  # ids ascend within equal vectors
-        starts = np.concatenate([[0], np.cumsum(np.bincount(inverse))])
-        flat = (codes[one].astype(np.int64) + np.arange(cb.shape[0]) * cb.shape[1]).T.copy()
-        scale = norms[one].astype(np.float32)
-        q = np.zeros((len(qids), cb.shape[2]))
-        w = min(qm.shape[1], cb.shape[2])
-        q[:, :w] = qm[:, :w]
-        tables = np.einsum("qd,mkd->qmk", q, cb, optimize=True).reshape(len(q), -1).astype(np.float32)
-        for i, query in enumerate(qids):
-            table = tables[i]
-            score = table[flat[0]]
-            for part in flat[1:]:
-                score += table[part]
-            score *= scale
-            at = np.argpartition(score, len(score) - rerank)[-rerank:] if len(score) > rerank else np.arange(len(score))
-            exact = inner(qm[i], m[one[at]])
-            top = best(exact, ids[one[at]], k + 1)
-            rows = np.concatenate([members[starts[u] : min(starts[u + 1], starts[u] + k + 2)] for u in at[top]])
-            values = np.repeat(exact[top], [min(starts[u + 1] - starts[u], k + 2) for u in at[top]])
-            keep = ids[rows] != query
-            rows, values = rows[keep], values[keep]
-            pick = best(values, ids[rows], k)
-            state.add(int(query), ids[rows[pick]], values[pick])
-
-    return search_blocks(queries, index(candidates, books), kernel, k, "double")
+    with scratch(queries.sparkSession):
+        index = stored(coded(candidates, books), "codes")
+        # A class of equal vectors has k + 1 ids at most, whatever the number of its copies.
+        nth = F.row_number().over(Window.partitionBy("same").orderBy("id"))
+        first = index.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+        classes = first.groupBy("same").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("ids"), F.min_by("code", "id").alias("code"), F.min_by("scale", "id").alias("scale"))
+        classes = stored(classes.select("id", "same", "ids", "code", "scale"), "classes")
+        near = short_lists(queries, classes, books, short).select("query_id", F.col("vec_id").alias("id"))
+        originals = candidates.select("id", F.xxhash64("v").alias("same"), "v").dropDuplicates(["id", "same"])
+        vectors = classes.select("id", "same", "ids").join(originals, ["id", "same"]).drop("same")
+        pairs = near.join(vectors, "id").join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+        return stored(ranked(inner(pairs), k), "nearest", outer=True)
 
 
 def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

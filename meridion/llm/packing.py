@@ -3,9 +3,13 @@
 Each partition packs its documents in order. Whole windows of a long document
 are sequences of their own. The rest is placed at the fill level for which the
 sum of the squared counts of partially filled windows is least; a level array
-holds these counts. When the partition ends, the windows that are still open
-are emptied, least filled first, into the gaps of the others, cutting pieces
-where needed, so that one window of a partition at most stays partly filled.
+holds these counts. A window is given out as soon as it is full, so a task
+holds the ids of open windows only. When the partition ends, the windows that
+are still open are closed by another rule: least filled first, they are emptied
+into the gaps of the others, cutting pieces where needed, so that one window of
+a partition at most stays partly filled.
+
+Ids are the tokenizer's own for the whole text, its special tokens included.
 
 Cases: null or empty text is a document of the end token alone; repeated rows
 are packed each on its own; texts may have any length; an empty table gives no
@@ -25,7 +29,9 @@ from .common import crc, docs_of
 WINDOW, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict = {}
-CACHE_WORDS, ATOMS = 1_300_000, 300_000
+CACHE_WORDS, ATOMS = 1_000_000, 200_000
+#: Characters that are encoded together, a text at least.
+AT_ONCE = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -40,17 +46,17 @@ class WordCache:
     The pre-tokeniser of byte-level BPE always begins a new token at a space
     before its next non-space, around a lone line feed, and between a letter
     or digit and punctuation. A text cut there encodes to the concatenation of
-    its parts' ids, which are kept as little-endian bytes.
+    its parts' ids, which are kept as little-endian bytes. Texts that hold one of
+    the tokenizer's special tokens are encoded whole.
     """
 
     MARKS = ".,;:!?$%&*#|"
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.atoms: dict[str, bytes] = {}
 
@@ -60,11 +66,17 @@ class WordCache:
         if len(known) > CACHE_WORDS:
             known.clear()
             self.atoms.clear()
-        cut = [text.split(" ") for text in texts]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        whole = {i for s in self.special for i, text in enumerate(texts) if s in text}
+        cut = [[] if i in whole else text.split(" ") for i, text in enumerate(texts)]
         for words in cut:
-            words[0] = "\0" + words[0]
+            if words:
+                words[0] = "\0" + words[0]
         self._learn({w for words in cut for w in words if w not in known})
-        return [b"".join(map(known.__getitem__, words)) for words in cut]
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
     def _learn(self, words: set[str]) -> None:
         if len(self.atoms) > ATOMS:
@@ -157,7 +169,24 @@ class Packer:
             if not left[i]:
                 i += 1
         self.open, self.level[:] = [[] for _ in self.open], 0
-        return self.full + [p for p in left if p]
+        return self.filled() + [p for p in left if p]
+
+    def filled(self) -> list[list]:
+        """The windows that are full; they are given out once."""
+        out, self.full = self.full, []
+        return out
+
+
+def parts_of(texts: list[str], chars: int = AT_ONCE):
+    """(start, stop) of runs of texts of about so many characters, a text at least."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= chars:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
@@ -167,25 +196,44 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     def run(batches):
         from pyspark import TaskContext
 
-        first = TaskContext.get().partitionId() << 33
+        first, n = TaskContext.get().partitionId() << 33, 0
         cache, packer = word_cache(path), Packer(window)
-        doc_id, ids = [], []
+        # Of each document with tokens in open windows: its id, the place of the first id held, the ids held, all tokens, tokens not given out.
+        held: dict[int, list] = {}
+        rows: list[tuple] = []
+
+        def give(windows) -> None:
+            nonlocal n
+            for pieces in windows:
+                offset = 0
+                for d, start, length in pieces:
+                    doc = held[d]
+                    at = 4 * (start - doc[1])
+                    rows.append((doc[0], start, length, crc(doc[2][at : at + 4 * length]), doc[3], first + n, offset))
+                    offset += length
+                    doc[4] -= length
+                    if not doc[4]:
+                        del held[d]
+                n += 1
+
         stop = np.array([end], "<u4").tobytes()
+        count = 0
         for b in batches:
-            for i, coded in zip(b.column(0).to_pylist(), cache.encode([x or "" for x in b.column(1).to_pylist()]), strict=True):
-                coded += stop
-                packer.add(len(ids), len(coded) // 4)
-                doc_id.append(i)
-                ids.append(coded)
-        rows: list[tuple] = []
-        for k, pieces in enumerate(packer.windows()):
-            offset = 0
-            for d, start, length in pieces:
-                rows.append((doc_id[d], start, length, crc(ids[d][4 * start : 4 * (start + length)]), len(ids[d]) // 4, first + k, offset))
-                offset += length
-            if len(rows) >= 10_000:
-                yield _batch(rows)
-                rows = []
+            ids, texts = b.column(0).to_pylist(), [x or "" for x in b.column(1).to_pylist()]
+            for i, j in parts_of(texts):
+                for doc_id, coded in zip(ids[i:j], cache.encode(texts[i:j]), strict=True):
+                    coded += stop
+                    tokens = len(coded) // 4
+                    held[count] = [doc_id, 0, coded, tokens, tokens]
+                    packer.add(count, tokens)
+                    give(packer.filled())
+                    if count in held and (whole := tokens // window * window):
+                        held[count][1:3] = whole, coded[4 * whole :]
+                    count += 1
+                if len(rows) >= 10_000:
+                    yield _batch(rows)
+                    rows = []
+        give(packer.windows())
         if rows:
             yield _batch(rows)
 

@@ -5,8 +5,8 @@ scores or merges and byte fallback are rebuilt as a tokenizers pipeline. Where
 no piece holds the marker after another character, a text is cut before its
 runs of spaces, and each distinct word is encoded once, in batches over
 threads. Parity with the sentencepiece library is verified for every distinct
-word (or for every whole text that isn't cut); where the two differ,
-sentencepiece's ids are taken and the row says so.
+word (or for every whole text that isn't cut); where the two differ
+in ids or in the decoded text, sentencepiece's are taken and the row says so.
 
 Cases: null or empty text has no ids; texts with the marker itself, or of
 models with a character map or trimming of spaces, are encoded whole; repeated
@@ -26,6 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import crc, docs_of
+from .packing import parts_of
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -114,7 +115,6 @@ class Codec:
     """Encodes and decodes; every result is held against sentencepiece."""
 
     def __init__(self, data: bytes, threads: str = THREADS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", threads)
         import sentencepiece
 
@@ -125,7 +125,8 @@ class Codec:
         self.words: dict[str, tuple[bytes, str, bool]] = {}
 
     def _encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
-        """(ids, decoded text, parity) of whole texts."""
+        """(ids, decoded text, parity) of whole texts; parity is of ids and of what they decode to."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         out = []
         for a in range(0, len(texts), 20_000):
             part = texts[a : a + 20_000]
@@ -133,8 +134,8 @@ class Codec:
             ref = self.reference.encode(part, num_threads=self.threads)
             same = [x == y for x, y in zip(own, ref, strict=True)]
             ids = [x if s else y for x, y, s in zip(own, ref, same, strict=True)]
-            for x, d, s in zip(ids, self.fast.decode_batch(ids, skip_special_tokens=False), same, strict=True):
-                out.append((np.array(x, "<u4").tobytes(), d, s))
+            for x, d, r, s in zip(ids, self.fast.decode_batch(ids, skip_special_tokens=False), self.reference.decode(ids), same, strict=True):
+                out.append((np.array(x, "<u4").tobytes(), r, s and d == r))
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, bool]]:
@@ -192,7 +193,8 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(path)
         for b in batches:
-            got = c.encode([x or "" for x in b.column(1).to_pylist()])
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            got = [g for i, j in parts_of(texts) for g in c.encode(texts[i:j])]
             lengths = np.cumsum([0] + [len(g[0]) // 4 for g in got]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.frombuffer(b"".join(g[0] for g in got), "<u4").astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(0), ids, pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got])], ["doc_id", "ids", "decoded", "parity"])
@@ -207,7 +209,8 @@ def digest(docs: DataFrame, model: str | None = None) -> DataFrame:
     def run(batches):
         c = codec(path)
         for b in batches:
-            got = c.encode([x or "" for x in b.column(1).to_pylist()])
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            got = [g for i, j in parts_of(texts) for g in c.encode(texts[i:j])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([crc(g[0]) for g in got], pa.int64()), pa.array([crc(g[1].encode()) for g in got], pa.int64()), pa.array([g[2] for g in got])], ["doc_id", "n_tokens", "ids_crc32", "decoded_crc32", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)

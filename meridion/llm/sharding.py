@@ -8,7 +8,10 @@ range of it, so that shard counts differ by one at most (law `rows`).
 The hash takes the record's place in its input partition besides doc_id, so
 repeated rows and copies spread over all buckets. Cases: null text counts as
 empty (size 8); null doc_id, repeated rows and extra columns stay as they are;
-an empty table gives no rows.
+an empty table gives no rows. The input must give the same rows in the same
+places when it is read again; a bucket whose count has changed between the
+passes (as after a lost executor, with an input without fixed order) fails the
+job instead of giving wrong slots.
 """
 
 from __future__ import annotations
@@ -19,22 +22,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import docs_of
+from .common import docs_of, free
 
-BUCKET_BYTES = 24 << 20
+#: A bucket is a share of an executor's memory, within these bounds.
+LEAST_BYTES, MOST_BYTES, SHARE = 24 << 20, 512 << 20, 48
 _KEY, _BUCKET = "__place", "__bucket"
 
 
-def _free(df: DataFrame, name: str) -> str:
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
+def bucket_size(spark: SparkSession) -> int:
+    """Bytes of a bucket: a SHARE-th of spark.executor.memory."""
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    memory = spark.sparkContext.getConf().get("spark.executor.memory", "1g").lower().rstrip("b")
+    n = int(memory[:-1]) * units[memory[-1]] if memory[-1] in units else int(memory) << 20
+    return max(LEAST_BYTES, min(MOST_BYTES, n // SHARE))
 
 
-def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, text: str = "text", key: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, text: str = "text", key: str = "doc_id", bucket_bytes: int | None = None) -> DataFrame:
     """df's columns with shard (int) and slot (long); both are overwritten if df has them."""
     df = df.drop("shard", "slot")
-    place, bucket = _free(df, _KEY), _free(df, _BUCKET)
+    place, bucket = free(df, _KEY, _BUCKET)
+    bucket_bytes = bucket_bytes or bucket_size(df.sparkSession)
     total = df.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(64)), F.lit(0)).alias("b")).first()["b"]
     n = max(1, -(-int(total) // bucket_bytes))
     place_of = F.monotonically_increasing_id()
@@ -54,6 +61,8 @@ def external_shuffle(df: DataFrame, n_shards: int, seed: int = 17, text: str = "
             return
         table = pa.Table.from_batches(got)
         k = table.column(bucket)[0].as_py()
+        if table.num_rows != size[k]:
+            raise RuntimeError(f"bucket {k} has {table.num_rows} rows, {size[k]} when they were counted: the input changed between the passes")
         table = table.take(np.argsort(table.column(place).to_numpy(), kind="stable"))  # the fetch order of a shuffle isn't fixed
         order = np.arange(table.num_rows)
         np.random.default_rng([seed, k]).shuffle(order)  # Fisher-Yates

@@ -1,12 +1,13 @@
 """Exhaustive exact top-k search by term-at-a-time accumulation.
 
-Rows are sparse integer vectors. Candidates are cut into blocks; a block keeps,
-for each term (component), its postings: the rows that have it and their
-weights. A query row takes its terms one at a time and scatters query weight
-times posting weight into a dense score array over the block. The k best are
-then partitioned off, and the blocks' lists merged. Every query block meets
-every candidate block; the pairs of blocks are dealt out by an equi-join on a
-block number, and a task merges what it has seen before it emits.
+Rows are sparse integer vectors. Candidates are dealt out to groups of blocks;
+a group keeps, for each block and term (component), its postings: the rows that
+have the term and their weights. The queries, in blocks too, are sent to every
+group and stream past its postings. A query row takes its terms one at a time
+and scatters query weight times posting weight into a dense score array over
+the block. The k best are then partitioned off and merged over the blocks of
+the group, and the groups' lists are merged by rank. A task holds the postings
+of one group and one block of queries.
 
 Cases: rows with a null id or vector, or null or non-finite components, take
 no part; vectors may differ in length (a missing component is zero); ties go
@@ -18,10 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERY_BLOCK = 16_384, 1024
+#: Rows of a block of candidates or queries, and of the candidates of a task.
+BLOCK, QUERY_BLOCK, GROUP_ROWS = 4096, 256, 65_536
+#: Types that hold components, the smallest first.
+KINDS = ("int8", "int16", "int32", "float64")
 
 
 def valid(df: DataFrame, vector: str, key: str, not_zero: bool = False) -> DataFrame:
@@ -33,39 +37,44 @@ def valid(df: DataFrame, vector: str, key: str, not_zero: bool = False) -> DataF
     return df.filter(good).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
 
-def blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows (id, v) in blocks: `name` (int), ids and a row-major matrix as binary, its width. Blocks never join partitions, so none outgrows its size."""
+def packed(m: np.ndarray) -> tuple[bytes, str]:
+    """A matrix in the smallest of KINDS that holds it."""
+    top = np.abs(m).max(initial=0)
+    whole = top < 2**31 - 1 and (m == np.floor(m)).all()
+    kind = next(k for k in KINDS if k == "float64" or whole and top <= np.iinfo(k).max)
+    return m.astype(kind).tobytes(), kind
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        first, held, n, k = TaskContext.get().partitionId() << 20, [], 0, 0
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows (id, v) in blocks: ids and a row-major matrix as binary, its width and type. Blocks never join partitions, so none outgrows its size."""
+
+    def run(batches):
+        held: list[tuple] = []
 
         def out():
-            ids, vs = [i for i, _ in held], [v for _, v in held]
-            width = max(map(len, vs), default=0)
-            m = np.zeros((len(vs), width))
-            for r, v in zip(m, vs, strict=True):
+            ids = np.array([i for i, _ in held], np.int64)
+            m = np.zeros((len(held), max((len(v) for _, v in held), default=0)))
+            for r, (_, v) in zip(m, held, strict=True):
                 r[: len(v)] = v
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
-            return pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), pa.array([np.array(ids, np.int64)[order].tobytes()]), pa.array([m[order].tobytes()], pa.binary()), pa.array([width], pa.int64())], [name, "ids", "m", "width"])
+            order = np.argsort(ids, kind="stable")
+            data, kind = packed(m[order])
+            return pa.RecordBatch.from_arrays([pa.array([ids[order].tobytes()]), pa.array([data], pa.binary()), pa.array([m.shape[1]], pa.int64()), pa.array([kind])], ["ids", "m", "width", "kind"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
-                held.append((i, v))
-                n += 1
-                if n == size:
+            for row in zip(b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False), strict=True):
+                held.append(row)
+                if len(held) == size:
                     yield out()
-                    held, n, k = [], 0, k + 1
+                    held = []
         if held:
             yield out()
 
-    return rows.mapInArrow(run, f"{name} long, ids binary, m binary, width long")
+    return rows.mapInArrow(run, "ids binary, m binary, width long, kind string")
 
 
-def unpack(ids: bytes, m: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(m, np.float64).reshape(len(i), width)
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(row["ids"], np.int64)
+    return i, np.frombuffer(row["m"], row["kind"]).reshape(len(i), row["width"]).astype(np.float64)
 
 
 def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -82,51 +91,43 @@ def best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return score_at[np.lexsort((ids[score_at], -score[score_at]))]
 
 
-class Merged:
-    """The k best of each query over the blocks that a task has seen."""
+def groups_of(candidates: DataFrame) -> int:
+    """Groups of about GROUP_ROWS candidates, and enough of them to keep all cores busy with blocks of some size."""
+    n, cores = candidates.count(), candidates.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-n // GROUP_ROWS), min(2 * cores, n // 2048))
 
-    def __init__(self, k: int, dtype):
-        self.k, self.dtype, self.held = k, dtype, {}
 
-    def add(self, query: int, ids: np.ndarray, score: np.ndarray) -> None:
-        if query in self.held:
-            i, s = self.held[query]
-            ids, score = np.concatenate([i, ids]), np.concatenate([s, score])
-            at = best(score, ids, self.k)
-            ids, score = ids[at], score[at]
-        self.held[query] = (ids, score)
+def meet(queries: DataFrame, candidates: DataFrame, groups: int, prepare, score, schema: str, names: list[str]) -> DataFrame:
+    """Blocks of queries against all blocks of candidates: score(query block, the prepared blocks of a group) gives columns for each block of queries.
 
-    def batches(self):
-        items = list(self.held.items())
-        for a in range(0, len(items), 512):
-            part = items[a : a + 512]
-            ids, score = np.concatenate([x[1][0] for x in part]), np.concatenate([x[1][1] for x in part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, _ in part], np.int64), [len(x[1][0]) for x in part])), pa.array(ids), pa.array(score.astype(self.dtype))], ["query_id", "vec_id", "score"])
-
-
-def search_blocks(queries: DataFrame, candidates: DataFrame, kernel, k: int, score_type: str) -> DataFrame:
-    """kernel(state, query ids, query matrix, candidate row) adds to state.held; the k best of each query over all blocks."""
-    q = blocks(queries, QUERY_BLOCK, "qblock").withColumnsRenamed({"ids": "qids", "m": "qm", "width": "qwidth"})
-    numbers = [r[0] for r in q.select("qblock").collect()]  # one number for each block of queries
-    if not numbers:
-        return queries.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score {score_type}")
-    pairs = candidates.withColumn("qblock", F.explode(F.array(*[F.lit(x) for x in numbers])))
-    n = max(1, min(4096, queries.sparkSession.sparkContext.defaultParallelism * 2))
-    pairs = pairs.join(q.hint("shuffle_hash"), "qblock").repartition(n, "qblock", F.pmod(F.xxhash64("cblock"), F.lit(4)))
-    dtype = np.int64 if score_type == "long" else np.float64
+    A block of candidates is in one group and is prepared once; each group reads all queries, one block at a time."""
+    c = candidates.withColumn("query", F.lit(0)).withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    q = queries.withColumn("query", F.lit(1)).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    both = c.unionByName(q, allowMissingColumns=True).repartition(groups, "group").sortWithinPartitions("group", "query")
 
     def run(batches):
-        state, last, qs = Merged(k, dtype), None, None
+        held, group = [], None
         for b in batches:
-            for row in b.to_pylist():
-                if row["qblock"] != last:
-                    last, qs = row["qblock"], unpack(row["qids"], row["qm"], row["qwidth"])
-                kernel(state, *qs, row)
-        yield from state.batches()
+            for k in range(b.num_rows):
+                row = {n: b.column(i)[k].as_py() for i, n in enumerate(b.schema.names)}
+                if row["group"] != group:
+                    group, held = row["group"], []
+                if not row["query"]:
+                    held.append(prepare(row))
+                elif held:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in score(row, held)], names)
+
+    return both.mapInArrow(run, schema)
 
-    from pyspark.sql import Window
 
-    found = pairs.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+def gathered(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """(query, ids, scores) of many queries as three columns."""
+    ids = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, np.int64)
+    return [np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) for r in rows]), ids, np.concatenate([r[2] for r in rows]) if rows else np.zeros(0)]
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score) to the k best of each query with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -143,26 +144,43 @@ def accumulate(query: np.ndarray, postings: list, n: int, dtype) -> np.ndarray:
     return score
 
 
+def postings_of(m: np.ndarray) -> list[tuple]:
+    """(rows, weights) of each term; rows is None where half of all rows have the term, and the weights are then those of all."""
+    out = []
+    for t in range(m.shape[1]):
+        rows = np.flatnonzero(m[:, t])
+        out.append((None, m[:, t].copy()) if len(rows) * 2 >= len(m) else (rows, m[rows, t]))
+    return out
+
+
 def taat_search(queries: DataFrame, candidates: DataFrame, k: int = 20) -> DataFrame:
     """Both (id, v) with whole-number components; scores are exact integers while they fit a long."""
 
-    def kernel(state, qids, qm, row):
-        ids, m = unpack(row["ids"], row["m"], row["width"])
-        width = min(qm.shape[1], m.shape[1])
-        top = np.abs(qm).max(initial=0) * np.abs(m).max(initial=0) * max(1, width)
-        dtype = np.int32 if top < 2**31 else np.int64
-        postings = []
-        for t in range(m.shape[1]):
-            rows = np.flatnonzero(m[:, t])
-            dense = len(rows) * 2 >= len(ids)  # a zero weight adds nothing
-            postings.append((None, m[:, t].astype(dtype)) if dense else (rows, m[rows, t].astype(dtype)))
-        for q, v in zip(qids, qm, strict=True):
-            score = accumulate(v, postings, len(ids), dtype)
-            at = best(score, ids, k + int((ids == q).sum()))
-            at = at[ids[at] != q]
-            state.add(int(q), ids[at[:k]], score[at[:k]].astype(np.int64))
+    def prepare(row):
+        ids, m = unpack(row)
+        top = int(np.abs(m).max(initial=0))
+        return ids, postings_of(m.astype(np.int32 if top < 2**31 else np.int64)), top
 
-    return search_blocks(queries, blocks(candidates, BLOCK, "cblock"), kernel, k, "long")
+    def score(row, held):
+        qids, qm = unpack(row)
+        out = []
+        for q, v in zip(qids, qm, strict=True):
+            high = np.abs(v).max(initial=0)
+            ids, got = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for block, postings, top in held:
+                dtype = np.int32 if high * top * max(1, len(v)) < 2**31 else np.int64
+                found = accumulate(v, postings, len(block), dtype)
+                at = best(found, block, k + int((block == q).sum()))
+                at = at[block[at] != q][:k]
+                ids, got = np.concatenate([ids, block[at]]), np.concatenate([got, found[at].astype(np.int64)])
+            at = best(got, ids, k)
+            out.append((int(q), ids[at], got[at]))
+        ids = gathered(out)
+        return [*ids[:2], ids[2].astype(np.int64)]
+
+    c = blocks(candidates, BLOCK)
+    found = meet(blocks(queries, QUERY_BLOCK), c, groups_of(candidates), prepare, score, "query_id long, vec_id long, score long", ["query_id", "vec_id", "score"])
+    return ranked(found, k)
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

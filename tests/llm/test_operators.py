@@ -81,7 +81,6 @@ def test_packing_round_trip(odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     rows = packing.pack(odd).collect()
     by, seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
@@ -103,6 +102,45 @@ def test_packing_round_trip(odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_takes_the_tokenizers_ids(spark):
+    """Special tokens in a text, long documents and windows that fill on the way."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    rng = random.Random(2)
+    texts = {0: "hello <|endoftext|> world", 1: "<|endoftext|>", 2: " ".join(f"w{k}" for k in range(9000))}
+    texts |= {k: " ".join(f"v{rng.randrange(99)}" for _ in range(rng.randint(1, 900))) for k in range(3, 120)}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()
+    filled = collections.Counter()
+    for r in rows:
+        ids = [*t.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1]
+        assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+        filled[r["sequence_id"]] += r["length"]
+    assert sum(n < packing.WINDOW for n in filled.values()) <= 1 and sorted(filled) == list(range(min(filled), min(filled) + len(filled)))
+
+
+def test_sentencepiece_digest(odd):
+    c = pieces.codec(pieces.default_model())
+    for r in pieces.digest(odd).collect():
+        text = next(t for i, t, _ in ODD if i == r["doc_id"]) or ""
+        ids = c.reference.encode(text)
+        assert (r["n_tokens"], r["ids_crc32"], r["decoded_crc32"], r["parity"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), zlib.crc32(text.encode()), True)
+        assert c.decode([ids]) == [c.reference.decode(ids)] == [text]
+
+
+def test_written_shards(spark, odd, tmp_path):
+    sharding.write_shards(odd, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in back.collect()) == sorted((i or 0, t or "") for i, t, _ in ODD)
+    assert max(back.groupBy("shard").count().toPandas()["count"]) - min(back.groupBy("shard").count().toPandas()["count"]) <= 1
+    assert sharding.bucket_size(spark) >= sharding.LEAST_BYTES
+
+
+def test_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c\na b c", 5, 6)], "doc_id long, text string, gone long, of_id long")
+    assert [tuple(r) for r in lines.dedup(df).collect()] == [(1, "a b c", 5, 6)]
+
+
 def test_packing_level_is_the_best(spark):
     rng = random.Random(1)
     p = packing.Packer(64)
@@ -417,9 +455,31 @@ def test_searches(spark):
         got[r["query_id"]].append((r["vec_id"], float(r["score"])))
     assert got == brute_top(whole, 20)
     none = e.limit(0)
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0])], "id long, v array<double>")
+    out = ann.ann_search(twice.filter("id = 20"), twice).orderBy("score").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in out] == [(20, 1, 1.0), (20, 1, 1.0), (20, 1, 2.0), (20, 1, 2.0)]
     assert topk.taat_search(none, none).count() == 0 and ann.ann_search(none, none).count() == 0
 
 
+def test_ann_recall(spark):
+    """4,000 different vectors and short lists of 5 %: the quantiser decides, and a common vector doesn't fill the lists."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 32)).astype(np.float32).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[500:900] = x[40]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.ann_search(df.filter("id % 200 = 0"), df, short=200).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+        assert abs(r["score"] - float(x[r["query_id"]] @ x[r["vec_id"]])) < 1e-12
+    hit = 0
+    for q in range(0, 4000, 200):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(set(got[q]) & set(np.lexsort((np.arange(4000), -s))[:20].tolist()))
+    assert sorted(got) == list(range(0, 4000, 200)) and hit / 400 > 0.9
+
+
 def test_licences(odd, empty):
     text = "Head.\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. More. Released under the MIT License."
     df = odd.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
