@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import docs_of, free, mix64, scratch, stored
+from .common import docs_of, free, mix64, scratch, stored, trim
 
 THRESHOLD, CELLS = 0.8, 1 << 21
 #: Steps of an octave in ranks of rarity, which is also the rank of a token that the corpus holds once.
@@ -132,6 +132,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
     """The rank of the tokens of each cell: STEPS times the binary logarithm of their occurrences in all texts plus one."""
 
     def count(batches):
+        trim()
         powers, n = Powers(), np.zeros(CELLS, np.int64)
         for b in batches:
             for _, texts in together(b.column(0).to_pylist()):
@@ -187,6 +188,7 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), prefix], ["doc_id", "line", "set", "n", "skip", "least", "p0", "p1", "prefix"])
 
     def run(batches):
+        trim()
         powers = Powers()
         for b in batches:
             every = b.column(0).to_numpy()

@@ -35,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import docs_of, mix64, stored
+from .common import docs_of, mix64, stored, trim
 from .components import components
 
 WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 8, 0.9999
 #: Sizes of sets from which the least similarity is taken to be the threshold.
 SIZES = 64
 BLOCK = 192
+#: Words whose hashes a task keeps.
+KNOWN = 200_000
 #: Rows of pairs of blocks in a task.
 ROWS = 4 * BLOCK
 FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -77,7 +79,7 @@ class Shingler:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1_000_000:
+        if len(known) > KNOWN:
             known.clear()
         for w in words:
             if w not in known:
@@ -116,6 +118,7 @@ def sketched(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     fields = "doc_id long, hi long, lo long, floor int, signatures array<long>, shingles binary"
 
     def run(batches):
+        trim()
         shingle, floors = Shingler(), {}
         for b in batches:
             rows = []

@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import crc, docs_of
+from .common import crc, docs_of, trim
 
 WINDOW, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict = {}
-CACHE_WORDS, ATOMS = 1_000_000, 200_000
+CACHE_WORDS, ATOMS = 700_000, 150_000
 #: Characters that are encoded together, a text at least.
 AT_ONCE = 1 << 20
 
@@ -196,6 +196,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     def run(batches):
         from pyspark import TaskContext
 
+        trim()
         first, n = TaskContext.get().partitionId() << 33, 0
         cache, packer = word_cache(path), Packer(window)
         # Of each document with tokens in open windows: its id, the place of the first id held, the ids held, all tokens, tokens not given out.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import docs_of
+from .common import docs_of, trim
 
 #: The first four have base patterns.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -416,6 +416,7 @@ def with_spans(docs: DataFrame, fields: list[T.StructField], row, only: list[str
     cols = [docs.columns.index(c) for c in kept]
 
     def apply(batches):
+        trim()
         reader = Reader(pickle.loads(weights))
         for b in batches:
             texts = b.column(at).to_pylist()

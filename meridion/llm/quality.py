@@ -1,15 +1,23 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote bad (1), good (0) or abstain (-1) on six
-defects: symbols, pipes, shouting, repetition, and toxic language by a word list
-and by word stems that a bounded sample of labelled documents (LABELLED rows)
-shows to be toxic. The votes of
-all documents are counted by pattern, and expectation-maximisation (the naive
-Bayes model of labeller accuracies) estimates each labeller's accuracy and each
-defect's share of the documents from these counts. The posterior labels of a bounded sample (SAMPLE documents, those with
-the smallest hash of doc_id) train two hashed linear scorers, of junk (any of the
-first four) and of toxic language, which score every whole document. A document
-is kept if it scores under 0.5 on both.
+Overlapping heuristic labellers, each on a measure of its own, vote bad (1),
+good (0) or abstain (-1) on five defects: symbols, pipes, shouting, repetition
+and toxic language. Toxic language is labelled by a word list and by two sets
+of word stems, each mined from a half of a bounded sample of labelled documents
+(LABELLED rows). The votes of all documents are counted by pattern, and
+expectation-maximisation (the naive Bayes model of labeller accuracies)
+estimates each labeller's accuracy and each defect's share of the documents
+from these counts.
+
+The posterior labels of a bounded sample train two hashed linear scorers, of
+junk (any of the first four) and of toxic language. Half of the sample (SAMPLE
+rows in all) are the documents with the smallest hash of doc_id; the other half
+are those with the smallest hash among documents that the posterior calls bad,
+so that rare defects are seen, a half for each scorer. A scorer's bias is the
+log odds of its defect's share of all documents. Its features are the words,
+their beginnings, the shapes of tokens with their shares, and how many words
+and pairs of words differ; no labeller's threshold is among them. Every whole
+document is scored, and kept if it scores under 0.5 on both.
 
 Cases: null or empty text counts as empty, on which labellers abstain, and is
 kept; null doc_id is scored as any other; repeated rows and ties score alike;
@@ -20,20 +28,22 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from math import exp
+from math import exp, log2
 from operator import eq
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import docs_of
 
 SAMPLE, BITS, ROUNDS = 6000, 18, 12
-LABELLED, PRECISION = 4000, 0.75
+LABELLED, PRECISION = 8000, 0.8
+#: Rows that have a feature, and its z-score, from which a scorer uses it.
+LEAST, SIGNIFICANT = 5, 6.0
 
 # Words of abuse.
 ABUSE = frozenset(
@@ -41,52 +51,79 @@ ABUSE = frozenset(
     "disgusting clown vermin filth filthy bastard bastards bitch whore slut asshole motherfucker fuck fucking fucker "
     "bullshit degenerate parasite parasites subhuman scumbag dimwit dipshit jackass douchebag nitwit".split(" ")
 )
-INSULTS = set("stupid moron idiot loser scum clown imbecile".split(" "))
 AROUND = ".,;:!?#$%&*|\"'()"
-STEMS = (6, 8, 9)
+STEMS = (4, 5, 6, 8)
 RUN = re.compile(r"([#$%&*^~=_<>-])\1{2}")
 # The latent classes, each with the labellers that overlap on it.
 TASKS = {
-    "symbols": ("odd_characters", "runs_of_marks", "unlettered"),
-    "pipes": ("pipes", "lone_pipes", "loose_pipes"),
+    "symbols": ("odd_characters", "runs_of_marks", "marked_tokens"),
+    "pipes": ("pipes", "bare_tokens", "unlettered"),
     "shouting": ("capital_words", "bangs", "capital_letters"),
-    "repetition": ("top_word", "few_words", "same_again"),
-    "toxic": ("abuse", "abuse_again", "insult"),
-    "toxic_stems": ("mined", "mined_again"),
+    "repetition": ("few_pairs", "few_words", "same_again"),
+    "toxic": ("abuse", "mined_one", "mined_two"),
 }
-SCORERS = {"junk": ("symbols", "pipes", "shouting", "repetition"), "toxic": ("toxic", "toxic_stems")}
+SCORERS = {"junk": ("symbols", "pipes", "shouting", "repetition"), "toxic": ("toxic",)}
+MARKS = "#$%&*^~<>{}[]\\"
+NO_STEMS: tuple[frozenset, frozenset] = (frozenset(), frozenset())
 
 
-def measures(text: str, mined: frozenset = frozenset()) -> tuple[dict[str, float], set[str]]:
-    """(measures, the distinct words in lower case without marks around them)"""
+class Shapes(dict):
+    """Tokens to their shapes: x, X and 9 for letters and digits, one for each run of them or of a mark."""
+
+    CHARS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "X" * 26 + "x" * 26 + "9" * 10)
+    RUN = re.compile(r"(.)\1+")
+
+    def __missing__(self, token: str) -> str:
+        shape = token.translate(self.CHARS)
+        if not shape.isascii():
+            shape = "".join("x" if c.islower() else "X" if c.isupper() else c for c in shape)
+        if len(self) > 50_000:
+            self.clear()
+        self[token] = out = self.RUN.sub(r"\1", shape)[:12]
+        return out
+
+
+SHAPES = Shapes()
+
+
+def measures(text: str, mined: tuple = NO_STEMS) -> tuple[dict[str, float], set[str]]:
+    """(measures, the features: words in lower case without marks around them, beginnings of words, shapes and ratios)"""
     n = max(1, len(text))
     tokens = text.split()
     k = max(1, len(tokens))
     counts = Counter(tokens)
     words = {t.strip(AROUND) for t in {t.lower() for t in counts}}
-    kinds = words & ABUSE
-    found = sum(w[:c] in mined for w in words for c in STEMS if len(w) >= c) if mined else 0
+    stems = {w[:c] for w in words for c in STEMS if len(w) >= c}
     letters = max(1, sum(map(len, tokens)))
-    odd = sum(map(text.count, "#$%&*^~<>{}[]\\"))
-    other = {c: text.count(c) for c in "|!"}
-    shouted = [t for t in counts if t.isupper() and len(t) > 1]
+    odd = sum(map(text.count, MARKS))
+    pipes, bangs = text.count("|"), text.count("!")
+    shapes: Counter = Counter()
+    for t, c in counts.items():
+        shapes[SHAPES[t]] += c
+    bare = sum(c for s, c in shapes.items() if not ("x" in s or "X" in s or "9" in s))
+    marked = sum(c for s, c in shapes.items() if s[-1] in MARKS and len(s) > 1)
+    pairs = len(set(zip(tokens, tokens[1:], strict=False))) / max(1, len(tokens) - 1)
+    distinct = len(counts) / k
+    features = words | {f"\0{s}" for s in stems} | {f"\1{s}{min(7, int(-log2(c / k)))}" for s, c in shapes.items()}
+    features |= {f"\2{int(distinct * 20)}", f"\3{int(pairs * 20)}"} if tokens else set()
     return {
         "tokens": len(tokens),
         "odd": odd / n,
         "runs": len(RUN.findall(text)) / k,
-        "unlettered": (odd + sum(other.values()) + sum(map(text.count, ";:/=+@_"))) / letters,
-        "pipes": other["|"] / k,
-        "lone": counts["|"] / k,
-        "upper": sum(map(counts.__getitem__, shouted)) / k,
-        "bang": other["!"] / k,
-        "capital": len(shouted) / max(1, len(counts)),
-        "distinct": len(counts) / k,
-        "top": max(counts.values(), default=0) / k,
+        "marked": marked / k,
+        "pipes": pipes / n,
+        "bare": bare / k,
+        "unlettered": (odd + pipes + bangs + sum(map(text.count, ";:/=+@_"))) / letters,
+        "upper": sum(c for t, c in counts.items() if len(t) > 1 and t.isupper()) / k,
+        "bang": bangs / k,
+        "capital": sum(map(str.isupper, text)) / n,
+        "distinct": distinct,
+        "pairs": pairs,
         "same": sum(map(eq, tokens, tokens[1:])) / k,
-        "hits": len(kinds),
-        "insult": len(kinds & INSULTS),
-        "mined": found,
-    }, words
+        "hits": len(words & ABUSE),
+        "one": len(stems & mined[0]) if mined[0] else -1,
+        "two": len(stems & mined[1]) if mined[1] else -1,
+    }, features
 
 
 def votes(m: dict[str, float]) -> tuple[int, ...]:
@@ -96,48 +133,39 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
     big = m["tokens"] >= 8
 
     def by(k: str, bad: float, good: float, known: bool = True) -> int:
-        return -1 if not known else 1 if m[k] > bad else 0 if m[k] < good else -1
+        return -1 if not known or m[k] < 0 else 1 if m[k] > bad else 0 if m[k] < good else -1
 
     return (
-        by("odd", 0.02, 0.008), by("runs", 0.15, 0.03), by("unlettered", 0.06, 0.02),
-        by("pipes", 0.15, 0.03), by("lone", 0.12, 0.03), by("pipes", 0.08, 0.02),
-        by("upper", 0.3, 0.1, big), by("bang", 0.25, 0.05, big), by("capital", 0.35, 0.15, big),
-        by("top", 0.25, 0.18, big), 1 if m["tokens"] > 30 and m["distinct"] < 0.12 and m["top"] > 0.1 else 0 if m["distinct"] > 0.25 else -1, by("same", 0.15, 0.05, big),
-        by("hits", 0, 1), 1 if m["hits"] > 1 else 0 if not m["hits"] else -1, by("insult", 0, 1) if m["hits"] != 1 else -1,
-        by("mined", 0, 1), 1 if m["mined"] > 1 else 0 if not m["mined"] else -1,
+        by("odd", 0.02, 0.008), by("runs", 0.15, 0.03), by("marked", 0.2, 0.05),
+        by("pipes", 0.03, 0.006), by("bare", 0.15, 0.03), by("unlettered", 0.06, 0.02),
+        by("upper", 0.3, 0.1, big), by("bang", 0.25, 0.05, big), by("capital", 0.3, 0.15, big),
+        -1 if not big else 1 if m["pairs"] < 0.25 else 0 if m["pairs"] > 0.5 else -1,
+        1 if m["tokens"] > 30 and m["distinct"] < 0.12 else 0 if m["distinct"] > 0.25 else -1, by("same", 0.15, 0.05, big),
+        by("hits", 0, 1), by("one", 0, 1), by("two", 0, 1),
     )
 
 
-def buckets(m: dict[str, float]) -> list[str]:
-    """Measures as features, in steps."""
-    step = lambda k, *edges: f"\0{k}{sum(m[k] > e for e in edges)}"
-    return [
-        step("odd", 0.008, 0.02, 0.05), step("pipes", 0.03, 0.08, 0.15), step("upper", 0.1, 0.3, 0.6), step("bang", 0.05, 0.25, 0.6), step("runs", 0.03, 0.15),
-        step("capital", 0.15, 0.35), step("top", 0.18, 0.25, 0.4), step("same", 0.05, 0.15), step("tokens", 7), step("hits", 0, 1), step("mined", 0, 1),
-    ]
-
-
-def features(text: str, bits: int = BITS, mined: frozenset = frozenset()) -> tuple[tuple[int, ...], np.ndarray]:
+def features(text: str, bits: int = BITS, mined: tuple = NO_STEMS) -> tuple[tuple[int, ...], np.ndarray]:
     """(votes, the distinct hashed features) of a whole text."""
     m, words = measures(text, mined)
-    words.update(buckets(m))
     mask = (1 << bits) - 1
     return votes(m), np.unique(np.array([crc32(w.encode()) & mask for w in words], np.int32))
 
 
-def mine(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> frozenset:
-    """Word stems that mark toxic documents among `sample` labelled ones (those with the smallest hash of doc_id)."""
-    some = labels.filter("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample)
+def mine(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> tuple[frozenset, frozenset]:
+    """Word stems that mark toxic documents, from each half of `sample` labelled ones (those with the smallest hash of doc_id)."""
+    some = labels.filter("toxic is not null").select("doc_id", "toxic").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id").limit(sample).withColumn("half", F.pmod(F.xxhash64(F.lit(14), "doc_id"), F.lit(2)).cast("int"))
 
     def stems(batches):
         for b in batches:
-            got = [sorted({w[:c] for w in measures(t or "")[1] for c in STEMS if len(w) >= c}) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.string()))], ["toxic", "stems"])
+            got = [sorted({w.strip(AROUND)[:c] for w in set((t or "").lower().split()) for c in STEMS if len(w.strip(AROUND)) >= c}) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.string()))], ["half", "toxic", "stems"])
 
     # `sample` rows at most are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("toxic").cast("int"), "text").mapInArrow(stems, "toxic int, stems array<string>")
-    stem = rows.select("toxic", F.explode("stems").alias("stem")).groupBy("stem").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    return frozenset(r["stem"] for r in stem.filter((F.col("bad") >= 4) & (F.col("bad") >= PRECISION * F.col("n"))).orderBy(F.desc("bad"), "stem").limit(5000).collect())
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("half", F.col("toxic").cast("int"), "text").mapInArrow(stems, "half int, toxic int, stems array<string>")
+    stem = rows.select("half", "toxic", F.explode("stems").alias("stem")).groupBy("half", "stem").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    found = stem.filter((F.col("bad") >= 4) & (F.col("bad") >= PRECISION * F.col("n"))).orderBy(F.desc("bad"), "stem").limit(10_000).collect()
+    return tuple(frozenset(r["stem"] for r in found if r["half"] == k) for k in (0, 1))
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, np.ndarray]:
@@ -146,9 +174,14 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
         return 0.1, np.zeros((0, 2, 3))
     v, n = np.array([p for p, _ in patterns]), np.array([c for _, c in patterns], float)
     share = 0.1
-    table = np.full((v.shape[1], 2, 3), 0.0)
-    table[:, 0], table[:, 1] = (0.2, 0.75, 0.05), (0.35, 0.05, 0.6)
+    # To begin with, both classes abstain alike.
+    table, silent = np.zeros((v.shape[1], 2, 3)), ((v == -1) * n[:, None]).sum(0) / n.sum()
+    for c, at_bad in ((0, 0.02), (1, 0.9)):
+        table[:, c] = np.stack([silent, (1 - silent) * (1 - at_bad), (1 - silent) * at_bad], axis=1) + 1e-3
     each = np.arange(v.shape[1])
+    table[(v == -1).all(axis=0)] = 1 / 3  # a labeller that never votes says nothing
+    if (silent < 1).sum() < 2:  # one labeller alone can't be estimated: it is taken at its word
+        return float(np.clip((n * (v == 1).any(axis=1)).sum() / n.sum(), 0.001, 0.6)), table
     for _ in range(rounds):
         post = posterior(v, share, table)
         share = float(np.clip((n * post).sum() / n.sum(), 0.001, 0.6))
@@ -157,6 +190,7 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
                 table[:, c, vote + 1] = ((v == vote) * w[:, None]).sum(0) + 0.5
         # A labeller is taken to be better than chance where it votes.
         table /= table.sum(2, keepdims=True)
+        table[(v == -1).all(axis=0)] = 1 / 3
         low = table[each, 1, 2] < table[each, 0, 2]
         table[low, 1, 2] = table[low, 0, 2]
     return share, table
@@ -168,8 +202,9 @@ def posterior(v: np.ndarray, share: float, table: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, bits: int = BITS, rounds: int = ROUNDS, l1: float = 1e-4, least: int = 5, significant: float = 6.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by AdaGrad with truncation, on features that `least` rows have and whose z-score is `significant`."""
+def train(rows: list[np.ndarray], target: np.ndarray, share: float | None = None, bits: int = BITS, rounds: int = ROUNDS, l1: float = 1e-4, least: int | None = None, significant: float | None = None) -> tuple[np.ndarray, float]:
+    """Logistic regression by AdaGrad with truncation, on features that `least` rows have and whose z-score is `significant`; share is the bad rows' share where the rows come from."""
+    least, significant = least or LEAST, significant or SIGNIFICANT
     w, b = np.zeros(1 << bits), 0.0
     if not rows or target.min() > 0.5 or target.max() < 0.5:
         return w, -3.0 if not rows or target.max() < 0.5 else 3.0
@@ -182,7 +217,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, bits: int = BITS, rounds:
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
     used = (c1 + c0 >= least) & (np.abs(z) > significant)
     rows = [r[used[r]] for r in rows]
-    share = np.clip(target.mean(), 1e-3, 1 - 1e-3)
+    share = np.clip(target.mean() if share is None else share, 1e-4, 1 - 1e-3)
     b = float(np.log(share / (1 - share)))  # stays, so that a text without evidence scores as the share does
     grad = np.full(1 << bits, 1e-3)
     order = np.random.default_rng(7)
@@ -199,7 +234,7 @@ def train(rows: list[np.ndarray], target: np.ndarray, bits: int = BITS, rounds:
 
 def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE, bits: int = BITS) -> dict:
     """The models of both tasks: EM on the votes of all documents, scorers on the sample."""
-    mined = mine(docs, labels) if labels is not None else frozenset()
+    mined = mine(docs, labels) if labels is not None else NO_STEMS
     names = [n for t in TASKS.values() for n in t]
 
     def count(batches):
@@ -213,32 +248,55 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     # At most 3 to the power of the number of labellers patterns.
     counted = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
     patterns = sorted((tuple(map(int, r["pattern"].split(","))), r["n"]) for r in counted)
-    # The smallest `sample` hashes of doc_id, then the texts under that hash.
+    models, at = {}, 0
+    for task, own_names in TASKS.items():
+        own: Counter = Counter()
+        for p, n in patterns:
+            own[p[at : at + len(own_names)]] += n
+        models[task] = (at, *estimate(sorted(own.items())))
+        at += len(own_names)
+
+    def bad(v: np.ndarray) -> dict[str, np.ndarray]:
+        """Each scorer's posterior for rows of votes."""
+        posts = {t: posterior(v[:, i : i + len(TASKS[t])], share, table) for t, (i, share, table) in models.items()}
+        return {s: 1 - np.prod([1 - posts[t] for t in tasks], axis=0) for s, tasks in SCORERS.items()}
+
+    every = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), len(names))
+    weight = np.array([n for _, n in patterns], float)
+    shares = {s: float((weight * x).sum() / max(1.0, weight.sum())) for s, x in bad(every).items()}
+    # Patterns that a scorer's posterior calls bad, by scorer.
+    marked = {s: {patterns[i][0] for i in np.flatnonzero(x > 0.5)} for s, x in bad(every).items()}
     h = F.xxhash64(F.lit(11), "doc_id")
-    top = docs.select(h.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    top = docs.select(h.alias("h")).orderBy("h").limit(sample // 2).agg(F.max("h")).first()[0]
 
     def collect(batches):
         for b in batches:
-            got = [features(t or "", bits, mined) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(v) for v, _ in got], pa.list_(pa.int32())), pa.array([f for _, f in got], pa.list_(pa.int32()))], ["h", "votes", "features"])
-
-    rows = docs.select(h.alias("h"), "text").filter(F.col("h") <= F.lit(top)).mapInArrow(collect, "h long, votes array<int>, features array<int>").orderBy("h").limit(sample).collect() if top is not None else []
-    v = np.array([r["votes"] for r in rows]).reshape(len(rows), len(names))
-    f = [np.array(r["features"], np.int32) for r in rows]
-    posts, labellers, at = {}, {}, 0
-    for task, names in TASKS.items():
-        own: Counter = Counter()
-        for p, n in patterns:
-            own[p[at : at + len(names)]] += n
-        share, table = estimate(sorted(own.items()))
-        posts[task] = posterior(v[:, at : at + len(names)], share, table) if len(rows) else np.zeros(0)
-        labellers[task] = {"share": share, "accuracy": dict(zip(names, table.tolist(), strict=False))}
-        at += len(names)
+            kept = []
+            for at, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                m, words = measures(t or "", mined)
+                v = votes(m)
+                kinds = [at <= top, *(v in marked[s] for s in SCORERS)]
+                if any(kinds):
+                    mask = (1 << bits) - 1
+                    kept += [(k, at, list(v), sorted({crc32(w.encode()) & mask for w in words})) for k, x in enumerate(kinds) if x]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True) if kept else [()] * 4, (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["kind", "h", "votes", "features"])
+
+    rows = []
+    if top is not None:
+        found = docs.select(h.alias("h"), "text").mapInArrow(collect, "kind int, h long, votes array<int>, features array<int>")
+        nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "votes"))
+        limit = F.when(F.col("kind") == 0, F.lit(sample // 2)).otherwise(F.lit(sample // 4))
+        rows = found.withColumn("nth", nth).filter(F.col("nth") <= sample // 2).filter(F.col("nth") <= limit).collect()  # 1.5 * `sample` rows at most
+    v = np.array([r["votes"] for r in rows], np.int64).reshape(len(rows), len(names))
+    f, kind = [np.array(r["features"], np.int32) for r in rows], np.array([r["kind"] for r in rows])
     out: dict = {"mined": mined}
-    for scorer, tasks in SCORERS.items():
-        w, b = train(f, 1 - np.prod([1 - posts[t] for t in tasks], axis=0), bits)
+    posts = bad(v) if len(rows) else {s: np.zeros(0) for s in SCORERS}
+    for j, (scorer, tasks) in enumerate(SCORERS.items()):
+        mine_ = np.flatnonzero((kind == 0) | (kind == j + 1)) if len(rows) else []
+        w, b = train([f[i] for i in mine_], posts[scorer][mine_] if len(rows) else np.zeros(0), shares[scorer], bits)
         used = np.flatnonzero(w)
-        out[scorer] = {"at": used.astype(np.int32), "weight": w[used], "bias": b, "labellers": {t: labellers[t] for t in tasks}}
+        labellers = {t: {"share": models[t][1], "accuracy": dict(zip(TASKS[t], models[t][2].tolist(), strict=False))} for t in tasks}
+        out[scorer] = {"at": used.astype(np.int32), "weight": w[used], "bias": b, "labellers": labellers}
     return out
 
 
@@ -259,8 +317,7 @@ def score(docs: DataFrame, model: dict, bits: int = BITS, threshold: float = 0.5
             for i, text in enumerate(b.column(at).to_pylist()):
                 if not text:
                     continue
-                m, words = measures(text, mined)
-                words.update(buckets(m))
+                words = measures(text, mined)[1]
                 hashed = {crc32(w.encode()) & mask for w in words}
                 for t, w in weights.items():
                     total = sum(map(w.__getitem__, hashed & w.keys())) + small[t][2]

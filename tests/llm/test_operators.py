@@ -415,6 +415,26 @@ def test_quality(spark, docs, odd, empty):
     assert quality.classify(empty).count() == 0
 
 
+def test_rare_toxic_documents(spark):
+    """Eight toxic documents among 10,000: all go, clean ones stay."""
+    rng = random.Random(5)
+    some = [f"{a}{b}" for a in ("ro", "ta", "mi", "lu", "sen", "gar") for b in ("den", "vel", "ka", "st", "nor", "li", "pe")]
+    rows = [(i, " ".join(rng.choice(some) for _ in range(40)) + (" you stupid idiot and worthless scum" if i % 1250 == 7 else "")) for i in range(10_000)]
+    kept = {r["doc_id"] for r in quality.classify(spark.createDataFrame(rows, "doc_id long, text string")).filter("keep").collect()}
+    assert not any(i % 1250 == 7 for i in kept) and len(kept) > 9_950
+
+
+def test_quality_on_held_out_labels(spark):
+    """Fitted with three quarters of the labels: toxic and junk documents of the rest go, clean ones stay."""
+    folder = "/root/testdata/sf0.1"
+    every = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").repartition(8)
+    model = quality.fit(docs, every.filter("doc_id % 4 < 3"))
+    got = quality.score(docs, model).join(every.filter("doc_id % 4 = 3"), "doc_id").selectExpr("quality", "toxic", "double(keep) as kept")
+    share = {(r["quality"], r["toxic"]): r["avg(kept)"] for r in got.groupBy("quality", "toxic").avg("kept").collect()}
+    assert share[1, 0] > 0.94 and share[1, 1] < 0.06 and share[0, 0] < 0.06 and share[0, 1] < 0.06
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.2
