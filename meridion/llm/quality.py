@@ -181,10 +181,12 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> t
     each = np.arange(v.shape[1])
     table[(v == -1).all(axis=0)] = 1 / 3  # a labeller that never votes says nothing
     if (silent < 1).sum() < 2:  # one labeller alone can't be estimated: it is taken at its word
-        return float(np.clip((n * (v == 1).any(axis=1)).sum() / n.sum(), 0.001, 0.6)), table
+        share = float(np.clip((n * (v == 1).any(axis=1)).sum() / n.sum(), 1e-5, 0.6))
+        table[:, 0, 2] = np.minimum(table[:, 0, 2], share / 20)
+        return share, table
     for _ in range(rounds):
         post = posterior(v, share, table)
-        share = float(np.clip((n * post).sum() / n.sum(), 0.001, 0.6))
+        share = float(np.clip((n * post).sum() / n.sum(), 1e-5, 0.6))
         for c, w in ((0, n * (1 - post)), (1, n * post)):
             for vote in (-1, 0, 1):
                 table[:, c, vote + 1] = ((v == vote) * w[:, None]).sum(0) + 0.5
