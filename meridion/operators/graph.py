@@ -6,7 +6,10 @@ checked against MAX_LINKS, and deals the origins out to tasks.
 
 from __future__ import annotations
 
+import atexit
 import heapq
+import shutil
+import tempfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,9 +84,18 @@ def reachable_pairs(links: DataFrame, origins: DataFrame, hops: int) -> DataFram
     return every.groupBy("origin", "node").agg(F.min("hops").alias("hops"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once: in the checkpoint folder that all executors share, or by the executors where none is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once and written to the checkpoint folder, which all executors share; only a local master may do without one being set."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+            path = tempfile.mkdtemp(prefix="meridion-")
+            atexit.register(shutil.rmtree, path, True)
+        sc.setCheckpointDir(path)
+    return df.checkpoint()
 
 
 def labels(links: DataFrame) -> DataFrame:
@@ -92,7 +104,7 @@ def labels(links: DataFrame) -> DataFrame:
     A round gives each node, and the node that it points to, the least label of its neighbours; then each label
     becomes the label of the node that it names."""
     e = links.select("a", "b").union(links.select("b", "a")).distinct()
-    e = _kept(e)
+    e = kept(e)
     now = e.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node"))
     changed = True
     while changed:
@@ -100,7 +112,7 @@ def labels(links: DataFrame) -> DataFrame:
         told = seen.select(F.explode(F.array("a", "component")).alias("node"), F.col("m").alias("component"), F.lit(None).cast(now.schema["component"].dataType).alias("old"))
         least = now.withColumn("old", F.col("component")).unionByName(told).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         jump = least.select(F.col("node").alias("component"), F.col("component").alias("to"))
-        got = _kept(least.join(jump, "component", "left").select("node", F.coalesce("to", "component").alias("component"), "old"))
+        got = kept(least.join(jump, "component", "left").select("node", F.coalesce("to", "component").alias("component"), "old"))
         changed = not got.filter("component < old").isEmpty()
         now = got.select("node", "component")
     return now

@@ -44,7 +44,56 @@ def rounded(los: DataFrame, keys: list[str], decimals: int, tie: list[str]) -> D
     return out.withColumn("probability", F.col("__c") + F.when(F.col("__first"), F.col("__left")).otherwise(0.0)).drop("__c", "__left", "__first")
 
 
-def symmetric(los: DataFrame, part: str) -> DataFrame:
-    """Probability of each OD and alternative, averaged with that of the opposite OD."""
-    back = los.select(F.col("origin").alias("destination"), F.col("destination").alias("origin"), part, F.col("probability").alias("__b"))
-    return los.join(back, ["origin", "destination", part], "left").withColumn("probability", (F.col("probability") + F.coalesce("__b", "probability")) / 2).drop("__b")
+def symmetric(los: DataFrame, part: str, utility: str = "utility") -> DataFrame:
+    """Utility of each OD and alternative, averaged with that of the opposite OD (as it is where there is none)."""
+    back = los.select(F.col("origin").alias("destination"), F.col("destination").alias("origin"), part, F.col(utility).alias("__b"))
+    return los.join(back, ["origin", "destination", part], "left").withColumn(utility, (F.col(utility) + F.coalesce("__b", utility)) / 2).drop("__b")
+
+
+def logsum(los: DataFrame, keys: list[str], phi: float = 1.0, utility: str = "utility") -> DataFrame:
+    """phi times the logarithm of the sum of exp(utility / phi) of each key; phi 0 counts as 1."""
+    phi = phi or 1.0
+    best = los.withColumn("__m", F.max(utility).over(Window.partitionBy(*keys)))
+    return best.groupBy(*keys).agg((F.max("__m") + phi * F.log(F.sum(F.exp((F.col(utility) - F.col("__m")) / phi)))).alias("logsum"))
+
+
+def incremental_logsum(los: DataFrame, keys: list[str], share: str, change: str) -> DataFrame:
+    """The change of a nest's utility: the logarithm of the mean of exp(change), weighted by the shares."""
+    return los.groupBy(*keys).agg(F.log(F.sum(F.exp(change) * F.col(share)) / F.sum(share)).alias("change"))
+
+
+def tree(los: DataFrame, keys: list[str], nests: dict[str, str], phi: dict[str, float], mode: str = "route_type", utility: str = "utility") -> DataFrame:
+    """Nested logit over a tree: nests maps each mode or nest to its parent; phi of a nest or mode, or else its parent's, or 1 at the root.
+
+    Paths of a mode compete at the mode's phi, modes and nests within their parent at the parent's. The tree is small and
+    known on the driver; each of its levels is one window pass. Gives `probability` of each row."""
+
+    def scale(name):
+        while name is not None:
+            if name in phi:
+                return phi[name] or 1.0
+            name = nests.get(name)
+        return 1.0
+
+    def depth(name):
+        return 0 if name not in nests else 1 + depth(nests[name])
+
+    every = {*nests, *nests.values()}
+    of = lambda f, c: F.element_at(F.create_map(*[x for n in sorted(every) for x in (F.lit(n), F.lit(f(n)))]), c)
+    w = Window.partitionBy(*keys, mode)
+    s = of(scale, F.col(mode))
+    out = los.withColumn("__s", s).withColumn("__m", F.max(utility).over(w)).withColumn("__e", F.exp((F.col(utility) - F.col("__m")) / F.col("__s")))
+    out = out.withColumn("probability", F.col("__e") / F.sum("__e").over(w)).withColumn("__node", F.col(mode)).withColumn("__u", F.col("__m") + F.col("__s") * F.log(F.sum("__e").over(w))).drop("__s", "__m", "__e")
+    for level in range(max(map(depth, every)), 0, -1):
+        # Nodes of this level compete within their parent; the rest wait. A node counts once, whatever its rows.
+        here = of(depth, F.col("__node")) == level
+        parent = F.when(here, of(lambda n: nests.get(n), F.col("__node"))).otherwise(F.col("__node"))
+        out = out.withColumns({"__parent": parent, "__here": here})
+        once = F.row_number().over(Window.partitionBy(*keys, "__node").orderBy(F.lit(1)))
+        w = Window.partitionBy(*keys, "__parent")
+        out = out.withColumn("__once", F.when(once == 1, 1.0)).withColumn("__s", of(scale, F.col("__parent"))).withColumn("__m", F.max("__u").over(w))
+        e = F.exp((F.col("__u") - F.col("__m")) / F.col("__s"))
+        out = out.withColumn("__e", e).withColumn("__t", F.sum(F.col("__e") * F.col("__once")).over(w))
+        out = out.withColumn("probability", F.when(F.col("__here"), F.col("probability") * F.col("__e") / F.col("__t")).otherwise(F.col("probability")))
+        out = out.withColumn("__u", F.when(F.col("__here"), F.col("__m") + F.col("__s") * F.log("__t")).otherwise(F.col("__u"))).withColumn("__node", F.col("__parent")).drop("__parent", "__here", "__once", "__s", "__m", "__e", "__t")
+    return out.drop("__node", "__u")
