@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import demand, more, network, streams
+from .plans import demand, more, network, streams, wider
 
-QUERIES: dict = {**demand.Q, **network.Q, **more.Q, **streams.Q}
-ORACLES: dict[str, str] = {**demand.O, **network.O, **more.O, **streams.O}
+QUERIES: dict = {**demand.Q, **network.Q, **more.Q, **streams.Q, **wider.Q}
+ORACLES: dict[str, str] = {**demand.O, **network.O, **more.O, **streams.O, **wider.O}

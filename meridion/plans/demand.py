@@ -145,9 +145,38 @@ def _(spark, d):
     return L.nested(los(spark, d), OD, "nest", 0.5).select(*OD, "route_type", r4("probability", 5))
 
 
-@query("logit_symmetric", f"WITH {U}, {MNL} SELECT p.origin, p.destination, p.route_type, round((p.probability + coalesce(q.probability, p.probability)) / 2, 5) AS probability FROM p LEFT JOIN p q ON p.origin = q.destination AND p.destination = q.origin AND p.route_type = q.route_type")
+SYM = "y AS (SELECT u.origin, u.destination, u.route_type, u.nest, (u.utility + coalesce(q.utility, u.utility)) / 2 AS utility FROM u LEFT JOIN u q ON u.origin = q.destination AND u.destination = q.origin AND u.route_type = q.route_type)"
+
+
+@query("logit_symmetric", f"WITH {U}, {SYM}, {MNL.replace('FROM u', 'FROM y')} SELECT origin, destination, route_type, round(probability, 5) AS probability FROM p")
+def _(spark, d):
+    return L.softmax(L.symmetric(los(spark, d), "route_type"), OD).select(*OD, "route_type", r4("probability", 5))
+
+
+@query("logit_logsum", f"WITH {U} SELECT origin, destination, round(m + 0.5 * ln(sum(exp((utility - m) / 0.5))), 5) AS logsum FROM (SELECT *, max(utility) OVER (PARTITION BY origin, destination) AS m FROM u) GROUP BY origin, destination, m")
+def _(spark, d):
+    return L.logsum(los(spark, d), OD, 0.5).select(*OD, r4("logsum", 5))
+
+
+@query("logit_incremental_logsum", f"WITH {U}, {MNL} SELECT origin, destination, round(ln(sum(probability * exp(-0.1 * length(route_type))) / sum(probability)), 5) AS change FROM p GROUP BY ALL")
+def _(spark, d):
+    base = L.softmax(los(spark, d), OD, name="base").withColumn("d", F.length("route_type") * -0.1)
+    return L.incremental_logsum(base, OD, "base", "d").select(*OD, r4("change", 5))
+
+
+TREE = """t AS (SELECT *, CASE WHEN route_type < 'G' THEN 'a' WHEN route_type < 'M' THEN 'b' ELSE 'c' END AS mode FROM u),
+m AS (SELECT origin, destination, mode, max(utility) + 0.4 * ln(sum(exp((utility - x) / 0.4))) AS v FROM (SELECT *, max(utility) OVER (PARTITION BY origin, destination, mode) AS x FROM t) GROUP BY origin, destination, mode),
+n AS (SELECT *, CASE WHEN mode = 'c' THEN 'car' ELSE 'pt' END AS top FROM m),
+l AS (SELECT origin, destination, top, max(v) + 0.7 * ln(sum(exp((v - x) / 0.7))) AS v FROM (SELECT *, max(v) OVER (PARTITION BY origin, destination, top) AS x FROM n) GROUP BY origin, destination, top),
+r AS (SELECT l.*, exp(v - x) / sum(exp(v - x)) OVER (PARTITION BY origin, destination) AS p FROM (SELECT *, max(v) OVER (PARTITION BY origin, destination) AS x FROM l) l)"""
+
+
+@query("logit_tree", f"WITH {U}, {TREE} SELECT t.origin, t.destination, t.route_type, round(r.p * exp((n.v - l.v) / 0.7) * exp((t.utility - n.v) / 0.4), 5) AS probability FROM t JOIN n USING (origin, destination, mode) JOIN l USING (origin, destination, top) JOIN r USING (origin, destination, top)")
 def _(spark, d):
-    return L.symmetric(L.softmax(los(spark, d), OD), "route_type").select(*OD, "route_type", r4("probability", 5))
+    modes = los(spark, d).withColumn("mode", F.when(F.col("route_type") < "G", "a").when(F.col("route_type") < "M", "b").otherwise("c"))
+    nests = {"a": "pt", "b": "pt", "c": "car", "pt": "root", "car": "root"}
+    got = L.tree(modes, OD, nests, {"a": 0.4, "b": 0.4, "c": 0.4, "pt": 0.7, "car": 0.7, "root": 1.0}, "mode")
+    return got.select(*OD, "route_type", r4("probability", 5))
 
 
 @query("logit_incremental", f"WITH {U}, {MNL} SELECT origin, destination, route_type, round(probability * exp(-0.1 * length(route_type)) / sum(probability * exp(-0.1 * length(route_type))) OVER (PARTITION BY origin, destination), 5) AS probability FROM p")
@@ -185,7 +214,7 @@ def _(spark, d):
     return D.doubly_constrained(table(spark, d, "skims"), 0.4, 4).select(*OD, r4("volume", 3))
 
 
-@query("fratar", _balance("b0 AS (SELECT v.origin, v.destination, o.emission * 1.1 AS emission, t.attraction * 1.1 AS attraction, v.volume FROM {od_volumes} v JOIN {zones} o ON o.zone = v.origin JOIN {zones} t ON t.zone = v.destination WHERE (v.origin + v.destination) % 7 > 0)", 3))
+@query("fratar", _balance("b0 AS (SELECT v.origin, v.destination, o.emission * 1.1 AS emission, t.attraction * 1.1 AS attraction, v.volume FROM {od_volumes} v JOIN {zones} o ON o.zone = v.origin JOIN {zones} t ON t.zone = v.destination)", 3))
 def _(spark, d):
     z = table(spark, d, "zones").select("zone", (F.col("emission") * 1.1).alias("emission"), (F.col("attraction") * 1.1).alias("attraction"))
     return D.fratar(table(spark, d, "od_volumes"), z, 3).select(*OD, r4("volume", 3))

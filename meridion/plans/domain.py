@@ -30,6 +30,23 @@ DOMAIN = {
     "stop_times": """SELECT l_orderkey AS trip, CAST(l_partkey % 25 AS INT) AS stop, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS seq, l_quantity AS dwell FROM {lineitem}""",
     "links": """SELECT trip, seq AS link_sequence, a, b, minutes, route, headway FROM (
         SELECT trip, seq, stop AS a, lead(stop) OVER (PARTITION BY trip ORDER BY seq) AS b, dwell AS minutes, o_orderpriority AS route, CAST(300 + 60 * (trip % 7) AS DOUBLE) AS headway FROM {stop_times} JOIN {orders} ON trip = o_orderkey) t WHERE b IS NOT NULL""",
+    # Links in which every eleventh begins elsewhere, every 97th is there twice, and one-way spurs to places off the grid.
+    "shifted": "SELECT trip, link_sequence, CASE WHEN (trip + link_sequence) % 11 = 0 THEN a + 30 ELSE a END AS a, b, minutes, route, headway FROM {links}",
+    "damaged": """SELECT trip, link_sequence, a, b, minutes, route, headway FROM {shifted}
+        UNION ALL SELECT trip, link_sequence, a, b, minutes, route, headway FROM {links} WHERE (trip + link_sequence) % 97 = 0""",
+    "spurs": """SELECT a, b, time, length FROM {road_links} UNION ALL SELECT zone, zone + 200, 1.0D0, 500.0D0 FROM {zones} WHERE zone % 4 = 0
+        UNION ALL SELECT zone + 200, zone + 300, 2.0D0, 400.0D0 FROM {zones} WHERE zone % 8 = 0 UNION ALL SELECT zone + 500, zone + 501, 1.0D0, 100.0D0 FROM {zones} WHERE zone < 6""",
+    # Each trip as a path from zone to zone: its links, and for every other trip a walk and a ride on a link m of another line.
+    "ride_ends": "SELECT trip, CAST(max(link_sequence) AS INT) AS k, min_by(a, link_sequence) AS fa, max_by(b, link_sequence) AS lb, min(route) AS route FROM {links} GROUP BY trip",
+    "ride_steps": """SELECT trip, 0 AS place, 'z' || CAST(fa AS STRING) AS vertex, 'zone' AS kind FROM {ride_ends} UNION ALL SELECT trip, 1, 'n' || CAST(fa AS STRING), 'node' FROM {ride_ends}
+        UNION ALL SELECT trip, link_sequence + 1, 'l' || CAST(trip AS STRING) || '_' || CAST(link_sequence AS STRING), 'link' FROM {links}
+        UNION ALL SELECT trip, k + 2, 'n' || CAST(lb AS STRING), 'node' FROM {ride_ends}
+        UNION ALL SELECT trip, k + 3, 'n' || CAST(lb + 25 AS STRING), 'node' FROM {ride_ends} WHERE trip % 2 = 0 UNION ALL SELECT trip, k + 4, 'm' || CAST(trip AS STRING), 'link' FROM {ride_ends} WHERE trip % 2 = 0
+        UNION ALL SELECT trip, k + 5, 'n' || CAST(lb + 50 AS STRING), 'node' FROM {ride_ends} WHERE trip % 2 = 0
+        UNION ALL SELECT trip, CASE WHEN trip % 2 = 0 THEN k + 6 ELSE k + 3 END, 'z' || CAST(lb AS STRING), 'zone' FROM {ride_ends}""",
+    "ride_links": """SELECT 'l' || CAST(trip AS STRING) || '_' || CAST(link_sequence AS STRING) AS vertex, trip, route, minutes AS time, headway, a AS from_zone, b AS to_zone FROM {links}
+        UNION ALL SELECT 'm' || CAST(trip AS STRING), trip, 'M', 3.0D0, 120.0D0, lb, lb FROM {ride_ends} WHERE trip % 2 = 0""",
+    "timed": """SELECT trip, seq, stop, CAST(trip % 500 * 60 + seq * 100 AS DOUBLE) AS arrival, CAST(trip % 500 * 60 + seq * 100 + dwell AS DOUBLE) AS departure FROM {stop_times}""",
     "gps": "SELECT user_id, event_id, event_type, value, ts, CAST(floor(epoch_s) AS BIGINT) AS t FROM (SELECT *, {epoch} AS epoch_s FROM {events}) e",
 }
 

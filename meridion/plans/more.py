@@ -71,10 +71,13 @@ def _(spark, d):
     return C.two_way(table(spark, d, "road_links").filter("a < b").select("a", "b", "time", (F.col("length") / 500).alias("time_r")))
 
 
-LINES = "sv AS (SELECT l_suppkey % 20 AS line, CAST(l_linenumber * 600 + l_partkey % 5 * 60 AS BIGINT) AS low, CAST(l_linenumber * 600 + l_partkey % 5 * 60 + 900 AS BIGINT) AS high, CAST(300 + l_quantity AS DOUBLE) AS headway FROM {lineitem} WHERE l_orderkey % 50 = 0)"
+LINES = "sv AS (SELECT l_suppkey % 20 AS line, CAST(l_linenumber * 600 + l_partkey % 5 * 60 AS BIGINT) AS low, CAST(l_linenumber * 600 + l_partkey % 5 * 60 + 900 AS BIGINT) AS high, CAST(300 + l_quantity AS DOUBLE) AS headway FROM {lineitem})"
 
 
-@query("headway_piecewise", f"WITH {LINES}, e AS (SELECT line, low AS p FROM sv UNION SELECT line, high FROM sv), c AS (SELECT line, p AS low, lead(p) OVER (PARTITION BY line ORDER BY p) AS high FROM e) SELECT c.line, c.low, c.high, round(1 / sum(1 / sv.headway), 4) AS headway FROM c JOIN sv ON c.line = sv.line AND sv.low <= c.low AND sv.high >= c.high WHERE c.high IS NOT NULL GROUP BY ALL")
+EVENTS = "e AS (SELECT line, low AS p, 1 / headway AS f, 1 AS n FROM sv UNION ALL SELECT line, high, -1 / headway, -1 FROM sv), g AS (SELECT line, p, sum(f) AS f, sum(n) AS n FROM e GROUP BY line, p), c AS (SELECT line, p AS low, lead(p) OVER w AS high, sum(f) OVER w AS f, sum(n) OVER w AS n FROM g WINDOW w AS (PARTITION BY line ORDER BY p))"
+
+
+@query("headway_piecewise", f"WITH {LINES}, {EVENTS} SELECT line, low, high, round(1 / f, 4) AS headway FROM c WHERE high IS NOT NULL AND n > 0")
 def _(spark, d):
     li = table(spark, d, "lineitem")
     low = (F.col("l_linenumber") * 600 + F.col("l_partkey") % 5 * 60).cast("long")

@@ -51,7 +51,7 @@ def _(spark, d):
     return J.pareto(table(spark, d, "los"), ["origin", "destination"], "price", "time", ["route_type"]).select("origin", "destination", "route_type", "n", r4("time"))
 
 
-POINTS = "pts AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 101 AS DOUBLE) AS x, CAST(c_custkey * 53 % 103 AS DOUBLE) AS y FROM {customer}), tgt AS (SELECT s_suppkey AS target, CAST(s_suppkey * 41 % 101 AS DOUBLE) AS tx, CAST(s_suppkey * 59 % 103 AS DOUBLE) AS ty FROM {supplier}), nn AS (SELECT id, target, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS distance FROM pts JOIN tgt ON abs(x - tx) <= 20 AND abs(y - ty) <= 20)"
+POINTS = "pts AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 101 AS DOUBLE) AS x, CAST(c_custkey * 53 % 103 AS DOUBLE) AS y FROM {customer}), tgt AS (SELECT s_suppkey AS target, CAST(s_suppkey * 41 % 101 AS DOUBLE) AS tx, CAST(s_suppkey * 59 % 103 AS DOUBLE) AS ty FROM {supplier}), nn AS (SELECT id, target, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS distance FROM pts CROSS JOIN tgt)"
 
 
 def points(spark, d):
@@ -60,7 +60,7 @@ def points(spark, d):
     return p, s.select(F.col("s_suppkey").alias("target"), (F.col("s_suppkey") * 41 % 101).cast("double").alias("tx"), (F.col("s_suppkey") * 59 % 103).cast("double").alias("ty"))
 
 
-@query("connector_knn", f"WITH {POINTS} SELECT id, CAST(r AS INT) AS rank, target, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, target) AS r FROM nn WHERE distance <= 20) WHERE r <= 2")
+@query("connector_knn", f"WITH {POINTS} SELECT id, CAST(r AS INT) AS rank, target, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, target) AS r FROM nn) WHERE r <= 2")
 def _(spark, d):
     return J.nearest(*points(spark, d), 2, 20.0).select("id", "rank", "target", r4("distance"))
 
@@ -71,7 +71,7 @@ def _(spark, d):
     return near.select("id", "target", r4("distance"), F.round(F.col("distance") / 4 * 3.6, 4).alias("time"))
 
 
-@query("knn_regression", f"WITH {POINTS}, k AS (SELECT * FROM nn WHERE distance <= 20 QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, target) <= 3) SELECT id, round(sum(s_acctbal / greatest(distance, 0.000001)) / sum(1 / greatest(distance, 0.000001)), 2) AS estimate FROM k JOIN {{supplier}} ON target = s_suppkey GROUP BY id")
+@query("knn_regression", f"WITH {POINTS}, k AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, target) <= 3) SELECT id, round(sum(s_acctbal / greatest(distance, 0.000001)) / sum(1 / greatest(distance, 0.000001)), 2) AS estimate FROM k JOIN {{supplier}} ON target = s_suppkey GROUP BY id")
 def _(spark, d):
     v = table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_acctbal").alias("value"))
     return J.knn_regression(J.nearest(*points(spark, d), 3, 20.0), v).select("id", r4("estimate", 2))
@@ -187,22 +187,19 @@ def _(spark, d):
     return I.circular(table(spark, d, "stop_times"))
 
 
-@query("integrity_broken_sequences", "SELECT trip, count(*) AS n FROM (SELECT trip, b, lead(a) OVER (PARTITION BY trip ORDER BY link_sequence) AS na FROM {links} WHERE link_sequence % 3 > 0) WHERE na IS NOT NULL AND na <> b GROUP BY trip")
+@query("integrity_broken_sequences", "SELECT trip, count(*) AS n FROM (SELECT trip, b, lead(a) OVER (PARTITION BY trip ORDER BY link_sequence) AS na FROM {shifted}) WHERE na IS NOT NULL AND na <> b GROUP BY trip")
 def _(spark, d):
-    return I.broken_sequences(table(spark, d, "links").filter("link_sequence % 3 > 0"))
+    return I.broken_sequences(table(spark, d, "shifted"))
 
 
-HALFNET = "h AS (SELECT a, b FROM {links} WHERE a < 20 AND b > 3)"
-
-
-@query("integrity_nodeset_missing", f"WITH {HALFNET} SELECT a AS zone FROM h WHERE a > 5 UNION SELECT b FROM h WHERE a > 5 EXCEPT SELECT zone FROM {{zones}} WHERE zone < 15")
+@query("integrity_nodeset_missing", "SELECT a AS zone FROM {damaged} UNION SELECT b FROM {damaged} EXCEPT SELECT zone FROM {zones}")
 def _(spark, d):
-    return I.missing_nodes(table(spark, d, "links").filter("a < 20 and b > 3 and a > 5"), table(spark, d, "zones").filter("zone < 15"), "zone")
+    return I.missing_nodes(table(spark, d, "damaged"), table(spark, d, "zones"), "zone")
 
 
-@query("integrity_nodeset_orphan", "SELECT zone FROM {zones} EXCEPT (SELECT a FROM {links} WHERE a < 10 AND b < 10 UNION SELECT b FROM {links} WHERE a < 10 AND b < 10)")
+@query("integrity_nodeset_orphan", "SELECT b AS zone FROM {spurs} EXCEPT (SELECT a FROM {links} UNION SELECT b FROM {links})")
 def _(spark, d):
-    return I.orphan_nodes(table(spark, d, "links").filter("a < 10 and b < 10"), table(spark, d, "zones"), "zone")
+    return I.orphan_nodes(table(spark, d, "links"), table(spark, d, "spurs").select(F.col("b").alias("zone")).distinct(), "zone")
 
 
 @query("integrity_duplicate_ab", "SELECT a, b, count(*) AS n FROM {links} GROUP BY a, b HAVING count(*) > 1")
@@ -210,9 +207,9 @@ def _(spark, d):
     return I.duplicates(table(spark, d, "links"), ["a", "b"])
 
 
-@query("dead_ends", "SELECT DISTINCT b AS node FROM {links} WHERE a < 12 EXCEPT SELECT a FROM {links} WHERE a < 12")
+@query("dead_ends", "SELECT DISTINCT b AS node FROM {spurs} EXCEPT SELECT a FROM {spurs}")
 def _(spark, d):
-    return I.dead_ends(table(spark, d, "links").filter("a < 12"))
+    return I.dead_ends(table(spark, d, "spurs"))
 
 
 @query("reachable_hops", "WITH RECURSIVE r(origin, node, hops) AS (SELECT zone, zone, 0 FROM {zones} UNION SELECT origin, b, hops + 1 FROM r JOIN {road_links} ON node = a WHERE hops < 4) SELECT origin, node, min(hops) AS hops FROM r GROUP BY origin, node")
