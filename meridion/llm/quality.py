@@ -34,11 +34,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import docs_of
+from .common import docs_of, stored, trim
 
 SAMPLE, BITS, ROUNDS = 6000, 18, 12
 LABELLED, PRECISION = 8000, 0.8
@@ -52,7 +52,7 @@ ABUSE = frozenset(
     "bullshit degenerate parasite parasites subhuman scumbag dimwit dipshit jackass douchebag nitwit".split(" ")
 )
 AROUND = ".,;:!?#$%&*|\"'()"
-STEMS = (4, 5, 6, 8)
+STEMS = (4, 5, 8)
 RUN = re.compile(r"([#$%&*^~=_<>-])\1{2}")
 # The latent classes, each with the labellers that overlap on it.
 TASKS = {
@@ -67,63 +67,113 @@ MARKS = "#$%&*^~<>{}[]\\"
 NO_STEMS: tuple[frozenset, frozenset] = (frozenset(), frozenset())
 
 
-class Shapes(dict):
-    """Tokens to their shapes: x, X and 9 for letters and digits, one for each run of them or of a mark."""
+CHARS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "X" * 26 + "x" * 26 + "9" * 10)
+UPPER = dict.fromkeys(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
+AGAIN = re.compile(r"(.)\1+")
+#: Tokens of which a task keeps what it found.
+TOKENS = 100_000
 
-    CHARS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "X" * 26 + "x" * 26 + "9" * 10)
-    RUN = re.compile(r"(.)\1+")
 
-    def __missing__(self, token: str) -> str:
-        shape = token.translate(self.CHARS)
-        if not shape.isascii():
-            shape = "".join("x" if c.islower() else "X" if c.isupper() else c for c in shape)
-        if len(self) > 50_000:
+def shape_of(token: str) -> str:
+    """x, X and 9 for letters and digits, one for each run of them or of a mark."""
+    shape = token.translate(CHARS)
+    if not shape.isascii():
+        shape = "".join("x" if c.islower() else "X" if c.isupper() else c for c in shape)
+    return AGAIN.sub(r"\1", shape)[:12]
+
+
+class Words(dict):
+    """What make(token) gives for tokens, kept for TOKENS of them."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, token: str):
+        if len(self) > TOKENS:
             self.clear()
-        self[token] = out = self.RUN.sub(r"\1", shape)[:12]
+        self[token] = out = self.make(token)
         return out
 
 
-SHAPES = Shapes()
-
-
-def measures(text: str, mined: tuple = NO_STEMS) -> tuple[dict[str, float], set[str]]:
-    """(measures, the features: words in lower case without marks around them, beginnings of words, shapes and ratios)"""
-    n = max(1, len(text))
-    tokens = text.split()
-    k = max(1, len(tokens))
-    counts = Counter(tokens)
-    words = {t.strip(AROUND) for t in {t.lower() for t in counts}}
-    stems = {w[:c] for w in words for c in STEMS if len(w) >= c}
-    letters = max(1, sum(map(len, tokens)))
-    odd = sum(map(text.count, MARKS))
-    pipes, bangs = text.count("|"), text.count("!")
-    shapes: Counter = Counter()
-    for t, c in counts.items():
-        shapes[SHAPES[t]] += c
-    bare = sum(c for s, c in shapes.items() if not ("x" in s or "X" in s or "9" in s))
-    marked = sum(c for s, c in shapes.items() if s[-1] in MARKS and len(s) > 1)
-    pairs = len(set(zip(tokens, tokens[1:], strict=False))) / max(1, len(tokens) - 1)
-    distinct = len(counts) / k
-    features = words | {f"\0{s}" for s in stems} | {f"\1{s}{min(7, int(-log2(c / k)))}" for s, c in shapes.items()}
-    features |= {f"\2{int(distinct * 20)}", f"\3{int(pairs * 20)}"} if tokens else set()
-    return {
-        "tokens": len(tokens),
-        "odd": odd / n,
-        "runs": len(RUN.findall(text)) / k,
-        "marked": marked / k,
-        "pipes": pipes / n,
-        "bare": bare / k,
-        "unlettered": (odd + pipes + bangs + sum(map(text.count, ";:/=+@_"))) / letters,
-        "upper": sum(c for t, c in counts.items() if len(t) > 1 and t.isupper()) / k,
-        "bang": bangs / k,
-        "capital": sum(map(str.isupper, text)) / n,
-        "distinct": distinct,
-        "pairs": pairs,
-        "same": sum(map(eq, tokens, tokens[1:])) / k,
-        "hits": len(words & ABUSE),
-        "one": len(stems & mined[0]) if mined[0] else -1,
-        "two": len(stems & mined[1]) if mined[1] else -1,
-    }, features
+class Reader:
+    """Reads texts for labellers and scorers."""
+
+    def __init__(self, mined: tuple = NO_STEMS, bits: int = BITS, wanted: set | None = None):
+        self.mined, self.mask, self.wanted = mined, (1 << bits) - 1, wanted
+        self.signs, self.hashes = Words(self._signs), Words(self._hashes)
+
+    def hash(self, feature: str) -> int:
+        return crc32(feature.encode()) & self.mask
+
+    def _signs(self, token: str) -> int:
+        """Bits: shouted, ends in a mark, has no letter or digit, a word of abuse, a stem of each mined set."""
+        w = token.lower().strip(AROUND)
+        out = 8 if w in ABUSE else 0
+        if len(w) >= STEMS[0]:
+            stems = (w[:4], w[:5], w[:8])
+            out |= (0 if self.mined[0].isdisjoint(stems) else 16) | (0 if self.mined[1].isdisjoint(stems) else 32)
+        if token.isalpha():
+            return out | (len(token) > 1 and token.isupper())
+        return out | (len(token) > 1 and token.isupper()) | (2 if token[-1] in MARKS and len(token) > 1 else 0) | (0 if any(map(str.isalnum, token)) else 4)
+
+    def _hashes(self, token: str) -> tuple:
+        """The token's shape, and the hashes of the word and of its beginnings (those of `wanted`)."""
+        w = token.lower().strip(AROUND)
+        shape = "x" if token.isalpha() and token.islower() else shape_of(token)
+        mask = self.mask
+        every = [crc32(w.encode()) & mask, *[crc32(w[:c].encode(), c) & mask for c in STEMS if len(w) >= c]]  # the length starts the checksum
+        return shape, tuple(every if self.wanted is None else self.wanted.intersection(every))
+
+    def measures(self, text: str) -> dict[str, float]:
+        """What the labellers look at."""
+        n = max(1, len(text))
+        tokens = text.split()
+        k = max(1, len(tokens))
+        counts = Counter(tokens)
+        signs: dict[int, int] = {}
+        kinds: dict[int, int] = {}
+        for sign, c in zip(map(self.signs.__getitem__, counts), counts.values(), strict=True):
+            if sign:
+                signs[sign] = signs.get(sign, 0) + c
+                kinds[sign] = kinds.get(sign, 0) + 1
+        share = lambda bit: sum([c for x, c in signs.items() if x & bit]) / k
+        kind = lambda bit: sum([c for x, c in kinds.items() if x & bit])
+        odd = sum(map(text.count, MARKS))
+        pipes, bangs = text.count("|"), text.count("!")
+        return {
+            "tokens": len(tokens),
+            "odd": odd / n,
+            "runs": len(RUN.findall(text)) / k if odd or "=" in text or "-" in text or "_" in text else 0.0,
+            "marked": share(2),
+            "pipes": pipes / n,
+            "bare": share(4),
+            "unlettered": (odd + pipes + bangs + sum(map(text.count, ";:/=+@_"))) / max(1, sum(map(len, tokens))),
+            "upper": share(1),
+            "bang": bangs / k,
+            "capital": (len(text) - len(text.translate(UPPER))) / n,
+            "distinct": len(counts) / k,
+            "pairs": len(set(zip(tokens, tokens[1:], strict=False))) / max(1, len(tokens) - 1),
+            "same": sum(map(eq, tokens, tokens[1:])) / k,
+            "hits": kind(8),
+            "one": kind(16) if self.mined[0] else -1,
+            "two": kind(32) if self.mined[1] else -1,
+        }
+
+    def features(self, text: str) -> set[int]:
+        """The hashed features of a text: words, their beginnings, shapes with their shares, and how many words and pairs of words differ."""
+        tokens = text.split()
+        counts = Counter(tokens)
+        found = list(map(self.hashes.__getitem__, counts))
+        out = set().union(*[h for _, h in found if h])
+        if k := len(tokens):
+            shapes: dict[str, int] = {}
+            for (shape, _), c in zip(found, counts.values(), strict=True):
+                shapes[shape] = shapes.get(shape, 0) + c
+            pairs = len(set(zip(tokens, tokens[1:], strict=False))) / max(1, k - 1)
+            out.update([self.hash(f"\1{s}{min(7, int(-log2(c / k)))}") for s, c in shapes.items()])
+            out.update((self.hash(f"\2{int(len(counts) / k * 20)}"), self.hash(f"\3{int(pairs * 20)}")))
+        return out
 
 
 def votes(m: dict[str, float]) -> tuple[int, ...]:
@@ -147,9 +197,8 @@ def votes(m: dict[str, float]) -> tuple[int, ...]:
 
 def features(text: str, bits: int = BITS, mined: tuple = NO_STEMS) -> tuple[tuple[int, ...], np.ndarray]:
     """(votes, the distinct hashed features) of a whole text."""
-    m, words = measures(text, mined)
-    mask = (1 << bits) - 1
-    return votes(m), np.unique(np.array([crc32(w.encode()) & mask for w in words], np.int32))
+    reader = Reader(mined, bits)
+    return votes(reader.measures(text)), np.array(sorted(reader.features(text)), np.int32)
 
 
 def mine(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> tuple[frozenset, frozenset]:
@@ -239,17 +288,18 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     mined = mine(docs, labels) if labels is not None else NO_STEMS
     names = [n for t in TASKS.values() for n in t]
 
-    def count(batches):
-        seen: Counter = Counter()
+    h = F.xxhash64(F.lit(11), "doc_id")
+
+    def vote(batches):
+        trim()
+        reader = Reader(mined, bits)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen[votes(measures(t or "", mined)[0])] += 1
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([",".join(map(str, k)) for k in seen]), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+            got = [",".join(map(str, votes(reader.measures(t or "")))) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], ["h", "pattern"])
 
+    voted = stored(docs.select(h.alias("h"), "text").mapInArrow(vote, "h long, pattern string"), "votes")
     # At most 3 to the power of the number of labellers patterns.
-    counted = docs.select("text").mapInArrow(count, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    patterns = sorted((tuple(map(int, r["pattern"].split(","))), r["n"]) for r in counted)
+    patterns = sorted((tuple(map(int, r["pattern"].split(","))), r["count"]) for r in voted.groupBy("pattern").count().collect())
     models, at = {}, 0
     for task, own_names in TASKS.items():
         own: Counter = Counter()
@@ -266,29 +316,23 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
     every = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), len(names))
     weight = np.array([n for _, n in patterns], float)
     shares = {s: float((weight * x).sum() / max(1.0, weight.sum())) for s, x in bad(every).items()}
-    # Patterns that a scorer's posterior calls bad, by scorer.
-    marked = {s: {patterns[i][0] for i in np.flatnonzero(x > 0.5)} for s, x in bad(every).items()}
-    h = F.xxhash64(F.lit(11), "doc_id")
-    top = docs.select(h.alias("h")).orderBy("h").limit(sample // 2).agg(F.max("h")).first()[0]
+    # The rows of the sample: by the hash alone (kind 0), and of the patterns that a scorer's posterior calls bad (kinds 1 and 2).
+    marked = [[",".join(map(str, patterns[i][0])) for i in np.flatnonzero(x > 0.5)] for x in bad(every).values()]
+    parts = [voted.orderBy("h").limit(sample // 2), *(voted.filter(F.col("pattern").isin(m)).orderBy("h").limit(sample // 4) for m in marked)]
+    chosen = [(r["h"], k, r["pattern"]) for k, part in enumerate(parts) for r in part.collect()]
 
     def collect(batches):
+        reader = Reader(mined, bits)
         for b in batches:
-            kept = []
-            for at, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                m, words = measures(t or "", mined)
-                v = votes(m)
-                kinds = [at <= top, *(v in marked[s] for s in SCORERS)]
-                if any(kinds):
-                    mask = (1 << bits) - 1
-                    kept += [(k, at, list(v), sorted({crc32(w.encode()) & mask for w in words})) for k, x in enumerate(kinds) if x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True) if kept else [()] * 4, (pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["kind", "h", "votes", "features"])
+            got = [sorted(reader.features(t or "")) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["h", "features"])
 
     rows = []
-    if top is not None:
-        found = docs.select(h.alias("h"), "text").mapInArrow(collect, "kind int, h long, votes array<int>, features array<int>")
-        nth = F.row_number().over(Window.partitionBy("kind").orderBy("h", "votes"))
-        limit = F.when(F.col("kind") == 0, F.lit(sample // 2)).otherwise(F.lit(sample // 4))
-        rows = found.withColumn("nth", nth).filter(F.col("nth") <= sample // 2).filter(F.col("nth") <= limit).collect()  # 1.5 * `sample` rows at most
+    if chosen:
+        some = docs.sparkSession.createDataFrame([(x,) for x in sorted({x for x, _, _ in chosen})], "h long")  # 1.5 * `sample` rows at most
+        found = docs.select(h.alias("h"), "text").join(F.broadcast(some), "h").mapInArrow(collect, "h long, features array<int>").dropDuplicates(["h"])
+        of = {r["h"]: r["features"] for r in found.collect()}
+        rows = sorted(({"kind": k, "h": x, "votes": list(map(int, p.split(","))), "features": of[x]} for x, k, p in chosen), key=lambda r: (r["kind"], r["h"], r["votes"]))
     v = np.array([r["votes"] for r in rows], np.int64).reshape(len(rows), len(names))
     f, kind = [np.array(r["features"], np.int32) for r in rows], np.array([r["kind"] for r in rows])
     out: dict = {"mined": mined}
@@ -312,15 +356,15 @@ def score(docs: DataFrame, model: dict, bits: int = BITS, threshold: float = 0.5
     schema = T.StructType([*docs.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.DoubleType()), T.StructField(new[2], T.BooleanType())])
 
     def run(batches):
-        mask = (1 << bits) - 1
+        trim()
+        reader = Reader(mined, bits, {int(x) for where, _, _ in small.values() for x in where})
         weights = {t: dict(zip(where.tolist(), weight.tolist(), strict=True)) for t, (where, weight, _) in small.items()}
         for b in batches:
             scores = {t: np.zeros(b.num_rows) for t in small}
             for i, text in enumerate(b.column(at).to_pylist()):
                 if not text:
                     continue
-                words = measures(text, mined)[1]
-                hashed = {crc32(w.encode()) & mask for w in words}
+                hashed = reader.features(text)
                 for t, w in weights.items():
                     total = sum(map(w.__getitem__, hashed & w.keys())) + small[t][2]
                     scores[t][i] = 1 / (1 + exp(-max(-30.0, min(30.0, total))))
