@@ -40,3 +40,46 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/out")
     want = events.windowed(src)
     assert got.exceptAll(want).count() == 0 and got.count() > 0.9 * want.count()
+
+
+def test_document(spark, tmp_path):
+    from meridion.sources import exchange as X
+
+    nodes = spark.createDataFrame([("n1", 1.0, 2.0), ("n2", 3.0, 4.0)], "node string, x double, y double")
+    volumes = spark.createDataFrame([("n1", "n2", 5.5)], "origin string, destination string, volume double")
+    m = Model({"nodes": nodes, "volumes": volumes}, {"epsg": 4326, "name": "small", "list": [1, 2]})
+    X.write_document(m, f"{tmp_path}/d", {"nodes": ("x", "y")})
+    back = X.read_document(spark, f"{tmp_path}/d", {"nodes": "node string", "volumes": "origin string, destination string, volume double"})
+    assert sorted(map(tuple, back.nodes.collect())) == sorted(map(tuple, nodes.collect()))
+    assert back.volumes.collect() == volumes.collect() and back.params == m.params
+
+
+def test_parameters_inherit(spark):
+    from meridion.sources import exchange as X
+
+    rows = [("general", "parent", None, "base", "base", "dense"), ("speed", "car", None, "50", None, "30"), ("speed", "bus", None, "20", "25", None), ("speed", "bus", "AM", "15", None, None)]
+    sheet = spark.createDataFrame(rows, "category string, parameter string, period string, base string, dense string, quiet string")
+    get = lambda s, p=None: {(r[0], r[1]): r[2] for r in X.inherited(sheet, s, p).collect()}
+    assert get("quiet")["speed", "car"] == "30" and get("quiet")["speed", "bus"] == "25" and get("dense")["speed", "car"] == "50"
+    assert get("base", "am")["speed", "bus"] == "15" and get("base")["speed", "bus"] == "20"
+    assert X.ancestry({"a": "b", "b": "b"}, "a") == ["a", "b"]
+    assert [X.typed(*x) for x in (("1.5", "float"), ("2", "int"), ("True", "bool"), ("[1]", "json"), ("x", "str"), (None, "int"))] == [1.5, 2, True, [1], "x", None]
+
+
+def test_reshaping(spark):
+    from meridion.sources import exchange as X
+
+    df = spark.createDataFrame([("l1", 50.0, 40.0, 45.0), ("l1_r", 30.0, 20.0, 25.0), ("l2", 60.0, 60.0, 60.0)], "link string, speed double, `speed#AM` double, `speed#PM` double")
+    am = X.variant(df, "AM")
+    assert sorted(map(tuple, am.collect())) == [("l1", 40.0), ("l1_r", 20.0), ("l2", 60.0)]
+    assert sorted(map(tuple, X.folded(am, "link", ["speed"]).collect())) == [("l1", 40.0, 20.0), ("l2", 60.0, None)]
+    m = Model({"los": spark.createDataFrame([("pt", 1), ("car", 2), ("pt", 3)], "mode string, x int")})
+    cut = X.split(m, "los", "mode")
+    assert sorted(cut.tables) == ["los_car", "los_pt"] and sorted(r[0] for r in X.unsplit(cut, "los").los.collect()) == [1, 2, 3]
+    assert sum(c.count() for c in X.chunks(m.los, 3, ["mode"])) == 3
+    links, nodes = spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(1,), (2,)], "node int")
+    both = X.networks_merged((links, nodes), (links, nodes), "node")
+    assert sorted(map(tuple, both[0].collect())) == [("1_left", "2_left"), ("1_right", "2_right")] and both[1].count() == 4
+    assert sorted(map(tuple, X.stacked({"s": links, "t": links}).collect())) == [(1, 2, "s"), (1, 2, "t")]
+    trips = spark.createDataFrame([("t", 1, 5, 6, 600.0), ("t", 2, 6, 9, 600.0)], "trip string, link_sequence int, a int, b int, headway double")
+    assert X.line_text(trips).first()["value"] == 'LINE NAME="t", HEADWAY=10.00, N=5,6,9'
