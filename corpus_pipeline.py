@@ -1,8 +1,15 @@
 """The corpus pipeline: five stages from documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its
-predecessor kept. All but the last return the columns of docs. Rows with a null
-doc_id pass line dedup and the near-duplicate stage as they are.
+predecessor kept. All but the last return the columns of docs.
+
+Cases: an empty table gives no rows at any stage; null and empty texts are kept
+and become sequences of the end token alone; rows with a null doc_id pass line
+dedup and the near-duplicate stage as they are; of copies, ties and repeated
+rows the line stage keeps each line where it comes first by doc_id (repeated
+rows of one doc_id keep theirs alike), and the near-duplicate stage keeps the
+rows of the least doc_id; very long texts are read whole by every stage; extra
+columns stay as they are up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
