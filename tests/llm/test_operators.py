@@ -554,3 +554,54 @@ def test_pipeline_keeps_clean_documents(spark):
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
     clean = [i for i, r in labels.items() if r["quality"] == 1 and r["toxic"] == 0]
     assert sum(i in kept for i in clean) > 0.85 * len(clean)
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage on what the one before kept: documents rejected, lines removed, one document of each group, spans replaced, all ids packed."""
+    import pickle
+
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    model = quality.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
+    weights = {t: dict(zip(model[t]["at"].tolist(), model[t]["weight"].tolist(), strict=True)) for t in quality.SCORERS}
+    reader, want = quality.Reader(model["mined"]), {}
+    for i, text in rows(docs).items():
+        found = reader.features(text) if text else set()
+        if not text or all(sum(weights[t].get(x, 0.0) for x in found) + model[t]["bias"] < 0 for t in quality.SCORERS):
+            want[i] = text
+    df = stage["quality"](spark, docs, FOLDER).persist()
+    assert rows(df) == want
+
+    gone = brute_lines(list(want.items()))
+    want = {i: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in want.items()}
+    df = stage["line_dedup"](spark, df, FOLDER).persist()
+    assert rows(df) == want
+
+    group = {i: g for i, (_, _, g) in brute_near(list(want.items())).items()}
+    want = {i: t for i, t in want.items() if group[i] == i}
+    df = stage["near_duplicates"](spark, df, FOLDER).persist()
+    assert rows(df) == want
+
+    tagged = pii.Reader(pickle.loads(pii.trained()))
+    for i, text in want.items():
+        for s, k, e in reversed(pii.all_spans(text or "", naive(text or ""), tagged.tag([text or ""])[0])):
+            text = f"{text[:s]}[{pii.KINDS[k].upper()}]{text[e:]}"
+        want[i] = text
+    df = stage["personal_data"](spark, df, FOLDER).persist()
+    assert rows(df) == want
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    got = collections.defaultdict(list)
+    for r in stage["packing"](spark, df, FOLDER).collect():
+        got[r["doc_id"]].append(r)
+    assert got.keys() == want.keys()
+    for i, text in want.items():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(got[i], key=lambda r: r["start"]):
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
