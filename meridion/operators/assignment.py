@@ -29,9 +29,9 @@ def assign(paths: DataFrame, volume: str = "volume") -> DataFrame:
 
 def assign_segmented(paths: DataFrame) -> DataFrame:
     """Volume of each link by segment, and over all ('all')."""
-    links = path_links(paths)
-    total = links.groupBy("a", "b").agg(F.sum("volume").alias("volume")).select("a", "b", F.lit("all").alias("segment"), "volume")
-    return links.groupBy("a", "b", "segment").agg(F.sum("volume").alias("volume")).unionByName(total)
+    sets = path_links(paths).groupingSets([["a", "b", "segment"], ["a", "b"]], "a", "b", "segment")
+    got = sets.agg(F.sum("volume").alias("volume"), F.grouping("segment").alias("__all"))
+    return got.withColumn("segment", F.when(F.col("__all") == 1, "all").otherwise(F.col("segment"))).drop("__all")
 
 
 def through(paths: DataFrame, checkpoints: list[int], every: bool = True) -> DataFrame:

@@ -45,7 +45,7 @@ def observed_headway(times: DataFrame, key: str, t: str) -> DataFrame:
 
 
 def line_graph(links: DataFrame) -> DataFrame:
-    """Link to next link of a trip ('follow'), and link to link of another route at its end stop ('transfer'), by route."""
+    """Consecutive links (a, b), (b, c) of trips, with the number of trips."""
     u = links.select("trip", "link_sequence", "a", "b")
     n = u.select("trip", (F.col("link_sequence") - 1).alias("link_sequence"), F.col("a").alias("b"), F.col("b").alias("c"))
     return u.join(n, ["trip", "link_sequence", "b"]).groupBy("a", "b", "c").agg(F.count("*").alias("n"))

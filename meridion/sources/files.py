@@ -39,13 +39,19 @@ def read_gtfs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def services_on(feed: dict[str, DataFrame], day: str) -> DataFrame:
-    """service_id of the services that run on a day (yyyymmdd): calendar, plus additions, less removals."""
+    """service_id of the services that run on a day (yyyymmdd): calendar, plus additions, less removals; a feed may have either table alone."""
     on = F.element_at(F.array(*[F.col(d) for d in DAYS]), F.weekday(F.to_date(F.lit(day), "yyyyMMdd")) + 1) == 1
-    out = feed["calendar"].filter(on & (F.col("start_date") <= day) & (F.col("end_date") >= day)).select("service_id")
+    parts = []
+    if "calendar" in feed:
+        parts.append(feed["calendar"].filter(on & (F.col("start_date") <= day) & (F.col("end_date") >= day)).select("service_id"))
     if "calendar_dates" in feed:
         extra = feed["calendar_dates"].filter(F.col("date") == day)
-        out = out.union(extra.filter("exception_type = 1").select("service_id")).distinct().join(extra.filter("exception_type = 2").select("service_id"), "service_id", "left_anti")
-    return out.distinct()
+        parts.append(extra.filter("exception_type = 1").select("service_id"))
+        out = parts[0].union(parts[-1]) if len(parts) > 1 else parts[0]
+        return out.distinct().join(extra.filter("exception_type = 2").select("service_id"), "service_id", "left_anti")
+    if not parts:
+        raise ValueError("a feed needs calendar or calendar_dates")
+    return parts[0].distinct()
 
 
 def restrict(feed: dict[str, DataFrame], trips: DataFrame) -> dict[str, DataFrame]:

@@ -22,6 +22,8 @@ def test_feed(spark, tmp_path):
     feed = files.read_gtfs(spark, str(tmp_path))
     on = lambda d: {r[0] for r in files.services_on(feed, d).collect()}
     assert on("20240108") == {"w", "s"} and on("20240109") == set() and on("20240113") == {"s"}
+    alone = {k: v for k, v in feed.items() if k != "calendar"}
+    assert {r[0] for r in files.services_on(alone, "20240108").collect()} == {"s"}
     cut = files.restrict(feed, feed["trips"].filter("service_id = 'w'"))
     assert [r["stop_id"] for r in cut["stops"].collect()] == ["a"]
 
