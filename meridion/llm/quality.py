@@ -71,7 +71,7 @@ CHARS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 UPPER = dict.fromkeys(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 AGAIN = re.compile(r"(.)\1+")
 #: Tokens of which a task keeps what it found.
-TOKENS = 100_000
+TOKENS = 250_000
 
 
 def shape_of(token: str) -> str:
@@ -82,6 +82,10 @@ def shape_of(token: str) -> str:
     return AGAIN.sub(r"\1", shape)[:12]
 
 
+#: What is found for most tokens.
+LETTERS = ("x", ())
+
+
 class Words(dict):
     """What make(token) gives for tokens, kept for TOKENS of them."""
 
@@ -123,7 +127,8 @@ class Reader:
         shape = "x" if token.isalpha() and token.islower() else shape_of(token)
         mask = self.mask
         every = [crc32(w.encode()) & mask, *[crc32(w[:c].encode(), c) & mask for c in STEMS if len(w) >= c]]  # the length starts the checksum
-        return shape, tuple(every if self.wanted is None else self.wanted.intersection(every))
+        held = tuple(every if self.wanted is None else self.wanted.intersection(every))
+        return LETTERS if shape == "x" and not held else (shape, held)
 
     def measures(self, text: str) -> dict[str, float]:
         """What the labellers look at."""
