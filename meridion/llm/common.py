@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -83,6 +84,8 @@ def free(df: DataFrame, *names: str) -> list[str]:
 def trim() -> None:
     """Gives memory that this worker has freed in earlier tasks back to the machine (workers outlive their tasks)."""
     pa.default_memory_pool().release_unused()
+    pa.set_memory_pool(pa.system_memory_pool())  # what Arrow frees goes back by malloc_trim too
+    gc.collect()
     with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 

@@ -43,7 +43,7 @@ WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 8, 0.9999
 SIZES = 64
 BLOCK = 192
 #: Words whose hashes a task keeps.
-KNOWN = 200_000
+KNOWN = 100_000
 #: Rows of pairs of blocks in a task.
 ROWS = 4 * BLOCK
 FACTORS = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -132,11 +132,13 @@ def sketched(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
                         rows.append((i, int(np.bitwise_xor.reduce(mix64(s)).view(np.int64)), int(mix64(s * np.uint64(3) + np.uint64(len(s))).sum(dtype=np.uint64).view(np.int64)), floors[n], signatures(s) if floors[n] else None, s.tobytes()))
                 else:
                     rows.append((i, None, None, None, None, b""))
-                if len(rows) >= 500:
+                if len(rows) >= 200:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
+        shingle.known.clear()
+        trim()
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, fields)
 

@@ -71,7 +71,7 @@ CHARS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234
 UPPER = dict.fromkeys(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
 AGAIN = re.compile(r"(.)\1+")
 #: Tokens of which a task keeps what it found.
-TOKENS = 250_000
+TOKENS = 150_000
 
 
 def shape_of(token: str) -> str:
@@ -82,6 +82,13 @@ def shape_of(token: str) -> str:
     return AGAIN.sub(r"\1", shape)[:12]
 
 
+def distinct_pairs(tokens: list[str], distinct: int) -> float:
+    """The share of different ones among pairs of neighbours; 1 where more than half of the tokens differ, as then more than half of the pairs do."""
+    if 2 * distinct > len(tokens) + 1:
+        return 1.0
+    return len(set(zip(tokens, tokens[1:], strict=False))) / max(1, len(tokens) - 1)
+
+
 #: What is found for most tokens.
 LETTERS = ("x", ())
 
@@ -158,7 +165,7 @@ class Reader:
             "bang": bangs / k,
             "capital": (len(text) - len(text.translate(UPPER))) / n,
             "distinct": len(counts) / k,
-            "pairs": len(set(zip(tokens, tokens[1:], strict=False))) / max(1, len(tokens) - 1),
+            "pairs": distinct_pairs(tokens, len(counts)),
             "same": sum(map(eq, tokens, tokens[1:])) / k,
             "hits": kind(8),
             "one": kind(16) if self.mined[0] else -1,
@@ -175,7 +182,7 @@ class Reader:
             shapes: dict[str, int] = {}
             for (shape, _), c in zip(found, counts.values(), strict=True):
                 shapes[shape] = shapes.get(shape, 0) + c
-            pairs = len(set(zip(tokens, tokens[1:], strict=False))) / max(1, k - 1)
+            pairs = distinct_pairs(tokens, len(counts))
             out.update([self.hash(f"\1{s}{min(7, int(-log2(c / k)))}") for s, c in shapes.items()])
             out.update((self.hash(f"\2{int(len(counts) / k * 20)}"), self.hash(f"\3{int(pairs * 20)}")))
         return out
@@ -301,6 +308,8 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE,
         for b in batches:
             got = [",".join(map(str, votes(reader.measures(t or "")))) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], ["h", "pattern"])
+        reader.signs.clear()
+        trim()
 
     voted = stored(docs.select(h.alias("h"), "text").mapInArrow(vote, "h long, pattern string"), "votes")
     # At most 3 to the power of the number of labellers patterns.
@@ -375,6 +384,8 @@ def score(docs: DataFrame, model: dict, bits: int = BITS, threshold: float = 0.5
                     scores[t][i] = 1 / (1 + exp(-max(-30.0, min(30.0, total))))
             keep = (scores["junk"] < threshold) & (scores["toxic"] < threshold)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores["junk"]), pa.array(scores["toxic"]), pa.array(keep)], [*b.schema.names, *new])
+        reader.hashes.clear()
+        trim()
 
     return docs.mapInArrow(run, schema)
 
