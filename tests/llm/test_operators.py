@@ -500,6 +500,23 @@ def test_ann_recall(spark):
     assert sorted(got) == list(range(0, 4000, 200)) and hit / 400 > 0.9
 
 
+def test_ann_lists_do_not_grow_with_groups(spark):
+    """Queries give their short list once, also where many groups of codes meet them, and rows of one id once each."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(9000, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(7)
+    q = df.filter("id % 100 = 0")
+    books = ann.fit(x[:300], 4, 16, 1)
+    c = ann.coded(df, books).select("id", "code", "scale")
+    lists = collections.Counter(r["query_id"] for r in ann.short_lists(q, c, books, 50).collect())
+    assert lists == {i: 50 for i in range(0, 9000, 100)}
+    made = [r["query_id"] for r in ann.short_lists(q, c.unionByName(c), books, 9000 * 2).select("query_id", "id").distinct().collect()]
+    assert collections.Counter(made) == {i: 9000 for i in range(0, 9000, 100)}
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [3.0, 5.0])], "id long, v array<double>")
+    out = ann.ann_search(twice.filter("id = 20"), twice).collect()
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in out) == [(20, 1, 1.0), (20, 1, 2.0), (20, 1, 3.0), (20, 1, 5.0)]
+
+
 def test_licences(odd, empty):
     text = "Head.\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. More. Released under the MIT License."
     df = odd.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
