@@ -14,8 +14,9 @@ similarity of `threshold` or more.
 
 A set needs one earlier match only, so it is held first against some sets that
 share its least hash of a token, as most near copies do: the earliest, the most
-frequent and two others. Sets that this leaves open are joined with all earlier
-ones. Groups of near copies thus don't make all their pairs. A pair meets at a
+frequent and some others. Sets that this leaves open are joined with all earlier
+ones, and held first against the closest by parity map; only sets that still
+match none are held against the rest. Groups of near copies thus don't make all their pairs. A pair meets at a
 token only if the tokens before it in the two prefixes differ, so a run of
 shared tokens gives one meeting. Tokens that the corpus holds once join nothing
 and are left out. A set is known by a 64-bit sum of its tokens' hashes: sets of
@@ -33,7 +34,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import docs_of, free, mix64, scratch, stored, trim
@@ -43,6 +44,8 @@ THRESHOLD, CELLS = 0.8, 1 << 21
 STEPS = ONCE = 6
 #: Sets against which a set is held first, besides the earliest and the most frequent of its group.
 OTHERS = 6
+#: Pairs of a set, the closest by their parity maps, that are verified before its others.
+FIRST = 4
 #: Removed sets up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST = 2_000_000
 FILTER_WORDS = 1 << 20
@@ -220,17 +223,21 @@ def is_set(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (words[at // 64] >> (at % 64)) & 1 == 1
 
 
-def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (b, a) of sets, the b (as `set`) of those that are similar.
+def matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float, several: bool = True) -> DataFrame:
+    """Of pairs (b, a) of sets, the b (as `set`) of those that are similar. With `several` pairs of a b, they also have d and one.
 
+    d orders a set's pairs: the FIRST of them are held against it before the others, which are left out once one is similar.
+    one tells that both sets begin in one document, where a pair counts if the line of a is earlier.
     Lines are taken from the texts by their places; a table of bits of fixed size leaves out most others."""
     with scratch(docs.sparkSession):
-        return _matched(docs, sets, stored(pairs, "pairs"), threshold)
+        return _matched(docs, sets, stored(pairs, "pairs"), threshold, several)
 
 
-def _matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+def _matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float, several: bool) -> DataFrame:
     ids = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     places = sets.select("set", "first").join(ids, "set", "left_semi")
+    if several:
+        places = stored(places, "places")
     words = cells(places.select(F.pmod(F.col("first.doc_id").bitwiseXOR(F.shiftleft(F.col("first.line").cast("long"), 17)), F.lit(BITS)).alias("bit")))
     if not words.any():
         return docs.sparkSession.createDataFrame([], "set long")
@@ -254,8 +261,6 @@ def _matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: floa
 
     every = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "set long, words string")
     found = stored(every.join(ids, "set", "left_semi").groupBy("set").agg(F.first("words").alias("words")), "words")
-    both = pairs.join(found.withColumnsRenamed({"set": "a", "words": "wa"}), "a").join(found.withColumnsRenamed({"set": "b", "words": "wb"}), "b").select("b", "wa", "wb")
-
     def verify(batches):
         for b in batches:
             hit = []
@@ -265,7 +270,22 @@ def _matched(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: floa
                 hit.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], ["set"])
 
-    return stored(both.mapInArrow(verify, "set long").distinct(), "matched", outer=True)
+    def similar(those: DataFrame) -> DataFrame:
+        both = those.join(found.withColumnsRenamed({"set": "a", "words": "wa"}), "a").join(found.withColumnsRenamed({"set": "b", "words": "wb"}), "b")
+        return both.select("b", "wa", "wb").mapInArrow(verify, "set long").distinct()
+
+    if not several:
+        return stored(similar(pairs), "matched", outer=True)
+    first = lambda c: places.select(F.col("set").alias(c), F.col("first").alias(f"f{c}"))
+    late = pairs.filter("one").join(first("a"), "a").join(first("b"), "b").filter("fa >= fb").select("b", "a")
+    early = pairs.join(F.broadcast(late) if late.count() <= BROADCAST else late, ["b", "a"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))
+    early = stored(early.select("b", "a", nth.alias("nth")), "ordered")
+    hit, more = similar(early.filter(F.col("nth") <= FIRST)), early.filter(F.col("nth") > FIRST)
+    if not more.isEmpty():
+        hit = stored(hit, "similar")
+        hit = hit.unionByName(similar(more.join(hit, more["b"] == hit["set"], "left_anti")))
+    return stored(hit, "matched", outer=True)
 
 
 def differing(x, y) -> Column:
@@ -302,7 +322,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = stored(line_sets(docs, rarity(docs), threshold), "lines")
     sets = lines.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("f"), *(F.first(c).alias(c) for c in ("n", "skip", "least", "p0", "p1", "prefix")))
     sets = stored(sets, "line-sets")
-    done = matched(docs, sets, hub_pairs(sets, threshold), threshold)
+    done = matched(docs, sets, hub_pairs(sets, threshold), threshold, several=False)
     marks = done.withColumn("done", F.lit(True))
     if done.count() <= BROADCAST:
         marks = F.broadcast(marks)
@@ -316,10 +336,8 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     d["n"] = F.abs(d["n"])
     reach = F.least(c["n"] - c["i"], d["n"] - d["i"]) >= needed(c["n"], d["n"], threshold)
     fits = (F.col("x.token") == F.col("y.token")) & (d["doc"] <= c["doc"]) & (d["set"] != c["set"]) & F.coalesce(c["before"] != d["before"], F.lit(True)) & reach & may_match(c, d, threshold)
-    pairs = x.join(y, fits).select(c["set"].alias("b"), d["set"].alias("a")).distinct()
-    first = sets.select("set", "first")
-    pairs = pairs.join(first.withColumnsRenamed({"set": "a", "first": "fa"}), "a").join(first.withColumnsRenamed({"set": "b", "first": "fb"}), "b").filter("fa < fb")
-    done = done.unionByName(matched(docs, sets, pairs.select("b", "a"), threshold)).withColumn("done", F.lit(True))
+    pairs = x.join(y, fits).select(c["set"].alias("b"), d["set"].alias("a"), differing(c, d).alias("d"), (c["doc"] == d["doc"]).alias("one")).distinct()
+    done = done.unionByName(matched(docs, sets, pairs, threshold)).withColumn("done", F.lit(True))
     known = sets.select("set", "first", "f").join(done, "set", "left").filter("f > 1 or done").drop("f")
     return lines.select("doc_id", "line", "set").join(known, "set").filter(F.col("done") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line").distinct()
 

@@ -517,6 +517,24 @@ def test_ann_lists_do_not_grow_with_groups(spark):
     assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in out) == [(20, 1, 1.0), (20, 1, 2.0), (20, 1, 3.0), (20, 1, 5.0)]
 
 
+def test_lines_closest_first(spark, monkeypatch):
+    """Pairs beyond the first few of a set decide too, sets that match early leave the rest, and of one document the earlier line stays."""
+    words = [f"w{k}" for k in range(24)]
+    rows = [(i, " ".join(words[: 20 + i % 5] + [f"{'abc'[k]}{i * (k + 1) % 7}" for k in range(3)]) + ("\n" + " ".join(words[:22]) if i % 4 == 0 else "")) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for first in (1, 1000):
+        monkeypatch.setattr(lines, "FIRST", first)
+        assert {tuple(r) for r in lines.removed_lines(df).collect()} == brute_lines(rows)
+    monkeypatch.setattr(lines, "FIRST", 1)
+    docs = spark.createDataFrame([(1, "a b c d e f\na b c d e g\nx y z x1 y1 z1"), (2, "a b c d e f h")], "doc_id long, text string").repartition(1)
+    held = {(r["doc_id"], r["line"]): r["set"] for r in lines.line_sets(docs, lines.rarity(docs), 0.8).collect()}
+    sets = spark.createDataFrame([(k, p) for p, k in held.items()], "set long, first struct<doc_id: long, line: int>")
+    place = {k: p for p, k in held.items()}
+    pairs = [((2, 0), (1, 2), 0, False), ((2, 0), (1, 0), 5, False), ((1, 0), (1, 0), 0, True), ((1, 2), (1, 2), 0, True)]
+    pairs = spark.createDataFrame([(held[b], held[a], d, one) for b, a, d, one in pairs], "b long, a long, d int, one boolean")
+    assert {place[r["set"]] for r in lines.matched(docs, sets, pairs, 0.8).collect()} == {(2, 0)}
+
+
 def test_licences(odd, empty):
     text = "Head.\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. More. Released under the MIT License."
     df = odd.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
