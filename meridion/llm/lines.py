@@ -142,6 +142,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
                 n += np.bincount(cell_of(word_hashes(texts, powers)[1]), minlength=CELLS)
         blocks = [k for k in range(CELLS // BLOCK) if n[k * BLOCK : (k + 1) * BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([zlib.compress(n[k * BLOCK : (k + 1) * BLOCK].tobytes(), 1) for k in blocks], pa.binary())], ["block", "counts"])
+        del n, powers
+        trim()
 
     def add(batches):
         total = {}  # CELLS counts at most
@@ -206,6 +208,7 @@ def line_sets(docs: DataFrame, ranks: np.ndarray, threshold: float) -> DataFrame
                 for k in range(0, len(full), SLICE):
                     h = held[k : k + SLICE]
                     yield of_slice(ids[k : k + SLICE], line[k : k + SLICE], np.repeat(np.arange(len(h)), h), hashes[ends[k] - h[0] : ends[k] - h[0] + h.sum()])
+        trim()
 
     return docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, line int, set long, n int, skip int, least long, p0 long, p1 long, prefix array<long>")
 

@@ -435,6 +435,8 @@ def with_spans(docs: DataFrame, fields: list[T.StructField], row, only: list[str
                 cut = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*[cut.column(c) for c in cols], *[pa.array([r[k] for r in rows], pa.string() if isinstance(f.dataType, T.StringType) else pa.int64()) for k, f in enumerate(fields)]], [*kept, *names])
                 i = j
+        reader = b = texts = part = found = rows = cut = None
+        trim()
 
     return docs.mapInArrow(apply, schema)
 
