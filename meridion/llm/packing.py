@@ -18,7 +18,9 @@ rows.
 
 from __future__ import annotations
 
+import gc
 import os
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from .common import crc, docs_of, trim
 WINDOW, END = 2048, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CACHE: dict = {}
-CACHE_WORDS, ATOMS = 700_000, 150_000
+#: The type of array() that has four bytes.
+LONG = "I"
+CACHE_WORDS = 700_000
 #: Characters that are encoded together, a text at least.
 AT_ONCE = 1 << 20
 
@@ -47,7 +51,7 @@ class WordCache:
     before its next non-space, around a lone line feed, and between a letter
     or digit and punctuation. A text cut there encodes to the concatenation of
     its parts' ids, which are kept as little-endian bytes. Texts that hold one of
-    the tokenizer's special tokens are encoded whole.
+    the tokenizer's special tokens or a null character are encoded whole.
     """
 
     MARKS = ".,;:!?$%&*#|"
@@ -56,51 +60,70 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0"]
         self.words: dict[str, bytes] = {}
-        self.atoms: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text. A word's key lacks its space; the first word of a text, which has none, is marked."""
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-            self.atoms.clear()
+        """The ids of each text. A word's key lacks its space; what has none, as the first word of a text, is marked by a null character."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # the many lists of words make no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        known = self.words
         whole = {i for s in self.special for i, text in enumerate(texts) if s in text}
         cut = [[] if i in whole else text.split(" ") for i, text in enumerate(texts)]
         for words in cut:
             if words:
                 words[0] = "\0" + words[0]
-        self._learn({w for words in cut for w in words if w not in known})
+        self._learn(set().union(*cut).difference(known))
         out = [b"".join(map(known.__getitem__, words)) for words in cut]
         for i in whole:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            out[i] = array(LONG, self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes()
         return out
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.atoms) > ATOMS:
-            self.atoms.clear()
-        parts = {w: self._parts(w[1:] if w[:1] == "\0" else " " + w) for w in words}
-        new = list({a for p in parts.values() for a in p if a not in self.atoms})
+        known, marks = self.words, self.MARKS
+        new, joined = set(), []
+        for w in words:
+            if "\n" in w:
+                keys = self._parts(w)
+            else:
+                core = w.rstrip(marks)
+                if core == w or not core or not (core[-1].isalpha() or core[-1] in "0123456789"):
+                    new.add(w)
+                    continue
+                keys = (core, "\0" + w[len(core) :])
+            joined.append((w, keys))
+            new.update(keys)
+        new = list(new.difference(known))
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            for a, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.atoms[a] = np.array(e.ids, "<u4").tobytes()
-        for w, p in parts.items():
-            self.words[w] = b"".join(map(self.atoms.__getitem__, p))
+            coded = self.tokenizer.encode_batch_fast([k[1:] if k[:1] == "\0" else " " + k for k in part], add_special_tokens=False)
+            for k, e in zip(part, coded, strict=True):
+                known[k] = array(LONG, e.ids).tobytes()
+        for w, keys in joined:
+            if w not in known:
+                known[w] = b"".join(map(known.__getitem__, keys))
 
     def _parts(self, word: str) -> list[str]:
+        """The keys of the parts of a word that holds line feeds."""
         lines = word.split("\n")
-        if len(lines) > 1 and (not all(lines) or any(c.isspace() for c in word[1:] if c != "\n") or lines[0] == " "):
+        if not all(lines) or lines[0] == "\0" or any(c.isspace() for c in word if c != "\n"):
             return [word]
         out = []
         for k, line in enumerate(lines):
             if k:
-                out.append("\n")
+                out.append("\0\n")
+                line = "\0" + line
             core = line.rstrip(self.MARKS)
             if core != line and core and (core[-1].isalpha() or core[-1] in "0123456789"):
-                out += [core, line[len(core) :]]
+                out += [core, "\0" + line[len(core) :]]
             else:
                 out.append(line)
         return out
@@ -237,6 +260,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
         give(packer.windows())
         if rows:
             yield _batch(rows)
+        cache.words.clear()  # workers outlive their tasks
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -535,6 +536,27 @@ def test_lines_closest_first(spark, monkeypatch):
     assert {place[r["set"]] for r in lines.matched(docs, sets, pairs, 0.8).collect()} == {(2, 0)}
 
 
+def test_packing_words(spark):
+    """Null characters are text as any other, wherever they are; a worker keeps no words beyond its task."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    texts = ["a \0b", "\0", "\0 \0\0x,\n\0y", "x.\n\nY", "é,\nß.\nfoo!!", " a\nb,", "12,\n3 a,b", "\n", " \n", "a\r\nb c\u00a0\nd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in packing.pack(df).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert (got[i]["length"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+    def kept(batches):
+        from meridion.llm import packing
+
+        for b in batches:
+            yield b.slice(0, 1).set_column(0, "doc_id", pa.array([sum(len(c.words) for c in packing._CACHE.values())], pa.int64()))
+
+    assert all(r["doc_id"] == 0 for r in df.select("doc_id").mapInArrow(kept, "doc_id long").collect())
+
+
 def test_licences(odd, empty):
     text = "Head.\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License. More. Released under the MIT License."
     df = odd.sparkSession.createDataFrame([(1, text)], "doc_id long, text string")
