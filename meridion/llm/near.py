@@ -42,6 +42,8 @@ WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 8, 0.9999
 #: Sizes of sets from which the least similarity is taken to be the threshold.
 SIZES = 64
 BLOCK = 192
+#: Bits, in words of 64, of the table by which a text's set is left out.
+FILTER_BITS = 1 << 25
 #: Words whose hashes a task keeps.
 KNOWN = 100_000
 #: Rows of pairs of blocks in a task.
@@ -241,6 +243,14 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["cid", "links", "root"])
 
 
+def candidates(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """Those of rows (cid, ..) whose bit is set in a table of FILTER_BITS, which holds a bit for each cid of part and is broadcast. All cids of part pass."""
+    at = F.pmod(F.col("cid"), F.lit(FILTER_BITS))
+    words = part.select(F.floor(at / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    kept = rows.withColumn("word", F.floor(at / 64)).join(F.broadcast(words), "word")
+    return kept.filter(F.call_function("shiftright", "bits", (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_copies, n_links, group_id): n_copies is the class's rows, n_links its links to other classes, group_id the least doc_id of its linked classes.
 
@@ -255,7 +265,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     placed = part.join(size, "part").withColumn("block", F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("n_blocks")).cast("int"))
     # A row of the class for each pair of blocks that its own is in.
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select("part", "block", "cid", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    texts = full.select(F.col("hi").alias("cid"), "shingles").join(part.select("cid"), "cid", "left_semi").dropDuplicates(["cid"])
+    # One row of a class gives its set; a filter of fixed size leaves out most classes without ties before any set is dealt out, the join with pairs the others.
+    texts = candidates(full.select(F.col("hi").alias("cid"), "shingles"), part).dropDuplicates(["cid"])
     # Every class meets each block of its part once, so the tasks grow with the rows that they take.
     n = size.agg(F.coalesce(F.sum(F.col("n_blocks") * F.col("n_blocks") * BLOCK), F.lit(0))).first()[0]
     n = int(max(8, docs.sparkSession.sparkContext.defaultParallelism * 2, min(100_000, n // ROWS)))

@@ -536,6 +536,20 @@ def test_lines_closest_first(spark, monkeypatch):
     assert {place[r["set"]] for r in lines.matched(docs, sets, pairs, 0.8).collect()} == {(2, 0)}
 
 
+def test_near_filter(spark):
+    """All classes with ties pass the table of bits and few others do, without an exchange of the rows themselves."""
+    rng = np.random.default_rng(4)
+    cids = rng.integers(-(2**63), 2**63 - 1, 3000).tolist()
+    rows = spark.createDataFrame([(c, b"x") for c in cids], "cid long, shingles binary")
+    part = spark.createDataFrame([(c,) for c in cids[:200]], "cid long")
+    out = near.candidates(rows, part)
+    got = [r["cid"] for r in out.collect()]
+    assert set(cids[:200]) <= set(got) and len(got) < 210 and out.columns == rows.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert near.candidates(rows, part.limit(0)).count() == 0
+
+
 def test_packing_words(spark):
     """Null characters are text as any other, wherever they are; a worker keeps no words beyond its task."""
     from tokenizers import Tokenizer
