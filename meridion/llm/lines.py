@@ -309,15 +309,41 @@ def needed(n, m, threshold: float) -> Column:
 
 
 def hub_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (b, a) of a set and the closest of the earlier ones that it is held against first."""
+    """Pairs (b, a) of a set and each of the earlier ones that it is held against first, if they pass the filters."""
     me = [F.col(c) for c in ("first", "set", "n", "p0", "p1")]
     hubs = [F.min(F.struct(*me)).alias("h0"), F.max(F.struct("f", *me)).alias("h1")]
     hubs += [F.min(F.struct(F.xxhash64(F.lit(k), "set"), *me)).alias(f"h{k + 2}") for k in range(OTHERS)]
     rows = sets.filter(F.size("prefix") > 0).select("least", "f", *me)
     groups = rows.groupBy("least").agg(*hubs, F.count("*").alias("many")).filter("many > 1").drop("many")
     own = {c: F.col(c) for c in ("n", "p0", "p1")}
-    options = [F.when((F.col(h)["first"] < F.col("first")) & may_match(own, F.col(h), threshold), F.struct(differing(own, F.col(h)).alias("d"), F.col(h)["set"].alias("a"))) for h in (f"h{k}" for k in range(OTHERS + 2))]
-    return rows.join(groups, "least").select(F.col("set").alias("b"), F.array_min(F.array_compact(F.array(*options))).alias("o")).filter("o is not null").select("b", "o.a")
+    options = [F.when((F.col(h)["first"] < F.col("first")) & may_match(own, F.col(h), threshold), F.col(h)["set"]) for h in (f"h{k}" for k in range(OTHERS + 2))]
+    return rows.join(groups, "least").select(F.col("set").alias("b"), F.array_compact(F.array(*options)).alias("a")).filter(F.size("a") > 0).select("b", F.explode(F.array_distinct("a")).alias("a"))
+
+
+def token_pairs(sets: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (b, a, d, one) of sets that meet at a token of their prefixes and pass the filters, b with a later document and not of marks.
+
+    Two sets of one document are a pair either way. Of the smaller set a shorter prefix is enough, as it shares more than
+    a set of its size must share with a smaller one."""
+    # Done sets have a negative n.
+    state = sets.join(marks, "set", "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")))
+    flat = state.select("set", F.col("first.doc_id").alias("doc"), "n", "skip", "p0", "p1", "prefix", F.posexplode("prefix").alias("i", "token"))
+    every = flat.select("token", F.when(F.col("i") > 0, F.get("prefix", F.col("i") - 1)).alias("before"), "set", "doc", "n", (F.col("i") + F.col("skip")).alias("i"), "p0", "p1")
+    # Both sides of the join read the same rows, so their exchange is made once: a filter that is not deterministic stays behind it.
+    every = every.filter("token is not null and n is not null").repartition("token")
+    n = F.abs("n")
+    y = every.filter(F.when(F.spark_partition_id() >= 0, n - F.col("i") >= needed(n, n, threshold))).alias("y")
+    x = every.alias("x")
+    c, d = ({k: F.col(f"{s}.{k}") for k in ("set", "doc", "before", "n", "i", "p0", "p1")} for s in "xy")
+    open_c, open_d = c["n"] > 0, d["n"] > 0
+    c["n"], d["n"] = F.abs(c["n"]), F.abs(d["n"])
+    larger = (c["n"] > d["n"]) | ((c["n"] == d["n"]) & (c["set"] > d["set"]))
+    reach = F.least(c["n"] - c["i"], d["n"] - d["i"]) >= needed(c["n"], d["n"], threshold)
+    some = F.when(c["doc"] == d["doc"], open_c | open_d).when(c["doc"] > d["doc"], open_c).otherwise(open_d)
+    fits = (F.col("x.token") == F.col("y.token")) & larger & reach & may_match(c, d, threshold) & F.coalesce(c["before"] != d["before"], F.lit(True)) & some
+    way = lambda later, b, a, is_open: F.when(later & is_open, F.struct(b["set"].alias("b"), a["set"].alias("a")))
+    ways = F.array_compact(F.array(way(c["doc"] >= d["doc"], c, d, open_c), way(d["doc"] >= c["doc"], d, c, open_d)))
+    return x.join(y, fits).select(F.explode(ways).alias("p"), differing(c, d).alias("d"), (c["doc"] == d["doc"]).alias("one")).select("p.b", "p.a", "d", "one").distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -330,16 +356,7 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if done.count() <= BROADCAST:
         marks = F.broadcast(marks)
 
-    # Done sets have a negative n. Both sides of the join read the same columns, so their exchange is made once.
-    state = sets.join(marks, "set", "left").withColumn("n", F.when(F.col("done"), -F.col("n")).otherwise(F.col("n")))
-    flat = state.select("set", F.col("first.doc_id").alias("doc"), "n", "skip", "p0", "p1", "prefix", F.posexplode("prefix").alias("i", "token"))
-    every = flat.select("token", F.when(F.col("i") > 0, F.get("prefix", F.col("i") - 1)).alias("before"), "set", "doc", "n", (F.col("i") + F.col("skip")).alias("i"), "p0", "p1")
-    x, y = every.alias("x"), every.alias("y")
-    c, d = ({k: F.col(f"{s}.{k}") for k in ("set", "doc", "before", "n", "i", "p0", "p1")} for s in "xy")
-    d["n"] = F.abs(d["n"])
-    reach = F.least(c["n"] - c["i"], d["n"] - d["i"]) >= needed(c["n"], d["n"], threshold)
-    fits = (F.col("x.token") == F.col("y.token")) & (d["doc"] <= c["doc"]) & (d["set"] != c["set"]) & F.coalesce(c["before"] != d["before"], F.lit(True)) & reach & may_match(c, d, threshold)
-    pairs = x.join(y, fits).select(c["set"].alias("b"), d["set"].alias("a"), differing(c, d).alias("d"), (c["doc"] == d["doc"]).alias("one")).distinct()
+    pairs = token_pairs(sets, marks, threshold)
     done = done.unionByName(matched(docs, sets, pairs, threshold)).withColumn("done", F.lit(True))
     known = sets.select("set", "first", "f").join(done, "set", "left").filter("f > 1 or done").drop("f")
     return lines.select("doc_id", "line", "set").join(known, "set").filter(F.col("done") | (F.struct("doc_id", "line") > F.col("first"))).select("doc_id", "line").distinct()

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from meridion.llm import ann, components, licenses, lines, near, packing, pieces, pii, quality, queries, sharding, topk
@@ -536,6 +537,39 @@ def test_lines_closest_first(spark, monkeypatch):
     assert {place[r["set"]] for r in lines.matched(docs, sets, pairs, 0.8).collect()} == {(2, 0)}
 
 
+def test_lines_pairs(spark):
+    """Every similar pair of sets meets once, the shorter prefix of the smaller set is enough, and rows are dealt out once for both sides."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    text = lambda: " ".join(w for w in words[: rng.choice((10, 24, 40))] if rng.random() > 0.08) + f" x{rng.randrange(9)}"
+    docs = spark.createDataFrame([(i, "\n".join(text() for _ in range(3))) for i in range(60)], "doc_id long, text string")
+    with lines.scratch(spark):
+        held = lines.stored(lines.line_sets(docs, lines.rarity(docs), 0.8), "lines")
+        sets = held.groupBy("set").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("f"), *(F.first(c).alias(c) for c in ("n", "skip", "least", "p0", "p1", "prefix")))
+        sets = lines.stored(sets, "sets")
+        place = {r["set"]: tuple(r["first"]) for r in sets.collect()}
+        texts = {(r["doc_id"], k): frozenset(x.split()) for r in docs.collect() for k, x in enumerate(r["text"].split("\n"))}
+        tokens = {k: texts[p] for k, p in place.items()}
+        alike = lambda a, b: len(tokens[a] & tokens[b]) >= 0.8 * len(tokens[a] | tokens[b]) - 1e-9
+        done = {k for i, k in enumerate(sorted(place)) if i % 9 == 0}
+        want = {(b, a) for b in place for a in place if b not in done and place[a] < place[b] and alike(a, b)}
+        threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            pairs = lines.token_pairs(sets, spark.createDataFrame([(k, True) for k in done], "set long, done boolean"), 0.8)
+            rows = pairs.collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        got = [(r["b"], r["a"]) for r in rows]
+        assert len(want) > 200 and want <= set(got) and len(got) == len(set(got))
+        assert all(b not in done and place[a][0] <= place[b][0] and r["one"] == (place[a][0] == place[b][0]) for (b, a), r in zip(got, rows, strict=True))
+        plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "ReusedExchange" in plan and plan.count("SPARK_PARTITION_ID") == 1
+        hubs = {tuple(r) for r in lines.hub_pairs(sets, 0.8).collect()}
+        several = collections.Counter(b for b, _ in hubs)
+        assert max(several.values()) > 1 and all(place[a] < place[b] for b, a in hubs)
+
+
 def test_near_filter(spark):
     """All classes with ties pass the table of bits and few others do, without an exchange of the rows themselves."""
     rng = np.random.default_rng(4)
