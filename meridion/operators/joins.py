@@ -53,32 +53,46 @@ def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     return j.withColumn("distance", _distance()).filter(F.col("distance") <= radius).select("id", "target", "distance")
 
 
-def _levels(points: DataFrame, targets: DataFrame, cell: float) -> int:
-    """How often a cell has to double to be as wide as all points and targets together."""
-    both = points.select("x", "y").union(targets.select("tx", "ty"))
-    wide = both.agg(*[(F.max(v) - F.min(v)).cast("double") for v in (F.when(~F.isnan(c), F.col(c)) for c in ("x", "y"))]).first()
-    widest = max((v for v in wide if v is not None), default=0.0)
-    return max(0, math.ceil(math.log2(widest * (1 + 1e-9) / cell))) if widest > 0 else 0
+def _extent(points: DataFrame, targets: DataFrame, cell: float, k: int) -> tuple[float, int]:
+    """The width of the first cells and how often it has to grow fourfold to be as wide as all points and targets together.
+
+    Where targets are dense, the first cells are narrower than `cell`, so that they hold some 2 k targets on average."""
+    both = points.select("x", "y", F.lit(0).alias("n")).unionByName(targets.select(F.col("tx").alias("x"), F.col("ty").alias("y"), F.lit(1).alias("n")))
+    wide = both.agg(*[(F.max(v) - F.min(v)).cast("double") for v in (F.when(~F.isnan(c), F.col(c)) for c in ("x", "y"))], F.sum("n")).first()
+    sides, n = [v or 0.0 for v in wide[:2]], wide[2] or 0
+    widest = max(sides)
+    if not 0 < widest < math.inf:
+        return cell, 0
+    if n > k:
+        cell = min(cell, max(math.sqrt(sides[0] * sides[1] * 2 * k / n), widest * 2 * k / n))
+    return cell, max(0, math.ceil(math.log(widest * (1 + 1e-9) / cell, 4)))
 
 
 def nearest(points: DataFrame, targets: DataFrame, k: int, cell: float) -> DataFrame:
     """points (id, x, y; unique ids) with their k nearest targets (target, tx, ty), at any distance: rank, target, distance.
 
-    An equi-join on grid cells and the cells around. Points with fewer than k targets within a cell's width are joined
-    again on cells of twice the width, and so on until these span everything; `cell` bears on time, not on results."""
+    An equi-join on grid cells and the cells around. Places with fewer than k targets within a cell's width are joined
+    again on cells of four times the width, and so on until these span everything; `cell` bears on time, not on results.
+    Points of one place are searched for once, and of the targets of one place the k least can be found."""
     nothing = F.array().cast(f"array<struct<distance:double,target:{targets.schema['target'].dataType.simpleString()}>>")
-    state = points.select("id", "x", "y", nothing.alias("found"), F.lit(False).alias("settled"))
-    order = Window.partitionBy("id").orderBy(F.col("distance").asc_nulls_last(), "target")
-    for level in range(_levels(points, targets, cell) + 1):
-        wide = cell * 2**level
-        at = targets.select("target", "tx", "ty", F.element_at(_cells("tx", "ty", wide, 0), 1).alias("__c"))
-        # A settled point keeps one row without a cell, which meets no target.
-        rows = state.withColumn("__c", F.explode(F.when(F.col("settled"), F.array(F.lit(None).cast(at.schema["__c"].dataType))).otherwise(_cells("x", "y", wide, 1))))
+    here = Window.partitionBy("tx", "ty").orderBy("target")
+    spots = targets.select("target", "tx", "ty").withColumn("__n", F.row_number().over(here)).filter(F.col("__n") <= k).drop("__n")
+    cell, levels = _extent(points, spots, cell, k)
+    state = points.select("x", "y").distinct().select("x", "y", nothing.alias("found"), F.lit(False).alias("settled"))
+    order = Window.partitionBy("x", "y").orderBy(F.col("distance").asc_nulls_last(), "target")
+    for level in range(levels + 1):
+        wide = cell * 4**level
+        # A settled place keeps one row with a key of its own, which meets no target.
+        key = lambda c: F.struct(c["cx"].alias("cx"), c["cy"].alias("cy"), F.lit(0).alias("own"))
+        at = spots.withColumn("__c", key(F.element_at(_cells("tx", "ty", wide, 0), 1)))
+        own = F.struct(F.xxhash64("x", "y").alias("cx"), F.lit(0).cast("long").alias("cy"), F.lit(1).alias("own"))
+        rows = state.withColumn("__c", F.explode(F.when(F.col("settled"), F.array(own)).otherwise(F.transform(_cells("x", "y", wide, 1), key))))
         near = rows.join(at, "__c", "left").withColumn("distance", _distance()).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         got = F.array_sort(F.collect_list(F.when(F.col("target").isNotNull() & F.col("distance").isNotNull(), F.struct("distance", "target"))))
-        state = near.groupBy("id").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("settled").alias("was"), F.first("found").alias("had"), got.alias("got"))
-        state = state.select("id", "x", "y", F.when(F.col("was"), F.col("had")).otherwise(F.col("got")).alias("found"), (F.col("was") | F.coalesce(F.get("got", F.lit(k - 1))["distance"] < wide * (1 - 1e-9), F.lit(False))).alias("settled"))
-    return state.select("id", F.posexplode("found").alias("rank", "f")).select("id", (F.col("rank") + 1).alias("rank"), "f.target", "f.distance")
+        state = near.groupBy("x", "y").agg(F.first("settled").alias("was"), F.first("found").alias("had"), got.alias("got"))
+        state = state.select("x", "y", F.when(F.col("was"), F.col("had")).otherwise(F.col("got")).alias("found"), (F.col("was") | F.coalesce(F.get("got", F.lit(k - 1))["distance"] < wide * (1 - 1e-9), F.lit(False))).alias("settled"))
+    found = state.filter(F.size("found") > 0).select("x", "y", "found")
+    return points.select("id", "x", "y").join(found, ["x", "y"]).select("id", F.posexplode("found").alias("rank", "f")).select("id", (F.col("rank") + 1).alias("rank"), "f.target", "f.distance")
 
 
 def pareto(df: DataFrame, keys: list[str], first: str, second: str, tie: list[str]) -> DataFrame:

@@ -129,3 +129,27 @@ def test_connector_knn_and_knn_regression_reach_all_points(spark):
         want[i] = (a + suppliers[t] / max(d, 1e-6), b + 1 / max(d, 1e-6))
     got = {r["id"]: r["estimate"] for r in catalogue.QUERIES["knn_regression"](spark, FOLDER).collect()}
     assert got == pytest.approx({i: a / b for i, (a, b) in want.items()}, abs=0.011)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_compares_few_pairs(spark, k):
+    """2,000 points on 25 places and 900 targets on 36: were all pairs within the cell of 20 compared, a join would make 1,800,000 rows."""
+    points = [(i, float(i % 5), float(i // 5 % 5)) for i in range(2000)]
+    targets = [(t, t % 6 + 0.25, t // 6 % 6 + 0.5) for t in range(900)]
+    p, t = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(targets, "target long, tx double, ty double")
+    found = joins.nearest(p, t, k, 20.0)
+    assert {(r["id"], r["rank"]): (r["target"], round(r["distance"], 4)) for r in found.collect()} == brute_nearest(points, targets, k)
+    assert most_joined(found) <= 2000 * k
+
+
+def most_joined(df):
+    """The rows that the largest join of df's plan makes."""
+    df.collect()
+    plans, most = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name = plan.nodeName()
+        plans += [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+        if "Join" in name:
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+    return most
