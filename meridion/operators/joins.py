@@ -47,10 +47,24 @@ def _cells(x: str, y: str, cell: float, reach: int) -> Column:
     return F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: F.struct((g(x) + i).alias("cx"), (g(y) + j).alias("cy")))))
 
 
-def within(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """points (id, x, y) with all targets (target, tx, ty) up to radius away: target, distance. An equi-join on grid cells."""
-    j = points.withColumn("__c", F.explode(_cells("x", "y", radius, 1))).join(targets.withColumn("__c", F.element_at(_cells("tx", "ty", radius, 0), 1)), "__c")
-    return j.withColumn("distance", _distance()).filter(F.col("distance") <= radius).select("id", "target", "distance")
+def _places(rows: DataFrame, at: list[str], key: str, most: int = 1_000_000) -> DataFrame:
+    """rows by place: (at, list of keys). Where a list might pass `most` keys, a place has several rows."""
+    part = F.pmod(F.xxhash64(key), F.lit(rows.count() // most + 1))
+    return rows.groupBy(*at, part.alias("__part")).agg(F.collect_list(F.struct(key)).alias(f"{key}s")).drop("__part")
+
+
+def within(points: DataFrame, targets: DataFrame, radius: float, measures: dict[str, Column] | None = None) -> DataFrame:
+    """points (id, x, y) with all targets (target, tx, ty) up to radius away: target and measures of `distance` (by default itself).
+
+    An equi-join on grid cells of places, so that points and targets of one place are compared once; the pairs of a
+    place are told apart last. Both sides have a fixed number of tasks, as few bytes may make many pairs."""
+    measures = measures or {"distance": F.col("distance")}
+    spark = points.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    p = _places(points.select("id", "x", "y"), ["x", "y"], "id").withColumn("__c", F.explode(_cells("x", "y", radius, 1))).repartition(n, "__c")
+    t = _places(targets.select("target", "tx", "ty"), ["tx", "ty"], "target").withColumn("__c", F.element_at(_cells("tx", "ty", radius, 0), 1)).repartition(n, "__c")
+    near = p.join(t, "__c").withColumn("distance", _distance()).filter(F.col("distance") <= radius).select("ids", "targets", *[c.alias(m) for m, c in measures.items()])
+    return near.select(F.inline("ids"), "targets", *measures).select("id", F.inline("targets"), *measures)
 
 
 def _extent(points: DataFrame, targets: DataFrame, cell: float, k: int) -> tuple[float, int]:

@@ -67,8 +67,7 @@ def _(spark, d):
 
 @query("connector_radius", f"WITH {POINTS} SELECT id, target, round(distance, 4) AS distance, round(distance / 4 * 3.6, 4) AS time FROM nn WHERE distance <= 10")
 def _(spark, d):
-    near = J.within(*points(spark, d), 10.0)
-    return near.select("id", "target", r4("distance"), F.round(F.col("distance") / 4 * 3.6, 4).alias("time"))
+    return J.within(*points(spark, d), 10.0, {"distance": r4("distance"), "time": F.round(F.col("distance") / 4 * 3.6, 4)})
 
 
 @query("knn_regression", f"WITH {POINTS}, k AS (SELECT * FROM nn QUALIFY row_number() OVER (PARTITION BY id ORDER BY distance, target) <= 3) SELECT id, round(sum(s_acctbal / greatest(distance, 0.000001)) / sum(1 / greatest(distance, 0.000001)), 2) AS estimate FROM k JOIN {{supplier}} ON target = s_suppkey GROUP BY id")

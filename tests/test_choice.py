@@ -153,3 +153,14 @@ def most_joined(df):
         if "Join" in name:
             most = max(most, plan.metrics().apply("numOutputRows").value())
     return most
+
+
+def test_within_compares_places_once(spark):
+    points = [(i, float(i % 5), float(i // 5 % 5)) for i in range(500)]
+    targets = [(t, t % 6 + 0.25, t // 6 % 6 + 0.5) for t in range(180)]
+    p, t = spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(targets, "target long, tx double, ty double")
+    near = joins.within(p, t, 2.0)
+    want = {(i, u): round(d, 6) for i, x, y in points for u, tx, ty in targets if (d := math.sqrt((x - tx) ** 2 + (y - ty) ** 2)) <= 2.0}
+    got = [(r["id"], r["target"], round(r["distance"], 6)) for r in near.collect()]
+    assert len(got) == len(want) and {(i, u): d for i, u, d in got} == want
+    assert most_joined(near) <= 25 * 36
