@@ -46,15 +46,22 @@ def span_headway(frequencies: DataFrame, key: list[str], low: float, high: float
     single = (F.col("headway") == 0) & F.col("start").between(low, high)
     n = F.when(F.col("headway") == 0, F.when(single, 1.0).otherwise(0.0)).otherwise(F.greatest(end - start, F.lit(0.0)) / F.col("headway"))
     got = frequencies.groupBy(*key).agg(F.sum(n).alias("n"))
-    return got.select(*key, F.when(F.col("n") > 0, F.round((high - low) / F.col("n"))).otherwise(0.0).cast("long").alias("headway"))
+    return got.select(*key, _rounded_headway(F.col("n"), high - low).alias("headway"))
 
 
-def as_frequencies(stop_times: DataFrame, patterns: DataFrame, group: str, low: float, high: float) -> DataFrame:
-    """(group, pattern, trip, headway): one trip, the first to depart, for each pattern, and the headway of all its trips (trip, departure)."""
+def _rounded_headway(n: Column, span: float) -> Column:
+    return F.when(n > 0, F.round(span / n)).otherwise(0.0).cast("long")
+
+
+def as_frequencies(stop_times: DataFrame, patterns: DataFrame, group: str, low: float, high: float, order: Column | None = None) -> DataFrame:
+    """(group, pattern, trip, headway): one trip for each pattern that runs in low .. high, and the headway of all its trips (trip, departure).
+
+    The trip is the first by `order`, over start (its first departure) and trip; by default the first to depart. Ties go
+    to the least trip. A headway may round to 0."""
     first = stop_times.groupBy("trip").agg(F.min("departure").cast("double").alias("start")).join(patterns, "trip")
-    one = first.groupBy(group, "pattern").agg(F.min_by("trip", F.struct("start", "trip")).alias("trip"))
-    runs = first.select(group, "pattern", "start", F.col("start").alias("end"), F.lit(0.0).alias("headway"))
-    return one.join(span_headway(runs, [group, "pattern"], low, high), [group, "pattern"]).filter("headway > 0")
+    order = F.struct(F.col("start") if order is None else order, "trip")
+    got = first.groupBy(group, "pattern").agg(F.min_by("trip", order).alias("trip"), F.sum(F.when(F.col("start").between(low, high), 1.0).otherwise(0.0)).alias("n"))
+    return got.filter("n > 0").select(group, "pattern", "trip", _rounded_headway(F.col("n"), high - low).alias("headway"))
 
 
 def timed_links(stop_times: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 import re
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from meridion import catalogue
 from meridion.plans import domain
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,3 +21,17 @@ def test_items_are_dealt_out_once_in_tasks_of_bounded_size(spark, monkeypatch, n
     exchanges = [e for e in re.findall(r"Exchange hashpartitioning\((\w+)#\d+L, (\d+)\)", plan) if e[0] != "o_orderkey"]
     assert len(exchanges) == 1 and int(exchanges[0][1]) > 10 and "REPARTITION_BY_NUM" in plan
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_feed_frequencies_equals_sql_beyond_a_million_trips(spark, tmp_path):
+    """Trips 2,000,000 later that depart a second earlier: by the SQL's sum of both, the earlier trips stand for their patterns."""
+    items, orders = spark.read.parquet(f"{FOLDER}/lineitem.parquet"), spark.read.parquet(f"{FOLDER}/orders.parquet")
+    later = lambda df, key: df.withColumn(key, F.col(key) + 2_000_000)
+    items.withColumn("l_quantity", F.col("l_quantity") + 1).union(later(items, "l_orderkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.union(later(orders, "o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    duck = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = duck.execute(catalogue.ORACLES["feed_frequencies"]).fetchall()
+    got = catalogue.QUERIES["feed_frequencies"](spark, str(tmp_path)).select("line", "pattern", "trip", "headway").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
