@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import pickle
 
+import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -65,53 +66,81 @@ def strategies(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select(F.col(targets.columns[0]).cast("int").alias("d")).distinct().mapInArrow(run, "origin int, destination int, cost double")
 
 
-def _scan(table: pa.Table, best: dict, aboard: dict, transfer: float) -> None:
-    """Brings best (node: arrival) and aboard (trip: its last departure) up to date by connections in order."""
-    for dep, arr, trip, i, j, last in zip(*[c.to_pylist() for c in table.columns], strict=True):
-        if trip in aboard or best.get(i, float("inf")) + transfer <= dep:
-            aboard[trip] = last
-            if arr < best.get(j, float("inf")):
-                best[j] = arr
+def _scan(table: pa.Table, best: dict, aboard: bytearray, transfer: float) -> None:
+    """Brings best (node: arrival) and aboard (by place of a trip) up to date by connections in order."""
+    for batch in table.to_batches(100_000):
+        for dep, arr, trip, i, j in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if aboard[trip] or best.get(i, float("inf")) + transfer <= dep:
+                aboard[trip] = 1
+                if arr < best.get(j, float("inf")):
+                    best[j] = arr
 
 
 def earliest(connections: DataFrame, origins: DataFrame, start: float, transfer: float = 0.0, most: int = 1_000_000) -> DataFrame:
     """Connection scan over (trip, a, b, departure, arrival): (origin, node, arrival) from `start`, with a least time to change trips.
 
     More than `most` connections are cut into windows of departures, which are broadcast one after another; arrivals and
-    the trips under way go from one window to the next. Connections of one departure stay in one window."""
+    the trips under way go from one window to the next. Connections of one departure stay in one window. The driver holds
+    one window, and of a trip under way its id and a bit for each origin. Where no connection arrives before it departs, the
+    scan ends as soon as all later ones depart after each origin's last arrival at every node."""
     sc = connections.sparkSession.sparkContext
     key = ["departure", "arrival", "trip", "a", "b"]
     last = F.max("departure").over(Window.partitionBy("trip")).alias("last")
-    c = connections.select(*key, last).filter(F.col("departure") >= start).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = max(1, -(-c.count() // most))
+    # In ranges of departures, so that a window is read from few of them.
+    c = connections.select(*key, last).filter(F.col("departure") >= start).repartitionByRange("departure").persist(StorageLevel.MEMORY_AND_DISK)
+    n, backward = c.agg(F.count("*"), F.coalesce(F.max(F.col("arrival") < F.col("departure")), F.lit(False))).first()
+    parts = max(1, -(-n // most))
     cuts = sorted(set(c.approxQuantile("departure", [k / parts for k in range(1, parts)], 0.25 / parts))) if parts > 1 else []
+    ends = {r[0] for r in c.select("b").distinct().limit(most + 1).collect()} if cuts and not backward else set()
+    ends = ends if len(ends) <= most else set()
     deal = origins.select(F.col(origins.columns[0]).cast("int").alias("o")).distinct().repartition(sc.defaultParallelism, "o")
     state: dict = {}
+    under_way = np.zeros(0, np.int64)
 
-    def search(low: float, high: float, ends: bool) -> DataFrame:
-        window = c.filter((F.col("departure") >= low) & (F.col("departure") < high)).toArrow().sort_by([(k, "ascending") for k in key])
-        spread = sc.broadcast((window, state))
+    def search(window: pa.Table | None, trips: np.ndarray, stay: np.ndarray | None):
+        """Brings the state of each origin over a window; without `stay`, which says which trips go on, its arrivals."""
+        spread = sc.broadcast((window, len(trips), np.searchsorted(trips, under_way), stay, state))
 
         def run(batches):
-            table, before = spread.value
+            table, n, places, stay, before = spread.value
             for b in batches:
                 for o in b.column(0).to_pylist():
-                    best, aboard = before.get(o) or ({o: start - transfer}, {})
-                    best, aboard = dict(best), dict(aboard)
-                    _scan(table, best, aboard, transfer)
-                    if ends:
+                    best, bits = before.get(o) or ({o: start - transfer}, None)
+                    best, aboard = dict(best), np.zeros(n, np.uint8)
+                    if bits is not None:
+                        aboard[places] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(places))
+                    aboard = bytearray(aboard)
+                    if table is not None:
+                        _scan(table, best, aboard, transfer)
+                    if stay is None:
                         best[o] = start
                         yield pa.RecordBatch.from_arrays([pa.array([o] * len(best), pa.int32()), pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.float64())], ["origin", "node", "arrival"])
                     else:
-                        kept = pickle.dumps((best, {t: x for t, x in aboard.items() if x >= high}))
+                        kept = pickle.dumps((best, np.packbits(np.frombuffer(aboard, np.uint8)[stay]).tobytes()))
                         yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), pa.array([kept], pa.binary())], ["origin", "state"])
 
-        return deal.mapInArrow(run, "origin int, node int, arrival double" if ends else "origin int, state binary")
+        return deal.mapInArrow(run, "origin int, node int, arrival double" if stay is None else "origin int, state binary"), spread
 
     edges = [float("-inf"), *cuts, float("inf")]
-    for low, high in zip(edges[:-2], edges[1:-1], strict=True):
-        state = {r["origin"]: pickle.loads(r["state"]) for r in search(low, high, False).collect()}
-    out = search(edges[-2], edges[-1], True)
+    for k, (low, high) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        window = c.filter((F.col("departure") >= low) & (F.col("departure") < high)).toArrow().sort_by([(x, "ascending") for x in key])
+        at, leaves = window["trip"].to_numpy(), window["last"].to_numpy()
+        trips = np.union1d(at, under_way) if len(under_way) else np.unique(at)
+        place = np.searchsorted(trips, at)
+        stay = np.ones(len(trips), bool)  # a trip under way that has no connection in this window has one later
+        stay[place] = leaves >= high
+        window = window.select(["departure", "arrival"]).append_column("trip", pa.array(place)).append_column("a", window["a"]).append_column("b", window["b"])
+        if k == len(cuts):
+            out, _ = search(window, trips, None)
+            break
+        got, spread = search(window, trips, np.flatnonzero(stay))
+        state = {r["origin"]: pickle.loads(r["state"]) for r in got.collect()}
+        spread.destroy()
+        under_way = trips[stay]
+        # Whatever departs later arrives later still than these.
+        if ends and all(len(best) >= len(ends) and all(best.get(j, float("inf")) <= high for j in ends) for best, _ in state.values()):
+            out, _ = search(None, under_way, None)
+            break
     c.unpersist()
     return out
 

@@ -164,3 +164,14 @@ def test_within_compares_places_once(spark):
     got = [(r["id"], r["target"], round(r["distance"], 6)) for r in near.collect()]
     assert len(got) == len(want) and {(i, u): d for i, u, d in got} == want
     assert most_joined(near) <= 25 * 36
+
+
+def test_earliest_keeps_a_bit_of_a_trip_under_way(spark, monkeypatch):
+    """4,000 trips are under way between windows; node 9 is never reached by day, so that no window is left out."""
+    rows = [x for t in range(4000) for x in ((t, 0, 1, float(t % 50), t % 50 + 5.0), (t, 1, 2, 1000.0 + t % 50, 1005.0 + t % 50))] + [(5000, 8, 9, 0.0, 1.0)]
+    df, origins = spark.createDataFrame(rows, "trip long, a int, b int, departure double, arrival double"), spark.createDataFrame([(0,), (8,)], "o int")
+    sizes, loads = [], choice.pickle.loads
+    monkeypatch.setattr(choice.pickle, "loads", lambda b: sizes.append(len(b)) or loads(b))
+    got = arrivals(choice.earliest(df, origins, 0.0, 10.0, 2500))
+    assert got == brute_earliest(rows, [0, 8], 0.0, 10.0)
+    assert sizes and max(sizes) <= 2000
