@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 def steps(paths: DataFrame, kinds: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """A row for each vertex of each path: keys, place (from 0), vertex, kind, and the vertex and kind before and after."""
-    at = paths.select(*keys, F.posexplode(path).alias("place", "vertex")).join(kinds.select("vertex", "kind"), "vertex", "left")
+    return beside(paths.select(*keys, F.posexplode(path).alias("place", "vertex")).join(kinds.select("vertex", "kind"), "vertex", "left"), keys)
+
+
+def beside(at: DataFrame, keys: list[str]) -> DataFrame:
+    """steps() of places whose kinds are known: keys, place, vertex, kind."""
     w = Window.partitionBy(*keys).orderBy("place")
     beside = {f"{c}_{side}": f(c).over(w) for c in ("vertex", "kind") for side, f in (("before", F.lag), ("after", F.lead))}
     return at.withColumns(beside)

@@ -55,6 +55,14 @@ DOMAIN = {
 ITEMS = "SELECT l_orderkey AS trip, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM {lineitem}"
 SPARK = {
     "stop_times": "SELECT trip, CAST(l_partkey % 25 AS INT) AS stop, CAST(row_number() OVER (PARTITION BY trip ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS seq, l_quantity AS dwell FROM {items}",
+    # One reading of links: what surrounds a trip's links stands at its first one and at its last.
+    "ride_steps": """SELECT trip, e.place, e.vertex, e.kind FROM (SELECT trip, link_sequence, a AS fa, b AS lb, lead(link_sequence) OVER o IS NULL AS at_end, lag(link_sequence) OVER o IS NULL AS at_start, CAST(link_sequence AS INT) AS k FROM {links} WINDOW o AS (PARTITION BY trip ORDER BY link_sequence))
+        LATERAL VIEW inline(concat(
+            CASE WHEN at_start THEN array(struct(0 AS place, 'z' || CAST(fa AS STRING) AS vertex, 'zone' AS kind), struct(1 AS place, 'n' || CAST(fa AS STRING) AS vertex, 'node' AS kind)) ELSE array() END,
+            array(struct(k + 1 AS place, 'l' || CAST(trip AS STRING) || '_' || CAST(link_sequence AS STRING) AS vertex, 'link' AS kind)),
+            CASE WHEN at_end THEN array(struct(k + 2 AS place, 'n' || CAST(lb AS STRING) AS vertex, 'node' AS kind)) ELSE array() END,
+            CASE WHEN at_end AND trip % 2 = 0 THEN array(struct(k + 3 AS place, 'n' || CAST(lb + 25 AS STRING) AS vertex, 'node' AS kind), struct(k + 4 AS place, 'm' || CAST(trip AS STRING) AS vertex, 'link' AS kind), struct(k + 5 AS place, 'n' || CAST(lb + 50 AS STRING) AS vertex, 'node' AS kind)) ELSE array() END,
+            CASE WHEN at_end THEN array(struct(CASE WHEN trip % 2 = 0 THEN k + 6 ELSE k + 3 END AS place, 'z' || CAST(lb AS STRING) AS vertex, 'zone' AS kind)) ELSE array() END)) e AS place, vertex, kind""",
 }
 TASK_BYTES = 4_000_000
 

@@ -35,3 +35,11 @@ def test_feed_frequencies_equals_sql_beyond_a_million_trips(spark, tmp_path):
     want = duck.execute(catalogue.ORACLES["feed_frequencies"]).fetchall()
     got = catalogue.QUERIES["feed_frequencies"](spark, str(tmp_path)).select("line", "pattern", "trip", "headway").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("name", sorted(domain.SPARK))
+def test_spark_derives_the_same_tables_in_one_reading(spark, name):
+    got, want = domain.table(spark, FOLDER, name), domain.run(spark, FOLDER, domain.DOMAIN[name])
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("l_quantity#") > 0 and len(re.findall(r"Relation \[l_orderkey", got._jdf.queryExecution().optimizedPlan().toString())) == 1
