@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,7 +156,9 @@ class Assignment:
         rows = links.limit(MAX_LINKS + 1).toPandas()
         if len(rows) > MAX_LINKS:
             raise ValueError(f"a network of more than {MAX_LINKS} links")
-        self.spark, self.volumes, self.segments, self.vdf = links.sparkSession, volumes, segments, vdf
+        self.spark, self.segments, self.vdf = links.sparkSession, segments, vdf
+        # Every pass reads the demand: it is summed once, not derived again from what it came from.
+        self.volumes = volumes.groupBy("origin", "destination").agg(*[F.sum(s).cast("double").alias(s) for s in segments]).persist(StorageLevel.MEMORY_AND_DISK)
         self.kind = links.schema["a"].dataType.simpleString()
         self.costs = {s: (costs or {}).get(s, "jam_time") for s in segments}
         nodes = sorted({*rows["a"], *rows["b"]})
@@ -175,7 +178,7 @@ class Assignment:
         penalty = {(self.at[r[0], r[1]], self.at[r[1], r[2]]): float(r[3]) for r in turns.select("a", "b", "c", "penalty").collect()} if turns is not None else {}
         self.net = Network(ia[order], rows["b"].map(self.index).to_numpy(), start, closed, penalty)
         for name in ("origin", "destination"):
-            lost = [r[0] for r in volumes.select(name).distinct().limit(len(nodes) + 1).collect() if r[0] not in self.index]
+            lost = [r[0] for r in self.volumes.select(name).distinct().limit(len(nodes) + 1).collect() if r[0] not in self.index]
             if lost:
                 raise ValueError(f"demand names {name} {lost[0]!r}, which no link reaches")
 
@@ -209,7 +212,7 @@ class Assignment:
             if flow:
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in flow], pa.int64()), pa.array([k for _, k in flow], pa.int64()), pa.array(list(flow.values()), pa.float64())], ["tracked", "link", "flow"])
 
-        demand = self.volumes.groupBy("origin", "destination").agg(F.sum(segment).cast("double").alias("v")).filter("v > 0 and origin <> destination")
+        demand = self.volumes.select("origin", "destination", F.col(segment).alias("v")).filter("v > 0 and origin <> destination")
         got = demand.repartition("origin").sortWithinPartitions("origin").mapInArrow(run, "tracked long, link long, flow double").groupBy("tracked", "link").agg(F.sum("flow").alias("flow"))
         out, users = np.zeros(len(self.links)), {t: np.zeros(len(self.links)) for t in track}
         for t, k, v in got.collect():
@@ -305,7 +308,9 @@ class Assignment:
 
 def equilibrium(links: DataFrame, volumes: DataFrame, method: str = "bfw", rounds: int = 10, gap: float = 1e-4) -> tuple[dict, list[float]]:
     """Of links (a, b, time, capacity) and volumes (origin, destination, volume): flow by (a, b), and the relative gaps as shares."""
-    got = Assignment(links, volumes, ["volume"]).equilibrium(method, rounds, 100 * gap)
+    over = Assignment(links, volumes, ["volume"])
+    got = over.equilibrium(method, rounds, 100 * gap)
+    over.volumes.unpersist()
     return dict(zip(got.links, got.total.tolist(), strict=True)), [g / 100 for g in got.gaps]
 
 
