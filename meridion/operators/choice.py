@@ -152,12 +152,20 @@ def park_and_ride(to_park: DataFrame, from_park: DataFrame, spread: float = 0.0)
     return j.withColumn("__m", least).filter(F.col("cost") <= F.col("__m") + spread).select("origin", "destination", "park", "cost")
 
 
-def sampled(od: DataFrame, share: float, seed: int = 1) -> DataFrame:
-    """A sampling operator: a unit of volume is kept with chance `share`, by a hash of OD and unit; the mean stays volume * share."""
+def sampled(od: DataFrame, share: float, seed: int = 1, block: int = 100_000) -> DataFrame:
+    """A sampling operator: a unit of volume is kept with chance `share`, by a hash of OD and unit; the mean stays volume * share.
+
+    The units of a row are dealt out in blocks."""
     whole = F.floor("volume").cast("int")
+    most = F.greatest(whole, F.lit(1))
     u = lambda *c: F.pmod(F.xxhash64(F.lit(seed), "origin", "destination", *c), F.lit(1_000_003)) / 1_000_003.0
-    kept = F.aggregate(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), F.lit(0.0), lambda a, k: a + F.when((u(k) < share) & (whole >= k), 1.0).otherwise(0.0))
-    return od.withColumn("volume", kept + F.when(u(F.lit(-1)) < share * (F.col("volume") - whole), 1.0).otherwise(0.0))
+    sc = od.sparkSession.sparkContext
+    tasks = max(int(od.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * sc.defaultParallelism)
+    parts = od.withColumn("__id", F.monotonically_increasing_id()).withColumn("__from", F.explode(F.sequence(F.lit(1), most, F.lit(block)))).repartition(tasks, "__id", "__from")
+    units = F.sequence(F.col("__from"), F.col("__from") + F.least(most - F.col("__from"), F.lit(block - 1)))
+    kept = F.aggregate(units, F.lit(0.0), lambda a, k: a + F.when((u(k) < share) & (whole >= k), 1.0).otherwise(0.0))
+    got = parts.withColumn("__kept", kept).groupBy("__id", *od.columns).agg(F.sum("__kept").alias("__kept")).drop("__id")
+    return got.withColumn("volume", F.col("__kept") + F.when(u(F.lit(-1)) < share * (F.col("volume") - whole), 1.0).otherwise(0.0)).drop("__kept")
 
 
 def select_link(paths: DataFrame, a: int, b: int) -> DataFrame:
