@@ -43,18 +43,22 @@ def joined(lines: Column) -> Column:
 
 def cut(line: Column, distance: Column) -> Column:
     """The two parts of a line at a distance along it (one part, where it lies beyond an end)."""
-    state = F.struct(F.lit(0.0).alias("run"), F.array().cast(POINTS).alias("left"), F.array().cast(POINTS).alias("right"))
-
-    def step(s, p):
-        prior = F.element_at(s["left"], -1)
-        d = F.when(F.size(s["left"]) > 0, F.sqrt(F.pow(p["x"] - prior["x"], 2) + F.pow(p["y"] - prior["y"], 2))).otherwise(0.0)
-        share = (distance - s["run"]) / d
-        at = F.struct((prior["x"] + (p["x"] - prior["x"]) * share).alias("x"), (prior["y"] + (p["y"] - prior["y"]) * share).alias("y"))
-        ended = F.struct(s["run"].alias("run"), s["left"].alias("left"), F.concat(s["right"], F.array(p)).alias("right"))
-        here = F.struct((s["run"] + d).alias("run"), F.concat(s["left"], F.array(at)).alias("left"), F.when(s["run"] + d > distance, F.array(at, p)).otherwise(F.array(p)).alias("right"))
-        on = F.struct((s["run"] + d).alias("run"), F.concat(s["left"], F.array(p)).alias("left"), s["right"].alias("right"))
-        return F.when(F.size(s["right"]) > 0, ended).when((F.size(s["left"]) > 0) & (s["run"] + d >= distance), here).otherwise(on)
-
-    done = F.aggregate(line, state, step)
-    whole = (distance <= 0) | (distance >= length(line))
-    return F.when(whole, F.array(line)).otherwise(F.array(done["left"], done["right"]))
+    let = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)  # noqa: E731  # a value that is used often, worked out once
+    n = F.size(line)
+    gap = lambda k: F.sqrt(F.pow(F.get(line, k)["x"] - F.get(line, k - 1)["x"], 2) + F.pow(F.get(line, k)["y"] - F.get(line, k - 1)["y"], 2))
+    # The distance from the start at each point; the sum of the first k gaps is kept as the last of an array.
+    runs = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.array(F.lit(0.0)), lambda done, k: F.when(k < n, F.concat(done, F.array(F.element_at(done, -1) + gap(k)))).otherwise(done))
+
+    def parted(run):
+        # The first point after the start that lies at the distance or beyond.
+        end = F.array_position(F.transform(run, lambda r, k: (k > 0) & (r >= distance)), True).cast("int")
+        return let(F.when(end > 0, end), lambda k: let(_between(line, run, distance, k), lambda at: F.array(F.concat(F.slice(line, 1, k - 1), F.array(at)), F.when(F.get(run, k - 1) > distance, F.concat(F.array(at), F.slice(line, k, n - k + 1))).otherwise(F.slice(line, k, n - k + 1)))))
+
+    return let(runs, lambda run: F.when((distance <= 0) | (distance >= F.element_at(run, -1)), F.array(line)).otherwise(parted(run)))
+
+
+def _between(line: Column, run: Column, distance: Column, k: Column) -> Column:
+    """The point at a distance, between the points k - 1 and k (from 1) of a line with the distances at its points."""
+    a, b, before = F.get(line, k - 2), F.get(line, k - 1), F.get(run, k - 2)
+    share = (distance - before) / (F.get(run, k - 1) - before)
+    return F.struct((a["x"] + (b["x"] - a["x"]) * share).alias("x"), (a["y"] + (b["y"] - a["y"]) * share).alias("y"))
